@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference takes finished files only: no watermark, event-time window,
+stateful operator or late-data rule exists in it, so nothing is built here.
+Every operator in the package is a batch DataFrame transform and runs
+unchanged inside ``foreachBatch`` should a caller want to feed it from a
+stream of ledger files.
+"""
