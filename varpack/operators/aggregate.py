@@ -175,6 +175,13 @@ def attach_group_aggregates(df: DataFrame, by: Sequence[str],
     g = df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()])
     if by:
         return df.join(g, list(by), "left")
+    return attach_scalar(df, g)
+
+
+def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a global aggregate (exactly one row by
+    construction) to every row: equi-join on a constant key with the one-row
+    side broadcast."""
     k = "_one"
     return (df.withColumn(k, F.lit(1))
-              .join(F.broadcast(g.withColumn(k, F.lit(1))), k).drop(k))
+              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k))

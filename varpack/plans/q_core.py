@@ -207,8 +207,7 @@ def _months_col(fy):
     "AS run_rate FROM f CROSS JOIN mo", "fy", extra=[_acct_five_sql(), MONTHS_SQL]))
 def v6_run_rate(spark, sf_dir):
     f, fy = _acct_five(spark, sf_dir)
-    mo = F.broadcast(_months_col(fy))      # exactly one row
-    j = f.join(mo, how="inner")
+    j = A.attach_scalar(f, _months_col(fy))
     return j.select(*ACCT, "months", V.run_rate(V.dbl("yact"), F.col("months").cast("double"))
                     .alias("run_rate"))
 
@@ -221,7 +220,7 @@ def v6_run_rate(spark, sf_dir):
     "fy", extra=[_acct_five_sql(), MONTHS_SQL]))
 def v7_var_to_fy(spark, sf_dir):
     f, fy = _acct_five(spark, sf_dir)
-    j = f.join(F.broadcast(_months_col(fy)), how="inner")
+    j = A.attach_scalar(f, _months_col(fy))
     rr = V.run_rate(V.dbl("yact"), F.col("months").cast("double"))
     fyv = rr - V.dbl("fybud")
     return j.select(*ACCT, fyv.alias("fy_var"), V.pct_nm(fyv, "fybud").alias("fy_pct"),

@@ -114,23 +114,48 @@ def pnl_full_sql(source: str, by: list[str], period: int = PERIOD,
     bgrp = (f"SELECT {sel}coalesce(sum(abs(budget)), 0) > 0 AS budgeted, {mexpr} AS months_elapsed "
             f"FROM {source}{gb}")
     join = (" JOIN b USING (" + ", ".join(by) + ")") if by else " CROSS JOIN b"
-    v, yv = "(l.act - l.bud)", "(l.yact - l.ybud)"
-    p, yp = pct(v, "l.bud"), pct(yv, "l.ybud")
-    rr = "(CAST(l.yact AS DOUBLE) * 12.0 / CAST(b.months_elapsed AS DOUBLE))"
-    fyv = f"({rr} - CAST(l.fybud AS DOUBLE))"
-    fyp = pct(fyv, "l.fybud")
-    mm, ym = material(v, p, abs_floor, pct_floor), material(yv, yp, abs_floor, pct_floor)
     keys = "".join(f"l.{k}, " for k in by)
-    g = "b.budgeted"
     return (f"WITH l AS ({lines}), b AS ({bgrp})\n"
             f"SELECT {keys}l.line_ord, l.line, l.kind, b.months_elapsed, "
-            f"{money('l.act')} AS actual, CASE WHEN {g} THEN {money('l.bud')} END AS budget, "
+            + tail_sql("l", "l.hib", "b.budgeted", "b.months_elapsed", abs_floor, pct_floor)
+            + f" FROM l{join}")
+
+
+def tail_sql(t: str, hib: str, g: str, months: str, abs_floor: float = DEFAULT_ABS_FLOOR,
+             pct_floor: float = DEFAULT_PCT_FLOOR) -> str:
+    """The fourteen report columns (V10) over relation ``t`` holding act,
+    bud, yact, ybud, fybud."""
+    v, yv = f"({t}.act - {t}.bud)", f"({t}.yact - {t}.ybud)"
+    p, yp = pct(v, f"{t}.bud"), pct(yv, f"{t}.ybud")
+    rr = f"(CAST({t}.yact AS DOUBLE) * 12.0 / CAST({months} AS DOUBLE))"
+    fyv = f"({rr} - CAST({t}.fybud AS DOUBLE))"
+    fyp = pct(fyv, f"{t}.fybud")
+    mm, ym = material(v, p, abs_floor, pct_floor), material(yv, yp, abs_floor, pct_floor)
+    return (f"{money(t + '.act')} AS actual, CASE WHEN {g} THEN {money(t + '.bud')} END AS budget, "
             f"CASE WHEN {g} THEN {money(v)} END AS var_bud, CASE WHEN {g} THEN {p} END AS var_bud_pct, "
-            f"{money('l.yact')} AS ytd_actual, CASE WHEN {g} THEN {money('l.ybud')} END AS ytd_budget, "
+            f"{money(t + '.yact')} AS ytd_actual, CASE WHEN {g} THEN {money(t + '.ybud')} END AS ytd_budget, "
             f"CASE WHEN {g} THEN {money(yv)} END AS ytd_var, CASE WHEN {g} THEN {yp} END AS ytd_pct, "
-            f"CASE WHEN {g} THEN {money('l.fybud')} END AS fy_budget, "
-            f"CASE WHEN b.months_elapsed <> 0 THEN {rr} END AS run_rate, "
+            f"CASE WHEN {g} THEN {money(t + '.fybud')} END AS fy_budget, "
+            f"CASE WHEN {months} <> 0 THEN {rr} END AS run_rate, "
             f"CASE WHEN {g} THEN {fyv} END AS fy_var, CASE WHEN {g} THEN {fyp} END AS fy_pct, "
-            f"CASE WHEN {g} THEN {fu(v, 'l.hib')} END AS fav_unfav, "
-            f"CASE WHEN {g} THEN {flag(mm, ym)} END AS flag "
-            f"FROM l{join}")
+            f"CASE WHEN {g} THEN {fu(v, hib)} END AS fav_unfav, "
+            f"CASE WHEN {g} THEN {flag(mm, ym)} END AS flag")
+
+
+def five_sums_sql(period: int = PERIOD) -> str:
+    """The five base figures as SUM expressions over posting columns."""
+    return (f"sum(CASE WHEN period_no = {period} THEN actual ELSE 0 END) AS act, "
+            f"sum(CASE WHEN period_no = {period} THEN budget ELSE 0 END) AS bud, "
+            f"sum(CASE WHEN period_no <= {period} THEN actual ELSE 0 END) AS yact, "
+            f"sum(CASE WHEN period_no <= {period} THEN budget ELSE 0 END) AS ybud, "
+            f"sum(budget) AS fybud")
+
+
+def ctx_sql(source: str = "fy", period: int = PERIOD) -> str:
+    """One-row context: plan presence and months elapsed over ``source``."""
+    return (f"ctx AS (SELECT coalesce(sum(abs(budget)), 0) > 0 AS budgeted, "
+            f"CAST(CASE WHEN count(DISTINCT CASE WHEN actual <> 0 AND period_no <= {period} "
+            f"THEN period_no END) > 0 THEN count(DISTINCT CASE WHEN actual <> 0 AND "
+            f"period_no <= {period} THEN period_no END) ELSE {period % 100} END AS INT) AS months, "
+            f"count(DISTINCT entity) AS n_entities FROM {source})")
+
