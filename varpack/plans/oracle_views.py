@@ -72,10 +72,24 @@ FROM (SELECT *, concat(CASE WHEN cents >= 100000 THEN concat(CAST(CAST(floor(cen
       FROM (SELECT l_orderkey AS doc_no, l_linenumber AS line_no, CAST((l_orderkey + l_linenumber) % 7 AS INT) AS conv,
                    CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) a) b)"""
 
+LEDGER_PRINTED = """ledger_printed AS (
+SELECT doc_no, line_no, period, period_no, account_code, account_name, category, expense_type, entity,
+  department, cost_centre, actual, budget, prior_year FROM ledger
+UNION ALL SELECT NULL, NULL, '', NULL, '', 'Total', '', '', '', department, '', sum(actual), sum(budget),
+  sum(prior_year) FROM ledger GROUP BY department
+UNION ALL SELECT NULL, NULL, '', NULL, '9999', 'Suspense', '', '', '', department, '', 0, 0, 0
+  FROM (SELECT DISTINCT department FROM ledger) d)"""
+
+LEDGER_CREDIT = """ledger_credit AS (
+SELECT * REPLACE (CASE WHEN category = 'Revenue' THEN -actual ELSE actual END AS actual,
+                  CASE WHEN category = 'Revenue' THEN -budget ELSE budget END AS budget) FROM ledger)"""
+
 VIEWS = {"ledger": LEDGER, "fy": FY, "plan": PLAN, "plan_gappy": PLAN_GAPPY,
-         "ledger_raw": LEDGER_RAW}
+         "ledger_raw": LEDGER_RAW, "ledger_printed": LEDGER_PRINTED,
+         "ledger_credit": LEDGER_CREDIT}
 # Views each one reads, so a query names only what it uses.
-DEPENDS = {"fy": ["ledger"], "plan": ["ledger"], "plan_gappy": ["plan"]}
+DEPENDS = {"fy": ["ledger"], "plan": ["ledger"], "plan_gappy": ["plan"],
+           "ledger_printed": ["ledger"], "ledger_credit": ["ledger"]}
 
 
 def with_views(body: str, *names: str, extra: list[str] | None = None) -> str:

@@ -218,3 +218,29 @@ def ledger_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "department", blank.alias("cost_centre"),
         zero.alias("actual"), zero.alias("budget"), zero.alias("prior_year"))
     return led.unionByName(totals, allowMissingColumns=False).unionByName(zeros)
+
+
+def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts as text in seven conventions (FIXTURES §4 `ledger_raw`):
+    leading minus, parentheses, trailing minus, US with CR, currency prefix,
+    US with DR, and a blank marker."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    d = li.select(F.col("l_orderkey").alias("doc_no"), F.col("l_linenumber").alias("line_no"),
+                  ((F.col("l_orderkey") + F.col("l_linenumber")) % 7).cast("int").alias("conv"),
+                  cents.alias("cents"))
+    c = F.col("cents")
+    big = F.concat(_str(F.floor(c / 100000).cast("bigint")), F.lit("."),
+                   F.lpad(_str(F.floor(c % 100000 / 100).cast("bigint")), 3, "0"))
+    eu = F.concat(F.when(c >= 100000, big).otherwise(_str(F.floor(c / 100).cast("bigint"))),
+                  F.lit(","), F.lpad(_str(c % 100), 2, "0"))
+    us = F.translate(eu, ".,", ",.")
+    conv = F.col("conv")
+    text = (F.when(conv == 0, F.concat(F.lit("-"), eu))
+             .when(conv == 1, F.concat(F.lit("("), eu, F.lit(")")))
+             .when(conv == 2, F.concat(eu, F.lit("-")))
+             .when(conv == 3, F.concat(us, F.lit(" CR")))
+             .when(conv == 4, F.concat(F.lit("EUR "), eu))
+             .when(conv == 5, F.concat(us, F.lit(" DR")))
+             .otherwise(F.lit("n/a")))
+    return d.select("doc_no", "line_no", "conv", "cents", text.alias("amount_text"))
