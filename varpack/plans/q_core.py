@@ -21,7 +21,7 @@ CUBE_KEYS = ["account_code", "account_name", "category", "period", "expense_type
 
 
 def fy_frame(spark, sf_dir):
-    return X.fiscal_year_frame(X.ledger(spark, sf_dir), FY)
+    return X.fiscal_year_frame(X.ledger(spark, sf_dir, fiscal_year=FY), FY)
 
 
 def month_frame(spark, sf_dir, period_no=P):

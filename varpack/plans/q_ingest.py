@@ -9,6 +9,7 @@ from ..functions import parse as PA
 from ..operators import aggregate as A
 from ..operators import normalise as NO
 from ..operators import plan as PL
+from ..session import spread
 from ..sources import fixture as X
 from . import sqlgen as S
 from .oracle_views import with_views
@@ -176,7 +177,7 @@ _EXPECTED = ("CASE WHEN conv <= 3 THEN -CAST(cents AS DOUBLE) / 100 "
 @register("n1_parse_amount", with_views(
     f"SELECT doc_no, line_no, conv, {_EXPECTED} AS amount FROM ledger_raw", "ledger_raw"))
 def n1_parse_amount(spark, sf_dir):
-    raw = PA.with_amounts(X.ledger_raw(spark, sf_dir), {"amount": "amount_text"})
+    raw = PA.with_amounts(spread(X.ledger_raw(spark, sf_dir)), {"amount": "amount_text"})
     return raw.select("doc_no", "line_no", "conv", F.col("amount").cast("double").alias("amount"))
 
 
@@ -184,7 +185,7 @@ def n1_parse_amount(spark, sf_dir):
     "SELECT conv, count(*) AS n, count(*) FILTER (WHERE conv = 6) AS n_null, "
     "CAST(0 AS BIGINT) AS n_wrong FROM ledger_raw GROUP BY conv", "ledger_raw"))
 def n1_parse_quality(spark, sf_dir):
-    raw = PA.with_amounts(X.ledger_raw(spark, sf_dir), {"amount": "amount_text"})
+    raw = PA.with_amounts(spread(X.ledger_raw(spark, sf_dir)), {"amount": "amount_text"})
     c = F.col("cents").cast("double")
     expected = F.when(F.col("conv") <= 3, -c / 100).when(F.col("conv") <= 5, c / 100)
     wrong = ~F.col("amount").cast("double").eqNullSafe(expected)
@@ -241,7 +242,7 @@ def n5_dims(spark, sf_dir):
     + S.money(f"sum(CASE WHEN conv = 5 THEN 0 ELSE {_EXPECTED} END)") + " AS budget "
     "FROM ledger_raw WHERE conv <> 6 GROUP BY conv", "ledger_raw"))
 def n6_null_amounts(spark, sf_dir):
-    raw = X.ledger_raw(spark, sf_dir).withColumn(
+    raw = spread(X.ledger_raw(spark, sf_dir)).withColumn(
         "budget_text", F.when(F.col("conv") >= 5, F.lit(None)).otherwise(F.col("amount_text")))
     d = PA.with_amounts(raw, {"actual": "amount_text", "budget": "budget_text"})
     kept = NO.drop_null_amounts(d)

@@ -102,3 +102,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a CPU-heavy narrow stage over the cluster's cores when the scan
+    yields fewer tasks than there are cores (a small or single-row-group
+    file). On large inputs the scan already has at least one split per core
+    and this returns the frame unchanged, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
