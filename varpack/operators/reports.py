@@ -25,7 +25,7 @@ REPORT_COLUMNS = ["line_ord", "line", "kind", "actual", "budget", "prior_year",
 # ---------------------------------------------------------------------------
 
 def build_report(gl: DataFrame, by: Sequence[str] = (), rule: Materiality = Materiality(),
-                 budgeted: bool | None = None) -> DataFrame:
+                 budgeted: bool | None = None, rounded: bool = True) -> DataFrame:
     """Management P&L: seven lines per group with budget and prior-year
     variances, F/U and materiality; plan-gated per group (V9)."""
     by = list(by)
@@ -40,15 +40,17 @@ def build_report(gl: DataFrame, by: Sequence[str] = (), rule: Materiality = Mate
            .withColumn("_pct_bud", V.pct_nm("_var_bud", "budget"))
            .withColumn("_var_py", var_py)
            .withColumn("_pct_py", V.pct_nm("_var_py", "prior_year")))
+    money = V.money if rounded else V.col
+    pct = V.pct_out if rounded else V.col
     return out.select(
         *by, "line_ord", "line", "kind",
-        V.money("actual").alias("actual"),
-        F.when(b, V.money("budget")).alias("budget"),
-        V.money("prior_year").alias("prior_year"),
-        F.when(b, V.money("_var_bud")).alias("var_bud"),
-        F.when(b, V.pct_out("_pct_bud")).alias("var_bud_pct"),
-        V.money("_var_py").alias("var_py"),
-        V.pct_out("_pct_py").alias("var_py_pct"),
+        money("actual").alias("actual"),
+        F.when(b, money("budget")).alias("budget"),
+        money("prior_year").alias("prior_year"),
+        F.when(b, money("_var_bud")).alias("var_bud"),
+        F.when(b, pct("_pct_bud")).alias("var_bud_pct"),
+        money("_var_py").alias("var_py"),
+        pct("_pct_py").alias("var_py_pct"),
         F.when(b, V.favourable("_var_bud", F.col("higher_is_better"))).otherwise("")
          .alias("fav_unfav"),
         (b & V.material("_var_bud", "_pct_bud", rule)).alias("material"),
@@ -149,7 +151,7 @@ def leaf_variances(gl: DataFrame, by: Sequence[str] = (),
     b = F.col("_budgeted")
     d = (leaves.withColumn("_var", V.variance("actual", "budget"))
                .withColumn("_pct", V.pct_nm("_var", "budget")))
-    mon = V.money if rounded else (lambda c: V.dbl(c))
+    mon = V.money if rounded else V.col
     return d.select(
         *keys,
         mon("actual").alias("actual"), mon("budget").alias("budget"),

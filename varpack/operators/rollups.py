@@ -46,27 +46,34 @@ def _tail(df: DataFrame, ctx: DataFrame, higher, rule: Materiality) -> DataFrame
 # Month-frame spend / entity variances (engine views A5-A7)
 # ---------------------------------------------------------------------------
 
-def _spend_cols(grp: DataFrame, keys: Sequence[str], rule: Materiality) -> DataFrame:
+def _money_fn(rounded: bool):
+    return V.money if rounded else (lambda c: V.col(c))
+
+
+def _spend_cols(grp: DataFrame, keys: Sequence[str], rule: Materiality,
+                rounded: bool = True) -> DataFrame:
     var = V.variance("actual", "budget")
     pct = V.pct_nm(var, "budget")
-    return grp.select(*keys, V.money("actual").alias("actual"), V.money("budget").alias("budget"),
-                      V.money("prior_year").alias("prior_year"), V.money(var).alias("var_bud"),
+    money = _money_fn(rounded)
+    return grp.select(*keys, money("actual").alias("actual"), money("budget").alias("budget"),
+                      money("prior_year").alias("prior_year"), money(var).alias("var_bud"),
                       pct.alias("var_bud_pct"),
                       F.when(var <= 0, "F").otherwise("U").alias("fav_unfav"),
                       V.material(var, pct, rule).alias("material"))
 
 
 def department_variances(detail: DataFrame, rule: Materiality = Materiality(),
-                         level: str = "department") -> DataFrame:
+                         level: str = "department", rounded: bool = True) -> DataFrame:
     """A5: spend (non-revenue) variance per department; F when var <= 0.
     NULL keys are dropped, '' is kept."""
     spend = detail.filter((F.col("category") != "Revenue") & F.col(level).isNotNull())
     grp = spend.groupBy(level).agg(*[dsum(F.col(m)).alias(m)
                                      for m in ("actual", "budget", "prior_year")])
-    return _spend_cols(grp, [level], rule).orderBy(F.col("budget").desc(), F.col(level))
+    return _spend_cols(grp, [level], rule, rounded).orderBy(F.col("budget").desc(), F.col(level))
 
 
-def cost_centre_variances(detail: DataFrame, rule: Materiality = Materiality()) -> DataFrame:
+def cost_centre_variances(detail: DataFrame, rule: Materiality = Materiality(),
+                          rounded: bool = True) -> DataFrame:
     """Spend variance per cost centre with its parent department (the
     smallest department seen with the cost centre)."""
     spend = detail.filter((F.col("category") != "Revenue") & F.col("cost_centre").isNotNull())
@@ -74,13 +81,13 @@ def cost_centre_variances(detail: DataFrame, rule: Materiality = Materiality())
                                             for m in ("actual", "budget", "prior_year")])
     parent = (detail.filter(F.col("cost_centre").isNotNull())
                     .groupBy("cost_centre").agg(F.min("department").alias("department")))
-    out = _spend_cols(grp, ["cost_centre"], rule).join(parent, "cost_centre", "left")
+    out = _spend_cols(grp, ["cost_centre"], rule, rounded).join(parent, "cost_centre", "left")
     cols = ["department", "cost_centre"] + [c for c in out.columns
                                             if c not in ("department", "cost_centre")]
     return out.select(*cols).orderBy("department", F.col("budget").desc(), "cost_centre")
 
 
-def entity_variances(detail: DataFrame) -> DataFrame:
+def entity_variances(detail: DataFrame, rounded: bool = True) -> DataFrame:
     """Net income per entity: revenue, spend, net actual and plan, F if
     var >= 0; ordered by revenue descending."""
     rev = F.col("category") == "Revenue"
@@ -92,9 +99,10 @@ def entity_variances(detail: DataFrame) -> DataFrame:
     net_a = F.col("rev_a") - F.col("sp_a")
     net_b = F.col("rev_b") - F.col("sp_b")
     var = net_a - net_b
-    return (grp.select("entity", V.money("rev_a").alias("revenue"), V.money("sp_a").alias("spend"),
-                       V.money(net_a).alias("net_actual"), V.money(net_b).alias("net_budget"),
-                       V.money(var).alias("var_bud"), V.pct_nm(var, net_b).alias("var_bud_pct"),
+    money = _money_fn(rounded)
+    return (grp.select("entity", money("rev_a").alias("revenue"), money("sp_a").alias("spend"),
+                       money(net_a).alias("net_actual"), money(net_b).alias("net_budget"),
+                       money(var).alias("var_bud"), V.pct_nm(var, net_b).alias("var_bud_pct"),
                        F.when(var >= 0, "F").otherwise("U").alias("fav_unfav"))
                .orderBy(F.col("revenue").desc(), "entity"))
 
@@ -183,21 +191,23 @@ def top_movers(month: DataFrame, k: int = 12, rule: Materiality = Materiality(),
 # ---------------------------------------------------------------------------
 
 def _one(df: DataFrame, name: str, e: Column) -> DataFrame:
-    return df.agg(F.coalesce(F.sum(e), F.lit(0)).cast("decimal(38,2)").alias(name))
+    return df.agg(F.coalesce(F.sum(e), F.lit(0)).cast("decimal(38,4)").alias(name))
 
 
 def reconcile(month: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Every view's total against the P&L, as (check, lhs, rhs, ok)."""
+    """Every view's total against the P&L, as (check, lhs, rhs, ok).
+    Views are taken at full precision (not rounded to cents), so the
+    tolerance tests the views, not the display rounding."""
     from .reports import build_report, leaf_variances
-    pnl = build_report(month)
+    pnl = build_report(month, rounded=False)
     line = lambda l: _one(pnl.filter(F.col("line") == l), "v", F.col("actual"))
     spend_lines = _one(pnl.filter(F.col("kind") == "category") .filter(F.col("line") != "Revenue"),
                        "v", F.col("actual"))
-    ent = entity_variances(month)
-    dep = department_variances(month)
-    cc = cost_centre_variances(month)
+    ent = entity_variances(month, rounded=False)
+    dep = department_variances(month, rounded=False)
+    cc = cost_centre_variances(month, rounded=False)
     exp = with_expense_group(month.filter(F.col("category") != "Revenue"))
-    leaves = leaf_variances(month)
+    leaves = leaf_variances(month, rounded=False)
     checks = [
         ("entity net income = P&L net income", _one(ent, "v", F.col("net_actual")), line("Net income")),
         ("entity revenue = P&L revenue", _one(ent, "v", F.col("revenue")), line("Revenue")),
@@ -214,8 +224,8 @@ def reconcile(month: DataFrame, tolerance: float = 0.01) -> DataFrame:
     frames = []
     for name, lhs, rhs in checks:
         j = attach_scalar(lhs.withColumnRenamed("v", "lhs"), rhs.withColumnRenamed("v", "rhs"))
-        frames.append(j.select(F.lit(name).alias("check"), V.dbl("lhs").alias("lhs"),
-                               V.dbl("rhs").alias("rhs"),
+        frames.append(j.select(F.lit(name).alias("check"), V.money("lhs").alias("lhs"),
+                               V.money("rhs").alias("rhs"),
                                (F.abs(F.col("lhs") - F.col("rhs")) <= F.lit(tolerance)).alias("ok")))
     out = frames[0]
     for f in frames[1:]:

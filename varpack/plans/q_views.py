@@ -270,8 +270,8 @@ def w4_top_movers(spark, sf_dir):
 
 
 def _r(x):
-    """round to cents as the views display them, sum, back to cents"""
-    return f"CAST(CAST(coalesce(sum(CAST(round({x}, 2) AS DOUBLE)), 0) AS DECIMAL(38,2)) AS DOUBLE)"
+    """full-precision total of a view"""
+    return f"coalesce(sum({x}), 0)"
 
 
 _A14 = (
@@ -294,10 +294,9 @@ _A14 = (
     f"(SELECT {_r('a')} FROM pl WHERE kind = 'category' AND line <> 'Revenue') AS pl_spend, "
     f"(SELECT {_r('a')} FROM pl WHERE kind = 'category') AS pl_cat, "
     f"(SELECT {_r('a')} FROM dep) AS dep, (SELECT {_r('a')} FROM cc) AS cc, "
-    f"(SELECT CAST(CAST(coalesce(sum(actual), 0) AS DECIMAL(38,2)) AS DOUBLE) FROM m "
-    "WHERE category <> 'Revenue') AS ex, "
+    "(SELECT coalesce(sum(actual), 0) FROM m WHERE category <> 'Revenue') AS ex, "
     f"(SELECT {_r('a')} FROM acc) AS acc, "
-    "(SELECT CAST(CAST(coalesce(sum(actual), 0) AS DECIMAL(38,2)) AS DOUBLE) FROM m) AS post) "
+    "(SELECT coalesce(sum(actual), 0) FROM m) AS post) "
     "SELECT * FROM (VALUES "
     "('entity net income = P&L net income', (SELECT ent_ni FROM v), (SELECT pl_ni FROM v)), "
     "('entity revenue = P&L revenue', (SELECT ent_rev FROM v), (SELECT pl_rev FROM v)), "
@@ -310,7 +309,8 @@ _A14 = (
 
 
 @register("a14_reconcile", with_views(
-    "SELECT \"check\", lhs, rhs, abs(lhs - rhs) <= 0.01 AS ok FROM (" + _A14 + ") q",
+    "SELECT \"check\", " + S.money("lhs") + " AS lhs, " + S.money("rhs") + " AS rhs, "
+    "abs(lhs - rhs) <= 0.01 AS ok FROM (" + _A14 + ") q",
     "ledger", extra=[MONTH, S.signs_cte()]))
 def a14_reconcile(spark, sf_dir):
     return RU.reconcile(month_frame(spark, sf_dir))
