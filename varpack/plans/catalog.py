@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from . import q_core, q_ingest, q_views  # noqa: F401
+from . import q_classify, q_core, q_ingest, q_views  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
