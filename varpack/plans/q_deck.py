@@ -9,7 +9,17 @@ from .q_core import P, fy_frame, month_frame
 from .registry import register
 
 
-@register("d1_typical_month", None)
+_R2 = S.pnl_full_sql("cube", [])
+_R2_EXTRA = [S.CUBE, S.signs_cte()]
+_AVG = "(ytd_var / CAST(months_elapsed AS DOUBLE))"
+
+
+@register("d1_typical_month", with_views(
+    f"SELECT line_ord, line, var_bud, {_AVG} AS avg_month_var, "
+    f"CASE WHEN {_AVG} <> 0 THEN var_bud / {_AVG} END AS ratio, "
+    f"CASE WHEN abs(var_bud) > abs({_AVG}) * 1.15 THEN 'worse' "
+    f"WHEN abs(var_bud) < abs({_AVG}) * 0.85 THEN 'better' ELSE 'in line' END AS verdict "
+    f"FROM ({_R2}) r", "fy", extra=_R2_EXTRA))
 def d1_typical_month(spark, sf_dir):
     return D.typical_month(fy_frame(spark, sf_dir), P)
 
@@ -19,7 +29,11 @@ def d2_divergence(spark, sf_dir):
     return D.divergence(fy_frame(spark, sf_dir), P)
 
 
-@register("d3_outlook", None)
+@register("d3_outlook", with_views(
+    "SELECT line_ord, line, fy_budget, run_rate, ytd_actual + (fy_budget - ytd_budget) AS plan_for_rest, "
+    "run_rate - (ytd_actual + (fy_budget - ytd_budget)) AS path_gap "
+    f"FROM ({_R2}) r WHERE line IN ('Revenue', 'Gross profit', 'Operating income (EBIT)', 'Net income')",
+    "fy", extra=_R2_EXTRA))
 def d3_outlook(spark, sf_dir):
     return D.outlook(fy_frame(spark, sf_dir), P)
 
