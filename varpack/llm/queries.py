@@ -3,7 +3,7 @@ those that SQL can express on whole tables."""
 
 from __future__ import annotations
 
-from . import cover_dedup, embedding_forest, jaccard_join, packing, suffix_array, token_files, topk
+from . import byte_bpe, cover_dedup, embedding_forest, jaccard_join, packing, suffix_array, token_files, topk
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_array.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_elias_fano_token_files": token_files.query,
     "op7_histogram_top_k": topk.query,
     "op8_cover_substring_dedup": cover_dedup.query,
+    "op9_distinct_word_bpe": byte_bpe.query,
     "op10_harmonic_packing": packing.query,
 }
 
