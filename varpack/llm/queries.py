@@ -3,12 +3,13 @@ those that SQL can express on whole tables."""
 
 from __future__ import annotations
 
-from . import byte_bpe, cover_dedup, embedding_forest, jaccard_join, packing, suffix_array, token_files, topk
+from . import byte_bpe, cover_dedup, embedding_forest, jaccard_join, packing, suffix_array, token_files, topk, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_array.query,
     "op2_ngram_jaccard_join": jaccard_join.query,
     "op3_embedding_forest_dedup": embedding_forest.query,
+    "op4_toxicity_chain": toxicity.query,
     "op5_elias_fano_token_files": token_files.query,
     "op7_histogram_top_k": topk.query,
     "op8_cover_substring_dedup": cover_dedup.query,
