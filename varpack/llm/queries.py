@@ -3,7 +3,7 @@ those that SQL can express on whole tables."""
 
 from __future__ import annotations
 
-from . import byte_bpe, cover_dedup, embedding_forest, jaccard_join, packing, suffix_array, token_files, topk, toxicity
+from . import byte_bpe, cover_dedup, embedding_forest, jaccard_join, license_scan, packing, suffix_array, token_files, topk, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_array.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_embedding_forest_dedup": embedding_forest.query,
     "op4_toxicity_chain": toxicity.query,
     "op5_elias_fano_token_files": token_files.query,
+    "op6_license_scan": license_scan.query,
     "op7_histogram_top_k": topk.query,
     "op8_cover_substring_dedup": cover_dedup.query,
     "op9_distinct_word_bpe": byte_bpe.query,
@@ -18,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_license_scan": license_scan.oracle_sql(),
     "op7_histogram_top_k": topk.ORACLE_SQL,
 }
