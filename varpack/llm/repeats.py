@@ -29,6 +29,7 @@ from .textcore import (CODES, U64, buffers, mix, prefix, row_slices, sliding_min
 BLOCK_SCHEMA = "part int, records binary, marks binary"
 MARK_SCHEMA = "did long, tag int, kind int, pos int, len int"
 MARKED, EXPAND = 0, 1
+_MARKS = 1 << 9    # marks a row carries, where parts are enough
 _FLUSH = 1 << 20   # records a map task holds before it collapses and emits them
 _TILE = 1 << 21    # symbols hashed at a time
 _PLACE = U64((1 << 28) - 1)  # low bits that hold a place while owners are sought
@@ -52,7 +53,7 @@ def sequences(texts: pa.Array, w: Windows) -> Iterator[tuple[int, int, np.ndarra
     slices of the column as symbol sequences. A text longer than a slice comes
     in tiles that overlap by a window less one symbol."""
     offsets, data = buffers(texts)
-    for a, b in row_slices(offsets, _TILE if w.unit == "byte" else 4 * _TILE):
+    for a, b in row_slices(offsets, _TILE if w.unit == "byte" else 2 * _TILE):
         part = offsets[a: b + 1]
         if w.unit == "word":
             start, end, ptr = word_bounds(part, data)
@@ -154,13 +155,16 @@ class Collector:
         _, which, bounds = by_part(part)
         blobs = [pack_records([a[i:j] for a in keep]) for i, j in zip(bounds[:-1], bounds[1:])]
         out_part, out_rec, out_mark = [int(p) for p in which], blobs, [None] * len(blobs)
-        if marked.any():
+        if marked.any():   # already decided here: dealt to parts in document order, to be passed on
             m = [a[marked] for a in r[2:]]
             order = np.lexsort((m[2], m[1], m[0]))
             m = [a[order] for a in m]
-            out_part.append(int(abs(int(m[0][0])) % self.parts))
-            out_rec.append(None)
-            out_mark.append(pack([np.diff(m[0], prepend=0), m[1], m[2], m[3]]))
+            step = max(_MARKS, -(-len(m[0]) // self.parts))
+            for k in range(0, len(m[0]), step):
+                piece = [a[k: k + step] for a in m]
+                out_part.append(int((abs(int(piece[0][0])) + 7919 * k) % self.parts))
+                out_rec.append(None)
+                out_mark.append(pack([np.diff(piece[0], prepend=0), *piece[1:]]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(out_part, pa.int32()), pa.array(out_rec, pa.binary()), pa.array(out_mark, pa.binary())],
             names=["part", "records", "marks"])

@@ -46,14 +46,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, did, tag, text): ``did`` orders documents (a null id comes
-    first) and ``tag`` tells rows apart that share an id but not a text."""
+    first) and ``tag`` tells rows apart that share an id but not a text. With
+    ``whole`` also ``row``, a struct of all columns but the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("_vp_null"))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"),
-        F.hash(text).alias("tag"), text.alias("text"))
+        F.hash(text).alias("tag"), text.alias("text"), *([row.alias("row")] if whole else []))
 
 
 # ---------------------------------------------------------------- packed blocks

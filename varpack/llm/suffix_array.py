@@ -38,49 +38,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import Windows, find_runs  # noqa: F401  (find_runs: used by tests)
-from .repeats import marks_of, repeated_windows, spread_marks, with_marks
+from .repeats import Windows, marks_of, repeated_windows, spread_marks, with_marks
 from .shuffle import documents
 from .textcore import buffers
 
 GRAM = 32
 
 
-def removed_marks(docs: DataFrame, size: int = 100, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents, marks): window starts whose ``size`` bytes also start earlier."""
+def _cut(docs: DataFrame, size: int, gram: int, whole: bool) -> DataFrame:
+    """Per row of ``docs`` (see ``documents``): what is removed and what stays."""
     w = Windows("byte", size, min(gram, size), later=True)
-    return docs, repeated_windows(docs, docs.select("did", "tag", "text"), w)
-
-
-def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and
-    kept_text (the remaining bytes; broken characters at the cuts dropped)."""
-    docs, marks = removed_marks(documents(docs, id_col, text_col), size)
+    marks = repeated_windows(docs, docs.select("did", "tag", "text"), w)
+    carried = ["row"] if whole else ["doc_id"]
+    numbers = ["n_bytes", "n_removed", "n_spans"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
-            ptr, pos, _ = marks_of(batch)
-            length = _
-            n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
+            ptr, pos, length = marks_of(batch)
+            out = []
             for i in range(batch.num_rows):
                 raw = data[offsets[i]: offsets[i + 1]]
+                if ptr[i + 1] == ptr[i]:
+                    out.append((len(raw), 0, 0, raw.tobytes()))
+                    continue
                 gone = spread_marks(pos[ptr[i]: ptr[i + 1]], length[ptr[i]: ptr[i + 1]] + size - 1, len(raw))
-                rest = raw[~gone].tobytes() if ptr[i + 1] > ptr[i] else raw.tobytes()
-                n_bytes.append(len(raw))
-                n_removed.append(len(raw) - len(rest))
-                n_spans.append(int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) and gone[0])) if len(rest) < len(raw) else 0)
-                digest.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest.decode("utf-8", "ignore"))
+                out.append((len(raw), int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]), raw[~gone].tobytes()))
+            cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("did"), batch.column("tag"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
-                names=["doc_id", "did", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                [*[batch.column(c) for c in carried], *[pa.array(c, pa.int64()) for c in cols[:3]],
+                 pa.array([hashlib.sha256(x).hexdigest() for x in cols[3]], pa.string()),
+                 pa.array([x.decode("utf-8", "ignore") for x in cols[3]] if whole else [None] * len(cols[3]), pa.string())],
+                names=[*carried, *numbers, "kept_sha256", "kept_text"])
+
+    kinds = dict((f.name, f.dataType.simpleString()) for f in docs.schema.fields)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in carried), *(f"{c} long" for c in numbers), "kept_sha256 string", "kept_text string"])
+    return with_marks(docs, marks, "left").select(*carried, "text", "marks").mapInArrow(task, schema)
+
+
+def remove_repeats(docs: DataFrame, size: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
+    return _cut(documents(docs, id_col, text_col), size, gram, whole=False).drop("kept_text")
+
 
-    return with_marks(docs, marks, "left").mapInArrow(
-        task, "doc_id long, did long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+def deduplicated_documents(docs: DataFrame, size: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the text cut (bytes that are no longer whole characters at
+    the cuts are dropped; a null text stays null); other columns as they are."""
+    cut = _cut(documents(docs, id_col, text_col, whole=True), size, gram, whole=True)
+    text = F.when(~F.col("row._vp_null"), F.col("kept_text"))
+    return cut.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs)

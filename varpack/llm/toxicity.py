@@ -40,6 +40,7 @@ MIN_DOCS = 3
 L2 = 0.3
 LEAST_CHI = 10.8      # one chance in a thousand
 CATEGORIES = ("low_quality", "toxic")
+PROBABILITIES = ("p_low_quality", "p_toxic")
 
 #: letters are bytes that are not ASCII punctuation, digits or white space
 _LETTER = np.ones(256, bool)
@@ -215,11 +216,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
     return models
 
 
-def score_documents(docs: DataFrame, models: list[dict], categories: tuple[str, ...] = CATEGORIES, threshold: float = 0.5,
-                    text_col: str = "text") -> DataFrame:
-    """``docs`` with p_<category> for each category and ``toxic`` (the last
-    category's probability is at least ``threshold``)."""
-    names = [f"p_{c}" for c in categories]
+def score_documents(docs: DataFrame, models: list[dict], threshold: float = 0.5, probabilities: tuple[str, ...] = PROBABILITIES,
+                    verdict: str = "toxic", text_col: str = "text") -> DataFrame:
+    """``docs`` with a probability column per model and ``verdict``: 1 where the
+    last one is at least ``threshold``. Columns of these names are replaced."""
+    docs = docs.drop(*[c for c in (*probabilities, verdict) if c != text_col])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = []
@@ -239,15 +240,11 @@ def score_documents(docs: DataFrame, models: list[dict], categories: tuple[str,
                     extra = np.c_[extra, p]
             cols = [pa.array(np.concatenate(g) if g else np.zeros(0), pa.float64()) for g in got]
             keep = [n for n in batch.schema.names if n != "_vp_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], *cols], names=[*keep, *[f"_vp_{n}" for n in names]])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], *cols], names=[*keep, *probabilities])
 
-    taken = {c for c in docs.columns}
     wide = docs.withColumn("_vp_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"_vp_{n} double" for n in names)])
-    out = wide.mapInArrow(task, schema)
-    for n in names:
-        out = out.withColumnRenamed(f"_vp_{n}", n) if n not in taken else out.withColumn(n, F.col(f"_vp_{n}")).drop(f"_vp_{n}")
-    return out.withColumn("toxic", (F.col(names[-1]) >= threshold).cast("int"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{n} double" for n in probabilities)])
+    return wide.mapInArrow(task, schema).withColumn(verdict, (F.col(probabilities[-1]) >= threshold).cast("int"))
 
 
 def load_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
