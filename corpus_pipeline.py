@@ -1,21 +1,56 @@
 """Corpus pipeline: stages over ``documents``, each one of the llm operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read back as the docs of the next one.
+as Parquet and read back as the docs of the next one. All stages but the last
+return the columns of their docs.
 """
 
 from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from varpack.llm import jaccard_join, packing, suffix_array, toxicity
 from varpack.llm.shuffle import shared_folder
 
-STAGES: list = []
+TOKENIZER = "byte_bpe_50k.json"
 
-#: No stage before packing can be written in SQL (trained model, similarity
-#: components, byte-level cuts); the tests hold the rows against brute force.
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not call toxic."""
+    models = toxicity.train_chain(docs, toxicity.load_labels(spark, sf_dir))
+    named = [f"_verdict_{c}" for c in toxicity.PROBABILITIES]   # no clash with columns of docs
+    scored = toxicity.score_documents(docs, models, probabilities=named, verdict="_verdict")
+    return scored.filter("_verdict = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near duplicates;
+    documents without an id cannot be told apart and stay."""
+    groups = jaccard_join.near_duplicates(docs)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that an earlier place already holds."""
+    cut = suffix_array.deduplicated_documents(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", keep_one_per_group), ("suffix_array_dedup", cut_repeats), ("packing", pack)]
+
+#: A trained model, similarity components and byte-level cuts are beyond SQL;
+#: the tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
