@@ -146,7 +146,7 @@ class Collector:
         self.held, self.n = [], 0
         r, first, count = grouped(r)
         several = np.repeat(count > 1, count)
-        marked = ~first if self.later else several
+        marked = later_than_first(r, first, count) if self.later else several
         keep = [a[first] for a in r] + [count > 1]
         # did, then position: neighbours differ little, so their deltas pack well
         part = ((keep[0] >> U64(32)) * U64(self.parts) >> U64(32)).astype(np.int32)
@@ -180,6 +180,13 @@ def grouped(r: list[np.ndarray]):
     return r, first, np.diff(np.r_[np.flatnonzero(first), len(first)])
 
 
+def later_than_first(r: list[np.ndarray], first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Records at another place than the first of their group: a repeated row
+    of one document is the same place."""
+    at = np.flatnonzero(first)
+    return np.logical_or.reduce([a != np.repeat(a[at], count) for a in r[2:5]])
+
+
 def pack_records(r: list[np.ndarray]) -> bytes:
     key, sub, did, tag, pos, length, dup = r
     sub = sub if sub.any() else sub[:0]
@@ -227,7 +234,7 @@ def resolve(packed: DataFrame, w: Windows) -> DataFrame:
         if held:
             r, first, count = grouped([np.concatenate(c) for c in zip(*held)])
             if w.later:
-                repeat = ~first
+                repeat = later_than_first(r, first, count)
             else:
                 some = np.logical_or.reduceat(r[6], np.flatnonzero(first)) | (count > 1)
                 repeat = np.repeat(some, count)
