@@ -22,7 +22,7 @@ CREDIT_MARKERS = ["c", "cr", "credit", "h", "k", "-", "2"]
 # Trailing credit/debit marker on an amount.
 TRAILING_MARKER = r"(?i)[\s.]*\b(cr|dr)\b[\s.]*$"
 
-AMOUNT_TYPE = "decimal(18,4)"
+AMOUNT_TYPE = "decimal(38,6)"
 
 
 def _c(x) -> Column:

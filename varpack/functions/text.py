@@ -47,8 +47,10 @@ def _c(x) -> Column:
 
 
 def fold(x) -> Column:
-    """Lower case and strip accents; punctuation kept."""
-    return F.translate(F.lower(_c(x).cast("string")), ACCENTED, UNACCENTED)
+    """Lower case and strip accents, whether composed or written as a letter
+    and a combining mark; punctuation kept."""
+    plain = F.translate(F.lower(_c(x).cast("string")), ACCENTED, UNACCENTED)
+    return F.regexp_replace(plain, r"\p{M}+", "")
 
 
 def normalise_header(x) -> Column:

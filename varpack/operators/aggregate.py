@@ -11,6 +11,7 @@ every line is present even when a category has no rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -148,12 +149,19 @@ def five_figures(df: DataFrame, by: Sequence[str], period_no: int) -> DataFrame:
     return df.groupBy(*by).agg(*[dsum(e).alias(n) for n, e in ms.items()])
 
 
+def month_bit() -> Column:
+    """The month of a row's period key as one bit of an int."""
+    return F.call_function("shiftleft", F.lit(1), (F.col("period_no") % 100).cast("int"))
+
+
 def months_elapsed_agg(period_no) -> Column:
     """P9 aggregate: distinct periods <= p with a nonzero actual, else the
-    month number of p, else 1."""
+    month number of p, else 1. The frame is one fiscal year, so the distinct
+    months are the bits of one OR: no distinct aggregate, no expansion of rows."""
     p = F.lit(period_no) if isinstance(period_no, int) else period_no
-    posted = F.count_distinct(F.when((F.col("actual") != 0) & (F.col("period_no") <= p),
-                                     F.col("period_no")))
+    month = F.when((F.col("actual") != 0) & (F.col("period_no") <= p),
+                   month_bit())
+    posted = F.bit_count(F.coalesce(F.bit_or(month), F.lit(0)))
     fallback = F.coalesce((p % 100).cast("int"), F.lit(1))
     return F.when(posted > 0, posted).otherwise(fallback).cast("int")
 
@@ -173,9 +181,18 @@ def attach_group_aggregates(df: DataFrame, by: Sequence[str],
     is broadcast; with keys the side has one row per group and AQE picks the
     join from its measured size."""
     g = df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()])
-    if by:
-        return df.join(g, list(by), "left")
-    return attach_scalar(df, g)
+    return join_on_keys(df, g, by)
+
+
+def join_on_keys(df: DataFrame, one_per_key: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left join on ``by`` where NULL keys are equal (a NULL key is a group of
+    its own, as in an aggregate); without keys the other side is one row."""
+    if not by:
+        return attach_scalar(df, one_per_key)
+    right = one_per_key.select(*[F.col(k).alias(f"_k_{k}") for k in by],
+                               *[c for c in one_per_key.columns if c not in by])
+    cond = reduce(lambda x, y: x & y, [df[k].eqNullSafe(right[f"_k_{k}"]) for k in by])
+    return df.join(right, cond, "left").drop(*[f"_k_{k}" for k in by])
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions import commentary as T
 from ..functions import measures as V
 from ..functions.measures import Materiality
 from ..functions.structure import LINE_OF_CATEGORY
-from .aggregate import attach_scalar, dsum
+from .aggregate import attach_scalar, dsum, join_on_keys
 from .reports import build_report, leaf_variances, pnl_full
 
 NO_BUDGET_LINE = " actual; no budget supplied."
@@ -180,7 +180,7 @@ def narrative(gl: DataFrame, by: Sequence[str] = (), rule: Materiality = Materia
     drv = lv.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.when(F.col("fav_unfav") == "U", item))).alias("u"),
         F.sort_array(F.collect_list(F.when(F.col("fav_unfav") == "F", item))).alias("f"))
-    wide = wide.join(drv, by, "left") if by else attach_scalar(wide, drv)
+    wide = join_on_keys(wide, drv, by) if by else attach_scalar(wide, drv)
     nu, nf = F.coalesce(F.size("u"), F.lit(0)), F.coalesce(F.size("f"), F.lit(0))
     unfav = F.when(nu > 0, F.concat(F.lit("The main unfavourable drivers were "),
                                     T.join_names(F.col("u.p")), F.lit(".")))

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures as V
-from .aggregate import attach_scalar, dsum, horizon_measures
-from .periods import dims_present
-from .reports import build_report, leaf_variances, pnl_full
+from ..functions.structure import CATEGORIES
+from .aggregate import dsum, horizon_measures
+from .periods import present_aggs
+from .reports import leaf_variances, pnl_full
 
 # Fixed values (must equal the reference).
 WORSE_RATIO = 1.15
@@ -36,12 +37,14 @@ def typical_month(fy: DataFrame, period_no: int, by: Sequence[str] = ()) -> Data
 
 def divergence(fy: DataFrame, period_no: int, by: Sequence[str] = ()) -> DataFrame:
     """The category line whose month differs most from its average month
-    (|month / average|, average at least 1000 in magnitude)."""
+    (|month / average|, average at least 1000 in magnitude); of equal ratios
+    the line that sorts last."""
     t = typical_month(fy, period_no, by).filter(
         F.col("line").isin("Revenue", "Cost of goods sold", "Operating expenses", "Other expenses")
         & (F.abs(F.col("avg_month_var")) >= DIVERGENCE_FLOOR))
-    return t.groupBy(*by).agg(F.max_by("line", F.abs(F.col("ratio"))).alias("line"),
-                              F.max(F.abs(F.col("ratio"))).alias("abs_ratio"))
+    best = F.max(F.struct(F.abs(F.col("ratio")).alias("r"), "line"))
+    return t.groupBy(*by).agg(best.alias("b")).filter("b IS NOT NULL").select(
+        *by, F.col("b.line").alias("line"), F.col("b.r").alias("abs_ratio"))
 
 
 def outlook(fy: DataFrame, period_no: int, by: Sequence[str] = ()) -> DataFrame:
@@ -53,25 +56,25 @@ def outlook(fy: DataFrame, period_no: int, by: Sequence[str] = ()) -> DataFrame:
                     (F.col("run_rate") - rest).alias("path_gap"))
 
 
-def profit_bridge(month: DataFrame) -> DataFrame:
-    """Material accounts of the month: revenue shortfall, cost overrun,
-    their impact on profit, the residual against the net-income variance and
-    the largest mover."""
-    leaves = leaf_variances(month, rounded=False).filter(F.col("material"))
-    rev = F.col("category") == "Revenue"
+def profit_bridge(frame: DataFrame) -> DataFrame:
+    """D4 over the year to date (or one month where there is no more): all
+    material accounts, netted: how far revenue falls short, how far cost is
+    over, their effect on profit, the residual against the net-income variance
+    and the largest mover."""
+    leaves = leaf_variances(frame, rounded=False)
+    rev, hit = F.col("category") == "Revenue", F.col("material")
+    sign = F.when(rev, 1).otherwise(-1)
     agg = leaves.agg(
-        dsum(F.when(rev & (F.col("var_bud") < 0), -F.col("var_bud"))).alias("revenue_shortfall"),
-        dsum(F.when(~rev & (F.col("var_bud") > 0), F.col("var_bud"))).alias("cost_overrun"),
-        F.max_by("account_name", F.struct(F.abs(F.col("var_bud")), F.col("account_code")))
+        dsum(F.when(hit & rev, -F.col("var_bud"))).alias("revenue_shortfall"),
+        dsum(F.when(hit & ~rev, F.col("var_bud"))).alias("cost_overrun"),
+        dsum(F.when(F.col("category").isin(*CATEGORIES), F.col("var_bud") * sign)).alias("ni_var"),
+        F.max_by(F.when(hit, F.col("account_name")), F.when(hit, F.struct(F.abs(F.col("var_bud")), F.col("account_code"))))
          .alias("largest_mover"),
-        F.count(F.lit(1)).alias("n_material"))
-    ni = (build_report(month, rounded=False).filter(F.col("line") == "Net income")
-          .select(F.col("var_bud").alias("ni_var")))
-    j = attach_scalar(agg, ni)
+        F.count_if(hit).alias("n_material")).filter("n_material > 0")
     impact = -(F.col("revenue_shortfall") + F.col("cost_overrun"))
-    return j.select(V.money("revenue_shortfall").alias("revenue_shortfall"),
-                    V.money("cost_overrun").alias("cost_overrun"), V.money(impact).alias("impact"),
-                    V.money(F.col("ni_var") - impact).alias("residual"), "largest_mover", "n_material")
+    return agg.select(V.money("revenue_shortfall").alias("revenue_shortfall"),
+                      V.money("cost_overrun").alias("cost_overrun"), V.money(impact).alias("impact"),
+                      V.money(F.col("ni_var") - impact).alias("residual"), "largest_mover", "n_material")
 
 
 def spend_and_entities(fy: DataFrame, period_no: int) -> DataFrame:
@@ -94,13 +97,12 @@ def spend_and_entities(fy: DataFrame, period_no: int) -> DataFrame:
 
 def views_available(fy: DataFrame, period_no: int) -> DataFrame:
     """Which views the data supports: a plan, more than one period, a
-    full-year plan, and each dimension."""
+    full-year plan, and each dimension. One pass, no distinct aggregate."""
     ms = horizon_measures(period_no)
-    base = fy.agg((F.coalesce(F.sum(F.abs("budget")), F.lit(0)) > 0).alias("has_plan"),
-                  (F.count_distinct(F.when(F.col("period_no") <= period_no, F.col("period_no"))) > 1)
-                  .alias("multi_period"),
+    upto = F.when(F.col("period_no") <= period_no, F.col("period_no"))
+    several = lambda e: F.coalesce(F.min(e) < F.max(e), F.lit(False))
+    return fy.agg((F.coalesce(F.sum(F.abs("budget")), F.lit(0)) > 0).alias("has_plan"),
+                  several(upto).alias("multi_period"),
                   (F.coalesce(F.sum(ms["fybud"]), F.lit(0)) != 0).alias("has_fy_plan"),
-                  (F.count_distinct("entity") > 1).alias("entity_view"))
-    dims = dims_present(fy).select(*[F.col(c).alias(f"{c}_present") for c in
-                                     ("period", "expense_type", "department", "cost_centre", "entity")])
-    return attach_scalar(base, dims)
+                  several(F.col("entity")).alias("entity_view"),
+                  *present_aggs(fy, suffix="_present"))

@@ -2,9 +2,8 @@
 
 Row-level steps are narrow projections and filters (no shuffle). The one
 set-level step, credit-balance sign normalisation (N9), is an aggregate per
-category (four groups after partial aggregation, whatever the row count)
-joined back as a broadcast of at most four rows per money column - never a
-window over the raw postings partitioned by category, which would put a
+category (a handful of groups after partial aggregation, whatever the row
+count) joined back - never a window over the raw postings partitioned by category, which would put a
 quarter of the ledger in one task.
 """
 
@@ -12,13 +11,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as PA
 from ..functions.text import looks_like_total
-from ..session import sized_broadcast
+from .aggregate import join_on_keys
 
+LOGGED_NAMES = 4
 MONEY = ["actual", "budget", "prior_year"]
 OPTIONAL_DIMS = ["period", "expense_type", "department", "cost_centre", "entity"]
 
@@ -90,13 +90,17 @@ def drop_non_account_rows(df: DataFrame) -> DataFrame:
 
 def dropped_rows_log(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The drop log per group: totals dropped (count, first four names in
-    name order) and empty rows dropped."""
+    name order) and empty rows dropped. Names are reduced to one row each and
+    ranked before the four are put in one list."""
     k = row_kinds(df)
-    return k.groupBy(*by).agg(
-        F.sum(F.col("_total").cast("int")).alias("total_rows"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("_total"), F.trim(F.col("account_name"))))),
-                1, 4).alias("total_names"),
-        F.sum(F.col("_empty").cast("int")).alias("empty_rows"))
+    counts = k.groupBy(*by).agg(F.sum(F.col("_total").cast("int")).alias("total_rows"),
+                                F.sum(F.col("_empty").cast("int")).alias("empty_rows"))
+    names = (k.filter("_total").select(*by, F.trim(F.col("account_name")).alias("_name")).distinct())
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_name"))
+    first = (names.withColumn("_rank", rank).filter(F.col("_rank") <= LOGGED_NAMES)
+             .groupBy(*by).agg(F.sort_array(F.collect_list("_name")).alias("total_names")))
+    out = join_on_keys(counts, first, by)
+    return out.select(*by, "total_rows", F.coalesce("total_names", F.array().cast("array<string>")).alias("total_names"), "empty_rows")
 
 
 # ---------------------------------------------------------------------------
@@ -127,8 +131,7 @@ def sign_flips(df: DataFrame, money: Sequence[str] = MONEY) -> DataFrame:
 def normalise_signs(df: DataFrame, money: Sequence[str] = MONEY) -> DataFrame:
     """Every category reported as a positive magnitude."""
     money = [m for m in money if m in df.columns]
-    # one row per distinct category: broadcast only behind the size check
-    flips = sized_broadcast(sign_flips(df, money), 10_000)
+    flips = sign_flips(df, money)   # one row per category: adaptive execution picks the join
     j = df.join(flips, df["category"].eqNullSafe(flips["category"]), "left").drop(flips["category"])
     for m in money:
         j = j.withColumn(m, F.when(F.coalesce(F.col(f"{m}__flip"), F.lit(False)), -F.col(m))

@@ -42,11 +42,14 @@ def reporting_period(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def filter_period(df: DataFrame, period: str, by: Sequence[str] = ()) -> DataFrame:
     """Keep one period; when no row of the frame (group) matches, the
-    frame is returned unchanged."""
-    hit = (F.trim(F.col("period")) == F.lit(period)).cast("int")
-    d = attach_group_aggregates(df, by, {"_hits": F.sum(hit)})
-    return (d.filter((F.trim(F.col("period")) == F.lit(period)) | (F.col("_hits") == 0))
-             .drop("_hits"))
+    frame is returned unchanged. Without groups the test is a scalar subquery,
+    evaluated once, so postings meet no join."""
+    wanted = F.trim(F.col("period")) == F.lit(period)
+    if not by:
+        hits = df.filter(wanted).agg(F.count(F.lit(1))).scalar()
+        return df.filter(wanted | (hits == 0))
+    d = attach_group_aggregates(df, by, {"_hits": F.count_if(wanted)})
+    return d.filter(wanted | (F.col("_hits") == 0)).drop("_hits")
 
 
 def year_to_date(df: DataFrame, period_no: int) -> DataFrame:
@@ -68,20 +71,21 @@ def net_frame(df: DataFrame, cols: Sequence[str] = ("actual", "budget")) -> Data
     return df
 
 
-def dims_present(df: DataFrame, by: Sequence[str] = (),
-                 dims: Sequence[str] = ("period", "expense_type", "department",
-                                        "cost_centre", "entity")) -> DataFrame:
-    """A dimension is present when it holds a nonblank value other than
-    '(multiple)'; one aggregate for all dimensions."""
+ALL_DIMS = ("period", "expense_type", "department", "cost_centre", "entity")
+
+
+def present_aggs(df: DataFrame, dims: Sequence[str] = ALL_DIMS, suffix: str = "") -> list[Column]:
+    """P7 as aggregates: a dimension holds a nonblank value other than '(multiple)'."""
     aggs = []
     for d in dims:
-        if d in df.columns:
-            v = F.trim(F.col(d).cast("string"))
-            aggs.append(F.coalesce(F.bool_or(v.isNotNull() & (v != "") & (v != MULTIPLE)),
-                                   F.lit(False)).alias(d))
-        else:
-            aggs.append(F.lit(False).alias(d))
-    return df.groupBy(*by).agg(*aggs)
+        v = F.trim(F.col(d).cast("string")) if d in df.columns else F.lit(None).cast("string")
+        aggs.append(F.coalesce(F.bool_or(v.isNotNull() & (v != "") & (v != MULTIPLE)), F.lit(False)).alias(d + suffix))
+    return aggs
+
+
+def dims_present(df: DataFrame, by: Sequence[str] = (), dims: Sequence[str] = ALL_DIMS) -> DataFrame:
+    """Which dimensions are present, in one aggregate."""
+    return df.groupBy(*by).agg(*present_aggs(df, dims))
 
 
 def expense_group_table(spark) -> DataFrame:
@@ -124,5 +128,6 @@ def ytd_all_periods(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def union_periods(frames: Sequence[DataFrame]) -> DataFrame:
-    """Union of period frames by column name."""
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """Union of period frames by column name; a column that a frame lacks
+    is NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -1,23 +1,22 @@
 """Plan (budget) joins.
 
-The plan is pre-aggregated on the join key before it meets the actuals, so
-the full outer join shuffles one row per key on the plan side. Proportional
-allocation (J2) needs each key's total |actual| and line count; those are a
-window partitioned by exactly the join keys, so Spark reuses the join's hash
-partitioning and adds no exchange, and each window partition holds only the
-lines of one plan key.
+The plan is pre-aggregated on the join key before it meets the actuals.
+Proportional allocation (J2) needs each key's total |actual| and line count:
+an aggregate that is combined before the shuffle, joined with the plan to one
+row per key. Lines then stream past that row, so a key that holds a third of
+the ledger is a skewed join side, which adaptive execution splits, and never a
+group that one task must hold. Plan keys without a line are appended.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import infer_category, period_key
-from .aggregate import dsum
+from .aggregate import attach_scalar, dsum, join_on_keys
 
 DIMS = ["period", "expense_type", "department", "cost_centre", "entity"]
 TEXT = ["account_name", "category"]
@@ -28,24 +27,39 @@ def plan_keys(actuals: DataFrame, plan: DataFrame) -> list[str]:
     return ["account_code"] + [d for d in DIMS if d in actuals.columns and d in plan.columns]
 
 
+def plan_amounts(plan: DataFrame) -> DataFrame:
+    """A plan file that carries its amounts as ``actual`` (no budget at all,
+    or none but zeros) has that column read as the budget."""
+    if "actual" not in plan.columns:
+        return plan
+    if "budget" not in plan.columns:
+        return plan.withColumnRenamed("actual", "budget")
+    total = plan.agg(F.coalesce(F.sum(F.abs("budget")), F.lit(0)).alias("b"), F.coalesce(F.sum(F.abs("actual")), F.lit(0)).alias("a"))
+    d = attach_scalar(plan, total)
+    return d.withColumn("budget", F.when((F.col("b") == 0) & (F.col("a") > 0), F.col("actual")).otherwise(F.col("budget"))).drop("a", "b")
+
+
 def budget_join(actuals: DataFrame, plan: DataFrame, allocate: bool = True) -> DataFrame:
     """Full outer join of actuals and the aggregated plan on the shared
     key (NULL keys equal), plan allocated in proportion to |actual| (evenly
-    when the key has no actuals), plan-only rows filled."""
+    when the key has no actuals), plan-only rows filled. The allocated budget
+    is a double: a share of a decimal has no fixed scale."""
     keys = plan_keys(actuals, plan)
-    b = plan.groupBy(*keys).agg(dsum(F.col("budget")).alias("budget"))
+    b = plan_amounts(plan).groupBy(*keys).agg(dsum(F.col("budget")).alias("budget"))
     a = actuals.drop("budget", "period_no")
-    cond = reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-    j = a.join(b, cond, "full_outer")
-    out = j.select(*[F.coalesce(a[k], b[k]).alias(k) for k in keys],
-                   *[a[c] for c in a.columns if c not in keys], b["budget"])
+    size = F.abs(F.coalesce(F.col("actual"), F.lit(0)))
+    lines = a.groupBy(*keys).agg(F.sum(size).alias("_total"), F.count(F.lit(1)).alias("_n"))
+    per_key = join_on_keys(b, lines, keys)
+    out = join_on_keys(a, per_key, keys)
     if allocate:
-        w = Window.partitionBy(*keys)
-        tot = F.sum(F.abs(F.coalesce(F.col("actual"), F.lit(0)))).over(w).cast("double")
-        n = F.count(F.lit(1)).over(w).cast("double")
-        share = F.when(tot > 0, F.abs(F.col("actual")).cast("double") / tot).otherwise(F.lit(1.0) / n)
+        total, n = F.col("_total").cast("double"), F.col("_n").cast("double")
+        share = F.when(total > 0, F.abs(F.col("actual")).cast("double") / total).otherwise(F.lit(1.0) / n)
         out = out.withColumn("budget", F.col("budget").cast("double") * share)
-    return fill_plan_only(out)
+    out = out.drop("_total", "_n")
+    alone = per_key.filter(F.col("_n").isNull()).drop("_total", "_n")
+    if allocate:
+        alone = alone.withColumn("budget", F.col("budget").cast("double"))
+    return fill_plan_only(out.unionByName(alone, allowMissingColumns=True))
 
 
 def fill_plan_only(df: DataFrame) -> DataFrame:

@@ -16,10 +16,6 @@ from ..functions.measures import Materiality
 from .aggregate import (account_cube, attach_group_aggregates, budgeted_agg, category_sums, dsum, horizon_measures,
                         lines_from_sums, months_elapsed_agg)
 
-REPORT_COLUMNS = ["line_ord", "line", "kind", "actual", "budget", "prior_year", "var_bud",
-                  "var_bud_pct", "var_py", "var_py_pct", "fav_unfav", "material"]
-
-
 # ---------------------------------------------------------------------------
 # R1 build_report
 # ---------------------------------------------------------------------------
@@ -139,7 +135,7 @@ def leaf_variances(gl: DataFrame, by: Sequence[str] = (),
                    rule: Materiality = Materiality(), budgeted: bool | None = None,
                    rounded: bool = True) -> DataFrame:
     """Variance per leaf (account) with F/U and materiality; plan-gated per
-    ``by`` group. Ordered by |variance| descending, code ascending."""
+    ``by`` group. ``by_size`` puts the rows in report order."""
     by = list(by)
     keys = by + [g for g in grain if g not in by]
     leaves = gl.groupBy(*keys).agg(*[dsum(F.col(m)).alias(m)
@@ -162,3 +158,8 @@ def leaf_variances(gl: DataFrame, by: Sequence[str] = (),
          .otherwise("").alias("fav_unfav"),
         (b & V.material("_var", "_pct", rule)).alias("material"),
     )
+
+
+def by_size(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Leaf rows in report order: groups, then |variance| descending, then code."""
+    return leaves.orderBy(*by, F.abs(F.col("var_bud")).desc_nulls_last(), "account_code")

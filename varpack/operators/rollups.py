@@ -1,13 +1,14 @@
 """Roll-up views: department, cost centre, entity, expense report, drivers,
 reconciliation (A5-A11, A14, A15, W4).
 
-Every view aggregates the postings (or the cube) once; subtotals come from
-``groupingSets`` in the same aggregate, so a subtotal adds the base figures
+Every view sums the postings once, to the rows of its finest level; subtotals
+are ``groupingSets`` over those few rows, so a subtotal adds the base figures
 and re-derives percentages and flags (V11) instead of adding them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,19 +16,38 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as V
 from ..functions.measures import Materiality
-from .aggregate import (account_cube, attach_scalar, budgeted_agg, dsum, horizon_measures,
-                        months_elapsed_agg)
+from ..functions.structure import CATEGORIES, SIGN_MATRIX
+from .aggregate import MONEY, attach_scalar, dsum, horizon_measures, month_bit, present_dims
 from .periods import MULTIPLE, net_frame, with_expense_group
 from .reports import report_tail
 
 BASE = ["act", "bud", "yact", "ybud", "fybud"]
 
 
+def leaf_frame(fy: DataFrame, keys: Sequence[str], period_no: int) -> DataFrame:
+    """One row per ``keys``: the five figures and what the report context needs
+    (plan size, months posted as bits, smallest and largest entity). The only
+    pass over the postings; every level of a report comes from these rows."""
+    p = F.lit(period_no)
+    month = F.when((F.col("actual") != 0) & (F.col("period_no") <= p),
+                   month_bit())
+    return fy.groupBy(*keys).agg(
+        *_base_aggs(period_no), F.sum(F.abs("budget")).alias("_plan"), F.bit_or(month).alias("_bits"),
+        F.min("entity").alias("_first"), F.max("entity").alias("_last"))
+
+
+def context_aggs(period_no: int) -> list[Column]:
+    """Plan presence, months elapsed and whether there are several entities,
+    over leaf rows."""
+    posted = F.bit_count(F.coalesce(F.bit_or("_bits"), F.lit(0)))
+    return [(F.coalesce(F.sum("_plan"), F.lit(0)) > 0).alias("_budgeted"),
+            F.when(posted > 0, posted).otherwise(F.lit(period_no % 100 or 1)).cast("int").alias("_months"),
+            (F.min("_first") < F.max("_last")).alias("_several")]
+
+
 def report_context(fy: DataFrame, period_no: int) -> DataFrame:
-    """One row: plan presence, months elapsed and entity count of the frame."""
-    return fy.agg(budgeted_agg().alias("_budgeted"),
-                  months_elapsed_agg(period_no).alias("_months"),
-                  F.count_distinct("entity").alias("_n_entities"))
+    """One row: plan presence, months elapsed, several entities or not."""
+    return leaf_frame(fy, [], period_no).agg(*context_aggs(period_no))
 
 
 def _base_aggs(period_no: int) -> list[Column]:
@@ -35,11 +55,24 @@ def _base_aggs(period_no: int) -> list[Column]:
     return [dsum(ms[k]).alias(k) for k in BASE]
 
 
-def _tail(df: DataFrame, ctx: DataFrame, higher, rule: Materiality) -> DataFrame:
-    d = attach_scalar(df, ctx)
+def rolled(leaf: DataFrame, sets: Sequence[Sequence[str]], keys: Sequence[str], shown: Column, period_no: int) -> DataFrame:
+    """Leaf rows at every level of ``sets`` (the last one is the total): the
+    figures of the rows that are ``shown``, and on each row the context of all
+    rows, which the total row knows. Levels without a shown row are dropped."""
+    agg = leaf.groupingSets([list(x) for x in sets], *keys).agg(
+        F.grouping_id().alias("_gid"), *[dsum(F.when(shown, F.col(k))).alias(k) for k in BASE],
+        F.count_if(shown).alias("_shown"), *context_aggs(period_no))
+    total = F.col("_gid") == 2 ** len(keys) - 1
+    report = Window.partitionBy(F.lit(0))     # the rows of one report
+    for c in ("_budgeted", "_months", "_several"):
+        agg = agg.withColumn(c, F.max(F.when(total, F.col(c))).over(report))
+    return agg.filter(F.col("_shown") > 0).drop("_shown")
+
+
+def _tail(df: DataFrame, higher, rule: Materiality) -> DataFrame:
     hib = F.lit(higher) if isinstance(higher, bool) else higher
-    out = report_tail(d, hib, rule, F.col("_budgeted"), F.col("_months"))
-    return out.drop("_budgeted", "_months", "_n_entities")
+    out = report_tail(df, hib, rule, F.col("_budgeted"), F.col("_months"))
+    return out.drop("_budgeted", "_months", "_several")
 
 
 # ---------------------------------------------------------------------------
@@ -75,16 +108,14 @@ def department_variances(detail: DataFrame, rule: Materiality = Materiality(),
 def cost_centre_variances(detail: DataFrame, rule: Materiality = Materiality(),
                           rounded: bool = True) -> DataFrame:
     """Spend variance per cost centre with its parent department (the
-    smallest department seen with the cost centre)."""
-    spend = detail.filter((F.col("category") != "Revenue") & F.col("cost_centre").isNotNull())
-    grp = spend.groupBy("cost_centre").agg(*[dsum(F.col(m)).alias(m)
-                                            for m in ("actual", "budget", "prior_year")])
-    parent = (detail.filter(F.col("cost_centre").isNotNull())
-                    .groupBy("cost_centre").agg(F.min("department").alias("department")))
-    out = _spend_cols(grp, ["cost_centre"], rule, rounded).join(parent, "cost_centre", "left")
-    cols = ["department", "cost_centre"] + [c for c in out.columns
-                                            if c not in ("department", "cost_centre")]
-    return out.select(*cols).orderBy("department", F.col("budget").desc(), "cost_centre")
+    smallest department seen with the cost centre), in one aggregate."""
+    spend = F.coalesce(F.col("category") != "Revenue", F.lit(False))
+    grp = (detail.filter(F.col("cost_centre").isNotNull()).groupBy("cost_centre")
+           .agg(F.min("department").alias("department"), F.count_if(spend).alias("_n"),
+                *[dsum(F.when(spend, F.col(m))).alias(m) for m in ("actual", "budget", "prior_year")])
+           .filter(F.col("_n") > 0))
+    return _spend_cols(grp, ["department", "cost_centre"], rule, rounded).orderBy(
+        "department", F.col("budget").desc(), "cost_centre")
 
 
 def entity_variances(detail: DataFrame, rounded: bool = True) -> DataFrame:
@@ -111,14 +142,16 @@ def entity_variances(detail: DataFrame, rounded: bool = True) -> DataFrame:
 # Pack views with month / YTD / full-year tail
 # ---------------------------------------------------------------------------
 
+def _is_spend() -> Column:
+    return F.coalesce(F.col("category") != "Revenue", F.lit(False))
+
+
 def expense_report(fy: DataFrame, period_no: int, rule: Materiality = Materiality()) -> DataFrame:
     """Expense types within groups, group subtotals and grand total; a
     group with one type shows only its subtotal row."""
-    ctx = report_context(fy, period_no)
-    spend = with_expense_group(fy.filter(F.col("category") != "Revenue"))
+    leaf = leaf_frame(fy.withColumn("_spend", _is_spend()), ["expense_type", "_spend"], period_no)
     keys = ["group_ord", "expense_group", "type_ord", "expense_type"]
-    agg = (spend.groupingSets([keys, keys[:2], []], *keys)
-                .agg(F.grouping_id().alias("_gid"), *_base_aggs(period_no)))
+    agg = rolled(with_expense_group(leaf), [keys, keys[:2], []], keys, F.col("_spend"), period_no)
     level = (F.when(F.col("_gid") == 0, "type").when(F.col("_gid") == 3, "group")
               .otherwise("total"))
     agg = agg.withColumn("level", level)
@@ -127,49 +160,45 @@ def expense_report(fy: DataFrame, period_no: int, rule: Materiality = Materialit
     agg = (agg.withColumn("_n_types", n_types)
               .filter(~((F.col("level") == "type") & (F.col("_n_types") == 1)))
               .drop("_gid", "_n_types"))
-    return _tail(agg, ctx, False, rule)
+    return _tail(agg, False, rule)
 
 
 def department_report(fy: DataFrame, period_no: int, rule: Materiality = Materiality()) -> DataFrame:
     """Department -> cost-centre spend report. Blank and '(multiple)'
     departments are not rows; a blank cost centre stays inside its
     department but is not shown as a leaf; the total adds departments."""
-    ctx = report_context(fy, period_no)
-    spend = fy.filter((F.col("category") != "Revenue")
-                      & ~F.coalesce(F.col("department"), F.lit("")).isin("", MULTIPLE))
-    spend = spend.withColumn("cost_centre", F.coalesce(F.col("cost_centre"), F.lit("")))
+    named = ~F.coalesce(F.col("department"), F.lit("")).isin("", MULTIPLE)
+    leaf = leaf_frame(fy.withColumn("cost_centre", F.coalesce(F.col("cost_centre"), F.lit("")))
+                        .withColumn("_spend", _is_spend() & named), ["department", "cost_centre", "_spend"], period_no)
     keys = ["department", "cost_centre"]
-    agg = (spend.groupingSets([keys, keys[:1], []], *keys)
-                .agg(F.grouping_id().alias("_gid"), *_base_aggs(period_no)))
+    agg = rolled(leaf, [keys, keys[:1], []], keys, F.col("_spend"), period_no)
     level = (F.when(F.col("_gid") == 0, "cost_centre").when(F.col("_gid") == 1, "department")
               .otherwise("total"))
     agg = (agg.withColumn("level", level)
               .filter(~((F.col("level") == "cost_centre")
                         & F.col("cost_centre").isin("", MULTIPLE)))
               .drop("_gid"))
-    return _tail(agg, ctx, False, rule)
+    return _tail(agg, False, rule)
 
 
 def entity_report(fy: DataFrame, period_no: int, rule: Materiality = Materiality()) -> DataFrame:
     """A10: net income per entity plus the consolidated total; produced only
     when the frame holds more than one entity."""
-    ctx = report_context(fy, period_no)
-    net = net_frame(fy.filter(~F.coalesce(F.col("entity"), F.lit("")).isin("", MULTIPLE)))
-    agg = (net.groupingSets([["entity"], []], "entity")
-              .agg(F.grouping_id().alias("_gid"), *_base_aggs(period_no)))
+    leaf = leaf_frame(net_frame(fy), ["entity"], period_no)
+    named = ~F.coalesce(F.col("entity"), F.lit("")).isin("", MULTIPLE)
+    agg = rolled(leaf, [["entity"], []], ["entity"], named, period_no)
     agg = (agg.withColumn("level", F.when(F.col("_gid") == 0, "entity").otherwise("total"))
-              .drop("_gid"))
-    d = attach_scalar(agg, ctx).filter(F.col("_n_entities") > 1)
-    out = report_tail(d, F.lit(True), rule, F.col("_budgeted"), F.col("_months"))
-    return out.drop("_budgeted", "_months", "_n_entities")
+              .filter(F.coalesce("_several", F.lit(False))).drop("_gid"))
+    return _tail(agg, True, rule)
 
 
 def drivers(fy: DataFrame, period_no: int, rule: Materiality = Materiality()) -> DataFrame:
     """One row per account of the fiscal year with the full tail,
-    ordered by |month variance| descending, then code."""
-    ctx = report_context(fy, period_no)
-    agg = fy.groupBy("account_code", "account_name", "category").agg(*_base_aggs(period_no))
-    out = _tail(agg, ctx, V.higher_is_better_for_category("category"), rule)
+    ordered by |month variance| descending, then code. The context is an
+    aggregate of the same leaf rows: their exchange is reused."""
+    leaf = leaf_frame(fy, ["account_code", "account_name", "category"], period_no)
+    agg = attach_scalar(leaf.drop("_plan", "_bits", "_first", "_last"), leaf.agg(*context_aggs(period_no)))
+    out = _tail(agg, V.higher_is_better_for_category("category"), rule)
     return out.orderBy(F.abs(F.col("var_bud")).desc_nulls_last(), "account_code")
 
 
@@ -190,52 +219,47 @@ def top_movers(month: DataFrame, k: int = 12, rule: Materiality = Materiality(),
 # A14 reconciliation, A15 collapse note
 # ---------------------------------------------------------------------------
 
-def _one(df: DataFrame, name: str, e: Column) -> DataFrame:
-    return df.agg(F.coalesce(F.sum(e), F.lit(0)).cast("decimal(38,4)").alias(name))
-
-
 def reconcile(month: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Every view's total against the P&L, as (check, lhs, rhs, ok).
-    Views are taken at full precision (not rounded to cents), so the
-    tolerance tests the views, not the display rounding."""
-    from .reports import build_report, leaf_variances
-    pnl = build_report(month, rounded=False)
-    line = lambda l: _one(pnl.filter(F.col("line") == l), "v", F.col("actual"))
-    spend_lines = _one(pnl.filter(F.col("kind") == "category") .filter(F.col("line") != "Revenue"),
-                       "v", F.col("actual"))
-    ent = entity_variances(month, rounded=False)
-    dep = department_variances(month, rounded=False)
-    cc = cost_centre_variances(month, rounded=False)
-    exp = with_expense_group(month.filter(F.col("category") != "Revenue"))
-    leaves = leaf_variances(month, rounded=False)
+
+    Postings are summed once to the finest grain any view has; the totals of
+    the views (each with its own rule for blank keys) and of the P&L lines are
+    then conditional sums over those rows, in one aggregate. Views are taken at
+    full precision, so the tolerance tests the views, not display rounding."""
+    keys = ["entity", "department", "cost_centre", "expense_type", "category", "account_code"]
+    g = month.groupBy(*keys).agg(dsum(F.col("actual")).alias("a"))
+    rev, spend = F.col("category") == "Revenue", F.col("category") != "Revenue"
+
+    def total(*when: Column) -> Column:
+        return dsum(F.when(reduce(lambda x, y: x & y, when, F.lit(True)), F.col("a")))
+
+    category = {c: total(F.col("category") == c) for c in CATEGORIES}
+    line = lambda label: reduce(lambda x, y: x + y, [category[c] * F.lit(s) for c, s in SIGN_MATRIX[label].items()])
+    entity = F.col("entity").isNotNull()
+    e_rev, e_spend = total(entity, rev), total(entity, spend)
+    spend_lines = category["COGS"] + category["OpEx"] + category["Other"]
+    every = category["Revenue"] + spend_lines
     checks = [
-        ("entity net income = P&L net income", _one(ent, "v", F.col("net_actual")), line("Net income")),
-        ("entity revenue = P&L revenue", _one(ent, "v", F.col("revenue")), line("Revenue")),
-        ("department spend = P&L spend", _one(dep, "v", F.col("actual")), spend_lines),
-        ("cost-centre spend = P&L spend", _one(cc, "v", F.col("actual")), spend_lines),
-        ("expense-type spend = P&L spend", _one(exp, "v", F.col("actual")), spend_lines),
-        ("revenue - spend = net income",
-         _one(ent, "v", F.col("revenue") - F.col("spend")), line("Net income")),
-        ("accounts = revenue + spend", _one(leaves, "v", F.col("actual")),
-         _one(pnl.filter(F.col("kind") == "category"), "v", F.col("actual"))),
-        ("postings = P&L", _one(month, "v", F.col("actual")),
-         _one(pnl.filter(F.col("kind") == "category"), "v", F.col("actual"))),
+        ("entity net income = P&L net income", e_rev - e_spend, line("Net income")),
+        ("entity revenue = P&L revenue", e_rev, line("Revenue")),
+        ("department spend = P&L spend", total(spend, F.col("department").isNotNull()), spend_lines),
+        ("cost-centre spend = P&L spend", total(spend, F.col("cost_centre").isNotNull()), spend_lines),
+        ("expense-type spend = P&L spend", total(spend), spend_lines),
+        ("revenue - spend = net income", e_rev - e_spend, line("Net income")),
+        ("accounts = revenue + spend", total(), every),
+        ("postings = P&L", total(), every),
     ]
-    frames = []
-    for name, lhs, rhs in checks:
-        j = attach_scalar(lhs.withColumnRenamed("v", "lhs"), rhs.withColumnRenamed("v", "rhs"))
-        frames.append(j.select(F.lit(name).alias("check"), V.money("lhs").alias("lhs"),
-                               V.money("rhs").alias("rhs"),
-                               (F.abs(F.col("lhs") - F.col("rhs")) <= F.lit(tolerance)).alias("ok")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    one = g.agg(F.array(*[F.struct(F.lit(n).alias("check"), x.cast(MONEY).alias("l"), y.cast(MONEY).alias("r"))
+                          for n, x, y in checks]).alias("rows"))
+    return one.select(F.inline("rows")).select(
+        "check", V.money("l").alias("lhs"), V.money("r").alias("rhs"),
+        (F.abs(F.col("l") - F.col("r")) <= F.lit(tolerance)).alias("ok"))
 
 
 def collapse_note(postings: DataFrame) -> DataFrame:
     """Input rows before and after aggregation to the account cube."""
-    before = postings.agg(F.count(F.lit(1)).alias("rows_in"))
-    after = account_cube(postings).agg(F.count(F.lit(1)).alias("rows_out"))
-    j = attach_scalar(before, after)
-    return j.select("rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("collapsed"))
+    keys = [c for c in ("account_code", "account_name", "category", *present_dims(postings), "period_no")
+            if c in postings.columns]
+    cube = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return cube.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in"), F.count(F.lit(1)).alias("rows_out")).select(
+        "rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("collapsed"))

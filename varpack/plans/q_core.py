@@ -25,7 +25,7 @@ def fy_frame(spark, sf_dir):
 
 
 def month_frame(spark, sf_dir, period_no=P):
-    return X.ledger(spark, sf_dir).filter(F.col("period_no") == period_no)
+    return X.ledger(spark, sf_dir, months=(period_no, period_no))
 
 
 def _money_cols(df, cols=("actual", "budget", "prior_year")):
@@ -273,7 +273,7 @@ def r1_pnl_by_entity_period(spark, sf_dir):
     + ", false) AS material FROM x CROSS JOIN b", "ledger",
     extra=[f"m AS (SELECT * FROM ledger WHERE period_no = {P})"]))
 def r3_leaf(spark, sf_dir):
-    return R.leaf_variances(month_frame(spark, sf_dir))
+    return R.by_size(R.leaf_variances(month_frame(spark, sf_dir)))
 
 
 @register("r4_kpi", with_views(
@@ -296,8 +296,7 @@ def r5_prior_year(spark, sf_dir):
     S.pnl_full_sql("cube", []), "fy",
     extra=[S.CUBE.replace("sum(budget) AS budget", "sum(0) AS budget"), S.signs_cte()]))
 def v9_no_plan(spark, sf_dir):
-    fy = X.fiscal_year_frame(X.actuals_only(spark, sf_dir), FY)
-    return R.pnl_full(fy, P)
+    return R.pnl_full(X.actuals_only(spark, sf_dir, FY), P)
 
 
 @register("v12_levers", with_views(

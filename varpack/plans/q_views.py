@@ -129,14 +129,14 @@ def w9_ytd_all_periods(spark, sf_dir):
 
 
 @register("u1_union_periods", with_views(
-    "SELECT period_no, count(*) AS n_rows, " + S.money("sum(actual)") + " AS actual FROM ledger "
-    f"WHERE period_no BETWEEN 200001 AND {P} GROUP BY period_no", "ledger"))
+    "SELECT period_no, count(*) + count(DISTINCT (entity, department, account_code)) AS n_rows, "
+    + S.money("sum(actual)") + " AS actual, " + S.money("sum(budget)") + " AS budget FROM ledger GROUP BY period_no", "ledger"))
 def u1_union_periods(spark, sf_dir):
-    led = X.ledger(spark, sf_dir)
-    frames = [led.filter(F.col("period_no") == p) for p in range(200001, P + 1)]
-    u = PR.union_periods(frames)
-    return u.groupBy("period_no").agg(F.count(F.lit(1)).alias("n_rows"),
-                                      V.money(F.sum("actual")).alias("actual"))
+    """Actual postings and the plan, two extracts with different columns."""
+    actuals = X.ledger(spark, sf_dir).select("period", "period_no", "entity", "account_code", "cost_centre", "actual")
+    u = PR.union_periods([actuals, X.plan(spark, sf_dir)])
+    return u.groupBy("period_no").agg(F.count(F.lit(1)).alias("n_rows"), V.money(F.sum("actual")).alias("actual"),
+                                      V.money(F.sum("budget")).alias("budget"))
 
 
 # ---------------------------------------------------------------------------

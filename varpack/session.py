@@ -1,5 +1,4 @@
-"""Session helpers: configuration, table loading, size-checked broadcast and
-lineage cuts.
+"""Session helpers: configuration and table loading.
 
 Nothing here holds data on the driver. Table reads are plain
 ``spark.read.parquet`` so Catalyst prunes columns and pushes filters into the
@@ -8,13 +7,7 @@ scan.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 # Settings every job relies on. ANSI mode stays on (Spark 4 default); money is
 # decimal and parses go through try_cast, so nothing depends on it being off.
@@ -57,59 +50,3 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-# --------------------------------------------------------------------------
-# Broadcast only behind a size check
-# --------------------------------------------------------------------------
-
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The check runs ``limit(max_rows + 1).count()``, which stops reading as soon
-    as the bound is exceeded. Above the bound the frame is returned as it is
-    and the join falls back to a shuffle join (AQE may still convert it at run
-    time from real statistics)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-# --------------------------------------------------------------------------
-# Lineage cuts
-# --------------------------------------------------------------------------
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
-
-    Only when the setting is absent (tests, local runs) is a scratch folder
-    created and recorded, so a cluster job never writes to machine-local
-    storage."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="varpack-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), name)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a CPU-heavy narrow stage over the cluster's cores when the scan
-    yields fewer tasks than there are cores (a small or single-row-group
-    file). On large inputs the scan already has at least one split per core
-    and this returns the frame unchanged, so no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

@@ -21,12 +21,6 @@ from ..session import table
 DEC2 = "decimal(18,2)"
 DEC42 = "decimal(4,2)"
 
-LEDGER_COLUMNS = [
-    "doc_no", "line_no", "period", "period_no", "account_code", "account_name",
-    "category", "expense_type", "entity", "department", "cost_centre",
-    "actual", "budget", "prior_year",
-]
-
 REVENUE_TYPES = ["STANDARD", "LARGE", "PROMO", "MEDIUM"]
 
 
@@ -101,19 +95,25 @@ def order_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("o_orderkey", "entity", "department", "cost_centre"))
 
 
-def ledger(spark: SparkSession, sf_dir: str, fiscal_year: int | None = None) -> DataFrame:
+def ledger(spark: SparkSession, sf_dir: str, fiscal_year: int | None = None,
+           months: tuple[int, int] | None = None) -> DataFrame:
     """The posting ledger (FIXTURES §4 `ledger`).
 
-    With ``fiscal_year`` the year is selected on the source date column, so
-    the range reaches the parquet scan (row-group skipping on min/max) instead
-    of being applied to the derived period key after the joins."""
+    With ``fiscal_year``, or ``months`` (first and last period key), the range
+    is selected on the source date column, so it reaches the parquet scan
+    (row-group skipping on min/max) instead of being applied to the derived
+    period key after the joins."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
         "l_extendedprice", "l_discount", "l_tax")
     if fiscal_year is not None:
+        months = (fiscal_year * 100 + 1, fiscal_year * 100 + 12)
+    if months is not None:
         t = li.schema["l_shipdate"].dataType.simpleString()
-        li = li.filter((F.col("l_shipdate") >= F.lit(f"{fiscal_year}-01-01 00:00:00").cast(t))
-                       & (F.col("l_shipdate") < F.lit(f"{fiscal_year + 1}-01-01 00:00:00").cast(t)))
+        start, (y, m) = months[0], divmod(months[1], 100)
+        stop = (y + 1) * 100 + 1 if m == 12 else months[1] + 1
+        day = lambda p: F.lit(f"{p // 100:04d}-{p % 100:02d}-01 00:00:00").cast(t)
+        li = li.filter((F.col("l_shipdate") >= day(start)) & (F.col("l_shipdate") < day(stop)))
     acc = part_accounts(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size"))
     dims = order_dims(spark, sf_dir)
     j = (li.join(acc, li.l_partkey == acc.p_partkey)
@@ -135,10 +135,6 @@ def ledger(spark: SparkSession, sf_dir: str, fiscal_year: int | None = None) ->
     )
 
 
-def with_fiscal_year(df: DataFrame) -> DataFrame:
-    return df.withColumn("fiscal_year", (F.col("period_no") / 100).cast("int"))
-
-
 def fiscal_year_frame(df: DataFrame, fiscal_year: int) -> DataFrame:
     """Rows of one fiscal year: a range predicate on period_no, which reaches
     the scan as a partition filter when the ledger is partitioned by it."""
@@ -152,9 +148,9 @@ def fiscal_year_frame(df: DataFrame, fiscal_year: int) -> DataFrame:
 PLAN_KEYS = ["period", "period_no", "entity", "department", "account_code"]
 
 
-def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plan(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = None) -> DataFrame:
     """Plan coarser than the ledger: no cost centre, no expense type."""
-    return (ledger(spark, sf_dir).groupBy(*PLAN_KEYS)
+    return (ledger(spark, sf_dir, months=months).groupBy(*PLAN_KEYS)
             .agg(F.sum("budget").alias("budget")))
 
 
@@ -168,8 +164,8 @@ def plan_gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
              .drop("_drop_code"))
 
 
-def actuals_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(spark, sf_dir).withColumn("budget", F.lit(0).cast("decimal(24,4)"))
+def actuals_only(spark: SparkSession, sf_dir: str, fiscal_year: int | None = None) -> DataFrame:
+    return ledger(spark, sf_dir, fiscal_year).withColumn("budget", F.lit(0).cast("decimal(24,4)"))
 
 
 def ledger_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
