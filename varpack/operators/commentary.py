@@ -1,7 +1,9 @@
 """Commentary as a column (T7-T11): one string per report row, for every
-group in one job. Driver pools are the material leaves, aggregated to one
-array per (category or parent, horizon) - a handful of names each - and
-joined to the report rows; no Python touches the rows.
+group in one job. Postings are summed once to account (or parent and child)
+level with the month, year-to-date and full-year figures; report rows and driver
+names both come from those rows. A list of names holds the material accounts (or
+children) of one row of a report, so its length is bounded by the chart of
+accounts; it is joined by key and never broadcast. No Python touches the rows.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from ..functions import commentary as T
 from ..functions import measures as V
 from ..functions.measures import Materiality
 from ..functions.structure import LINE_OF_CATEGORY
-from .aggregate import attach_scalar, dsum, join_on_keys
-from .reports import build_report, leaf_variances, pnl_full
+from .aggregate import attach_scalar, category_sums, dsum, join_on_keys, lines_from_sums
+from .reports import build_report, leaf_variances, report_tail
+from .rollups import BASE, context_aggs, leaf_frame
 
 NO_BUDGET_LINE = " actual; no budget supplied."
 # Fixed value (must equal the reference): the actuals-only second paragraph.
@@ -30,38 +33,53 @@ def _lead(n_fu: Column) -> Column:
     return F.when(n_fu > 1, F.lit("Offsetting movements in")).otherwise(F.lit("Driven by"))
 
 
-def _pool(frame: DataFrame, horizon: str, rule: Materiality) -> DataFrame:
-    lv = leaf_variances(frame, rule=rule, rounded=False).filter(F.col("material"))
-    items = F.sort_array(F.collect_list(F.struct(
-        (-F.abs(F.col("var_bud"))).alias("k"), F.col("account_code").alias("code"),
-        F.lower(F.col("account_name")).alias("name"), F.col("fav_unfav").alias("fu"))))
-    return (lv.groupBy("category").agg(items.alias("items"))
-              .select("category", F.lit(horizon).alias("horizon"), F.col("items.name").alias("names"),
-                      F.size(F.array_distinct(F.col("items.fu"))).alias("n_fu")))
+ACCOUNT = ["account_code", "account_name", "category"]
 
 
-def line_comments(fy: DataFrame, period_no: int, rule: Materiality = Materiality()) -> DataFrame:
-    """A comment per P&L line: two horizons, the verdict, and for
-    category lines the material account drivers of the talking timeframe."""
-    r = pnl_full(fy, period_no, rule=rule)
-    month = fy.filter(F.col("period_no") == period_no)
-    ytd = fy.filter(F.col("period_no") <= period_no)
-    pools = _pool(month, "month", rule).unionByName(_pool(ytd, "ytd", rule))
+def _names(items: Column, label: str = "names") -> list[Column]:
+    """Names in order and how many directions they have, of sorted items."""
+    return [items["name"].alias(label), F.size(F.array_distinct(items["fu"])).alias("n_fu")]
+
+
+def _pool(leaf: DataFrame, by: Sequence[str], horizon: str, act: str, bud: str, rule: Materiality) -> DataFrame:
+    """Material accounts of each category on one horizon, largest first."""
+    var = F.col(act) - F.col(bud)
+    d = leaf.withColumn("_v", var).withColumn("_p", V.pct_nm("_v", bud)).filter(V.material("_v", "_p", rule))
+    fu = V.favourable("_v", V.higher_is_better_for_category("category"))
+    items = F.sort_array(F.collect_list(F.struct((-F.abs(F.col("_v"))).alias("k"), F.col("account_code").alias("code"),
+                                                 F.lower("account_name").alias("name"), fu.alias("fu"))))
+    # no plan on this horizon: no variance, so no drivers
+    planned = leaf.groupBy(*by).agg((F.coalesce(F.sum(F.abs(bud)), F.lit(0)) > 0).alias("_planned"))
+    g = d.groupBy(*by, "category").agg(items.alias("items"))
+    return (join_on_keys(g, planned, by).filter("_planned")
+            .select(*by, "category", F.lit(horizon).alias("horizon"), *_names(F.col("items"))))
+
+
+def line_comments(fy: DataFrame, period_no: int, rule: Materiality = Materiality(), by: Sequence[str] = ()) -> DataFrame:
+    """A comment per P&L line (and group): two horizons, the verdict, and
+    for category lines the material account drivers of the talking timeframe.
+    Percentages are those of the report, at four places."""
+    by = list(by)
+    leaf = leaf_frame(fy, [*by, *ACCOUNT], period_no)
+    context = {c: e for c, e in zip(("_budgeted", "_months", "_several"), context_aggs(period_no))}
+    sums = category_sums(leaf, by, {k: F.col(k) for k in BASE}, context)
+    r = report_tail(lines_from_sums(sums, by, BASE, keep=list(context)), F.col("higher_is_better"), rule,
+                    F.col("_budgeted"), F.col("_months"))
+    pools = _pool(leaf, by, "month", "act", "bud", rule).unionByName(_pool(leaf, by, "ytd", "yact", "ybud", rule))
     cat_of_line = F.create_map(*[x for c, l in LINE_OF_CATEGORY.items() for x in (F.lit(l), F.lit(c))])
     m_mat = F.col("flag").isin("BOTH", "MONTH")
     y_mat = F.col("flag").isin("BOTH", "YTD")
     lines = (r.withColumn("category", cat_of_line[F.col("line")])
               .withColumn("horizon", F.when(m_mat & ~y_mat, "month").otherwise("ytd")))
-    j = lines.join(pools, ["category", "horizon"], "left")
+    j = join_on_keys(lines, pools, [*by, "category", "horizon"])
     drivers = F.when((m_mat | y_mat) & (F.coalesce(F.size("names"), F.lit(0)) > 0),
                      F.concat(F.lit(" "), _lead(F.col("n_fu")), F.lit(" "),
                               T.join_names(F.col("names")), F.lit("."))).otherwise(F.lit(""))
-    budgeted = F.col("fav_unfav").isNotNull()
-    text = F.when(budgeted, F.concat(
-        T.two_horizon("var_bud", "var_bud_pct", m_mat, "ytd_var", "ytd_pct", y_mat,
+    text = F.when(F.col("fav_unfav").isNotNull(), F.concat(
+        T.two_horizon("var_bud", V.pct_out("var_bud_pct"), m_mat, "ytd_var", V.pct_out("ytd_pct"), y_mat,
                       T.fu_word("fav_unfav")), drivers)).otherwise(
         F.concat(T.mag("actual"), F.lit(NO_BUDGET_LINE)))
-    return j.select("line_ord", "line", F.trim(text).alias("comment"))
+    return j.select(*by, "line_ord", "line", F.trim(text).alias("comment"))
 
 
 def _verdicts(df: DataFrame, var: str, bud: str, higher: bool, rule: Materiality, p: str) -> DataFrame:
@@ -74,55 +92,47 @@ def _verdicts(df: DataFrame, var: str, bud: str, higher: bool, rule: Materiality
 
 def rollup_comments(fy: DataFrame, parent: str, child: str, period_no: int,
                     higher: bool = False, rule: Materiality = Materiality(),
-                    child_names: DataFrame | None = None) -> DataFrame:
-    """A comment for every parent over its children: two horizons, and
-    when either is material the material children of the talking timeframe
-    (only when the parent has at least two children)."""
-    def sums(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return frame.groupBy(*keys).agg(dsum(F.col("actual")).alias("a"), dsum(F.col("budget")).alias("b"))
-
-    month = fy.filter(F.col("period_no") == period_no)
-    ytd = fy.filter(F.col("period_no") <= period_no)
-    pm = _verdicts(sums(month, [parent]).withColumn("v", F.col("a") - F.col("b")), "v", "b", higher, rule, "m")
-    py = _verdicts(sums(ytd, [parent]).withColumn("yv", F.col("a") - F.col("b")), "yv", "b", higher, rule, "y")
-    par = pm.select(parent, "v", "mpct", "mfu", "mmat").join(
-        py.select(parent, "yv", "ypct", "ymat"), parent, "left")
-
-    def children(frame: DataFrame, horizon: str) -> DataFrame:
-        c = sums(frame, [parent, child]).withColumn("cv", F.col("a") - F.col("b"))
-        c = _verdicts(c, "cv", "b", higher, rule, "c")
+                    child_names: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """A comment for every parent (of a group) over its children: two
+    horizons, and when either is material the material children of the talking
+    timeframe (only when the parent has at least two children)."""
+    key = [*by, parent]
+    month, ytd = F.col("period_no") == period_no, F.col("period_no") <= period_no
+    base = fy.groupBy(*key, child).agg(
+        dsum(F.when(month, F.col("actual"))).alias("a"), dsum(F.when(month, F.col("budget"))).alias("b"), F.count_if(month).alias("n"),
+        dsum(F.when(ytd, F.col("actual"))).alias("ya"), dsum(F.when(ytd, F.col("budget"))).alias("yb"), F.count_if(ytd).alias("yn"))
+    par = base.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("a", "b", "n", "ya", "yb", "yn")]).filter("n > 0")
+    par = _verdicts(par.withColumn("v", F.col("a") - F.col("b")), "v", "b", higher, rule, "m")
+    par = _verdicts(par.withColumn("yv", F.col("ya") - F.col("yb")), "yv", "yb", higher, rule, "y")
+
+    def children(a: str, b: str, n: str, horizon: str) -> DataFrame:
+        c = base.filter(F.col(n) > 0).withColumn("cv", F.col(a) - F.col(b))
+        c = _verdicts(c, "cv", b, higher, rule, "c")
+        label = F.col(child).cast("string")
         if child_names is not None:
             c = c.join(child_names, child, "left")
-            label = F.coalesce(F.col("child_label"), F.col(child).cast("string"))
-        else:
-            label = F.col(child).cast("string")
+            label = F.coalesce(F.col("child_label"), label)
         items = F.sort_array(F.collect_list(F.when(F.col("cmat"), F.struct(
-            F.col(child).cast("string").alias("k"), T.prose_name(label).alias("name"),
-            F.col("cfu").alias("fu")))))
-        return (c.groupBy(parent).agg(F.count(F.lit(1)).alias("n_children"), items.alias("items"))
-                 .select(parent, F.lit(horizon).alias("horizon"), "n_children",
-                         F.col("items.name").alias("names"),
-                         F.size(F.array_distinct(F.col("items.fu"))).alias("n_fu")))
-
-    pools = children(month, "month").unionByName(children(ytd, "ytd"))
-    yv = F.coalesce(F.col("yv"), F.col("v"))
-    ymat = F.coalesce(F.col("ymat"), F.col("mmat"))
-    par = par.withColumn("horizon", F.when(F.col("mmat") & ~ymat, "month").otherwise("ytd"))
-    j = par.join(pools, [parent, "horizon"], "left")
-    movers = F.when((F.col("mmat") | ymat) & (F.col("n_children") >= 2)
+            F.col(child).cast("string").alias("k"), T.prose_name(label).alias("name"), F.col("cfu").alias("fu")))))
+        return (c.groupBy(*key).agg(F.count(F.lit(1)).alias("n_children"), items.alias("items"))
+                 .select(*key, F.lit(horizon).alias("horizon"), "n_children", *_names(F.col("items"))))
+
+    pools = children("a", "b", "n", "month").unionByName(children("ya", "yb", "yn", "ytd"))
+    par = par.withColumn("horizon", F.when(F.col("mmat") & ~F.col("ymat"), "month").otherwise("ytd"))
+    j = join_on_keys(par, pools, [*key, "horizon"])
+    movers = F.when((F.col("mmat") | F.col("ymat")) & (F.col("n_children") >= 2)
                     & (F.coalesce(F.size("names"), F.lit(0)) > 0),
                     F.concat(F.lit(" "), _lead(F.col("n_fu")), F.lit(" "),
                              T.join_names(F.col("names")), F.lit("."))).otherwise(F.lit(""))
-    text = F.concat(T.two_horizon("v", "mpct", "mmat", yv, F.coalesce(F.col("ypct"), F.col("mpct")),
-                                  ymat, T.fu_word("mfu")), movers)
-    return j.select(parent, F.trim(text).alias("comment"))
+    text = F.concat(T.two_horizon("v", "mpct", "mmat", "yv", "ypct", "ymat", T.fu_word("mfu")), movers)
+    return j.select(*key, F.trim(text).alias("comment"))
 
 
 def total_comment(fy: DataFrame, child: str, period_no: int, higher: bool = False,
-                  rule: Materiality = Materiality()) -> DataFrame:
+                  rule: Materiality = Materiality(), by: Sequence[str] = ()) -> DataFrame:
     """The grand-total row's comment: T8 with one constant parent."""
     t = fy.withColumn("_total", F.lit("total"))
-    return rollup_comments(t, "_total", child, period_no, higher, rule).select("comment")
+    return rollup_comments(t, "_total", child, period_no, higher, rule, by=by).drop("_total")
 
 
 def _article(word: Column) -> Column:
@@ -134,6 +144,8 @@ def narrative(gl: DataFrame, by: Sequence[str] = (), rule: Materiality = Materia
     profit; material account drivers), or the actuals-only text when the
     group has no plan."""
     by = list(by)
+    gl = gl.groupBy(*by, *[c for c in ACCOUNT if c not in by]).agg(
+        *[dsum(F.col(m)).alias(m) for m in ("actual", "budget", "prior_year")])   # the one pass over the postings
     r = build_report(gl, by, rule)
     short = {"Revenue": "rev", "Cost of goods sold": "cogs", "Gross profit": "gp",
              "Operating expenses": "opex", "Operating income (EBIT)": "ebit", "Net income": "ni"}

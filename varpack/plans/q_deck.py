@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import deck as D
 from . import sqlgen as S
 from .oracle_views import with_views
@@ -24,7 +26,9 @@ def d1_typical_month(spark, sf_dir):
     return D.typical_month(fy_frame(spark, sf_dir), P)
 
 
-@register("d2_divergence", None)
+@register("d2_divergence", with_views(
+    f"SELECT line, abs_ratio FROM (SELECT line, abs(CASE WHEN {_AVG} <> 0 THEN var_bud / {_AVG} END) AS abs_ratio FROM ({_R2}) r "
+    f"WHERE kind = 'category' AND abs({_AVG}) >= 1000) q ORDER BY abs_ratio DESC, line DESC LIMIT 1", "fy", extra=_R2_EXTRA))
 def d2_divergence(spark, sf_dir):
     return D.divergence(fy_frame(spark, sf_dir), P)
 
@@ -38,8 +42,29 @@ def d3_outlook(spark, sf_dir):
     return D.outlook(fy_frame(spark, sf_dir), P)
 
 
-@register("d4_bridge", None)
+def _bridge(where: str) -> list[str]:
+    v = "(actual - budget)"
+    return [f"ac AS (SELECT account_code, account_name, category, sum(actual) AS actual, sum(budget) AS budget FROM fy WHERE {where} "
+            "GROUP BY account_code, account_name, category)",
+            f"mt AS (SELECT *, {v} AS v FROM ac WHERE {S.material(v, S.pct(v, 'budget'))} AND (SELECT sum(abs(budget)) FROM ac) > 0)",
+            "s AS (SELECT coalesce(-sum(v) FILTER (WHERE category = 'Revenue'), 0) AS short, coalesce(sum(v) FILTER (WHERE category <> 'Revenue'), 0) "
+            "AS over, arg_max(account_name, (abs(v), account_code)) AS largest_mover, count(*) AS n_material FROM mt)",
+            f"ni AS (SELECT sum(CASE WHEN category = 'Revenue' THEN {v} ELSE -{v} END) AS ni FROM ac)"]
+
+
+def _bridge_sql(where: str) -> str:
+    return with_views(
+        f"SELECT {S.money('short')} AS revenue_shortfall, {S.money('over')} AS cost_overrun, {S.money('-(short + over)')} AS impact, "
+        f"{S.money('ni + short + over')} AS residual, largest_mover, n_material FROM s CROSS JOIN ni WHERE n_material > 0", "fy", extra=_bridge(where))
+
+
+@register("d4_bridge", _bridge_sql(f"period_no <= {P}"))
 def d4_bridge(spark, sf_dir):
+    return D.profit_bridge(fy_frame(spark, sf_dir).filter(F.col("period_no") <= P))
+
+
+@register("d4_bridge_month", _bridge_sql(f"period_no = {P}"))
+def d4_bridge_month(spark, sf_dir):
     return D.profit_bridge(month_frame(spark, sf_dir))
 
 
