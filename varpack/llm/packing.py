@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vocab import PieceEncoder, read_file, text_slices
+from .shuffle import bounded_batches
+from .vocab import PieceEncoder, read_file
 
 CAPACITY = 1024
 _TASK_IDS = 1 << 36   # sequence ids of one task
@@ -74,8 +75,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     offset, and with ``with_ids`` the ids (little-endian unsigned 32-bit)."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
+    bounded_batches(docs.sparkSession)
     definition = read_file(tokenizer_path)
-    end = end_id.to_bytes(4, "little")
+    end = np.uint32(end_id)
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
               + (", ids binary" if with_ids else ""))
     names = [c.split()[0] for c in schema.split(", ")]
@@ -92,13 +94,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
         for batch in batches:
             ids_of = batch.column("id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for a, b in text_slices(texts):
-                for doc, ids in zip(ids_of[a:b], encoder.encode(texts[a:b])):
-                    ids += end
-                    total, at = len(ids) // 4, 0
+            for a, b, ids, ptr in encoder.encode(batch.column("text")):
+                for doc, i, j in zip(ids_of[a:b], ptr[:-1].tolist(), ptr[1:].tolist()):
+                    raw = np.append(ids[i:j], end).astype("<u4").tobytes()
+                    total, at = len(raw) // 4, 0
                     for n in cut(total, capacity):
-                        part = ids[4 * at: 4 * (at + n)]
+                        part = raw[4 * at: 4 * (at + n)]
                         done.extend(bins.add(n, (doc, at, n, zlib.crc32(part), total, part) if with_ids else (doc, at, n, zlib.crc32(part), total)))
                         at += n
                 if len(done) > 50_000:

@@ -20,6 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts travel to tasks in Arrow batches; a few thousand rows a batch
+    keep the batches of long documents small beside an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def parts_of(spark: SparkSession, factor: int = 4) -> int:
@@ -50,6 +57,7 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """(doc_id, did, tag, text): ``did`` orders documents (a null id comes
     first) and ``tag`` tells rows apart that share an id but not a text. With
     ``whole`` also ``row``, a struct of all columns but the text."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("_vp_null"))
     return docs.select(

@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shuffle import NO_ID, shared_folder
-from .vocab import PieceEncoder, read_file, text_slices
+from .shuffle import NO_ID, bounded_batches, shared_folder
+from .vocab import PieceEncoder, read_file
 
 MAGIC = b"EFTOKEN1"
 FILE_TOKENS = 4 << 20
@@ -117,11 +117,12 @@ def read_file_bytes(blob: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, file_tokens: int = FILE_TOKENS,
                       id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` as token files in ascending id order below ``path``."""
+    bounded_batches(docs.sparkSession)
     definition = read_file(tokenizer_path)
     vocabulary = json.loads(definition)
     largest = max([end_id, *vocabulary["model"]["vocab"].values(), *(t["id"] for t in vocabulary["added_tokens"])])
     kind = np.dtype("<u2" if largest < 65536 else "<u4")
-    end = end_id.to_bytes(4, "little")
+    end = np.uint32(end_id)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(definition, spaced=False)
@@ -135,10 +136,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                                               names=["part", "file", "before", "tokens", "data"])
 
         for batch in batches:
-            did, texts = batch.column("did").to_pylist(), batch.column("text").to_pylist()
-            for a, b in text_slices(texts):
-                for doc, raw in zip(did[a:b], encoder.encode(texts[a:b])):
-                    one = np.frombuffer(raw + end, "<u4").astype(kind)
+            did = batch.column("did").to_pylist()
+            for a, b, found, ptr in encoder.encode(batch.column("text")):
+                for doc, i, j in zip(did[a:b], ptr[:-1].tolist(), ptr[1:].tolist()):
+                    one = np.append(found[i:j], end).astype(kind)
                     ids.append(doc)
                     lengths.append(len(one))
                     held.append(one)
