@@ -91,15 +91,34 @@ def with_amounts(df, targets: dict[str, str]):
     separators and minus is removed; a trailing then a leading minus toggle;
     the rightmost separator decides decimal vs thousands. Each stage is its
     own projection: Catalyst does not collapse projections that would
-    duplicate regex work, so every stage runs once per row."""
-    tmp = []
-    for out, src in targets.items():
+    duplicate regex work, so every stage runs once per row. Several texts are
+    parsed as one array, stage by stage over its elements, so the generated
+    code does not grow with their number."""
+    if len(targets) == 1:
+        (out, src), = targets.items()
+        tmp = []
         for name, f in _amount_stages(F.col(src)):
-            col_name = f"__{out}_{name}"
-            df = df.withColumn(col_name, f(lambda n, o=out: F.col(f"__{o}_{n}")))
-            tmp.append(col_name)
-        df = df.withColumn(out, F.col(f"__{out}_out"))
-    return df.drop(*tmp)
+            df = df.withColumn(f"__{name}", f(lambda n: F.col(f"__{n}")))
+            tmp.append(f"__{name}")
+        return df.withColumn(out, F.col("__out")).drop(*tmp)
+    df = df.withColumn("__v", F.array(*[F.struct(F.col(src).cast("string").alias("src")) for src in targets.values()]))
+    held = ["src"]
+    for name, _ in _amount_stages(F.col("src")):
+        df = df.withColumn("__v", F.transform("__v", _add_stage(name, tuple(held))))
+        held.append(name)
+    for i, out in enumerate(targets):
+        df = df.withColumn(out, F.col("__v")[i]["out"])
+    return df.drop("__v")
+
+
+def _add_stage(name: str, held: tuple[str, ...]):
+    """Element function that appends one stage's result."""
+    return lambda e: F.struct(*[e[h].alias(h) for h in held], _amount_stage(name, e).alias(name))
+
+
+def _amount_stage(name: str, e: Column) -> Column:
+    """One parser stage over an element that holds the earlier ones."""
+    return dict(_amount_stages(e["src"]))[name](lambda n: e[n])
 
 
 def period_key(x) -> Column:

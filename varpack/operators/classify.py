@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keywords import CATEGORY_KEYWORDS, EXPENSE_TYPE_KEYWORDS, alternation
 from ..functions.parse import infer_category  # noqa: F401  (K6, re-exported)
 from ..functions.structure import UNCLASSIFIED_EXPENSE
 from ..functions.text import fold
+from .aggregate import join_on_keys
 
 # Fixed value: chart styles in the order that breaks score ties.
 STYLES = ["4-5-6-7", "SAP", "SKR03", "Hungarian"]
@@ -132,7 +133,7 @@ def classify_pairs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     name reading, else OpEx; with the source and the disagreement flag."""
     r = readings(df, by)
     s = style_scores(r, by).select(*by, "style", "blind", "confidence")
-    j = r.join(s, list(by)) if by else _attach_one(r, s)
+    j = join_on_keys(r, s, by)
     by_code = F.lit(None).cast("string")
     for st in reversed(STYLES):
         by_code = F.when(F.col("style") == st, F.col(STYLE_COL[st])).otherwise(by_code)
@@ -146,11 +147,6 @@ def classify_pairs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
          & (F.col("by_code") != F.col("by_name"))).alias("disagreed"))
 
 
-def _attach_one(df: DataFrame, one: DataFrame) -> DataFrame:
-    from .aggregate import attach_scalar
-    return attach_scalar(df, one)
-
-
 def infer_categories(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """K4 applied to the rows: adds ``category`` (and ``category_source``)."""
     pairs = classify_pairs(df, by).select(*by, "account_code", "account_name", "category",
@@ -176,7 +172,7 @@ def category_issues(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum(F.when(contra, F.col("n")).otherwise(0)).alias("revenue_contradicted_rows"),
         F.bool_or(F.col("category") == "Revenue").alias("has_revenue"))
     sc = style_scores(readings(df, by), by).select(*by, "confidence")
-    j = agg.join(sc, list(by)) if by else _attach_one(agg, sc)
+    j = join_on_keys(agg, sc, by)
     silent = (F.col("style").isNotNull() & ~F.col("blind") & (F.col("confidence") >= 0.999)
               & (F.col("disagreed_rows") == 0) & F.col("has_revenue") & (F.col("defaulted_rows") == 0))
     many_defaulted = F.col("defaulted_rows") > F.greatest(F.lit(2), F.floor(F.col("rows") / 5))
@@ -185,6 +181,41 @@ def category_issues(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                     "has_revenue", silent.alias("silent"), many_defaulted.alias("many_defaulted"))
 
 
+# Fixed values (must equal the reference): how many accounts a note names.
+NAMED_CONTRADICTED, NAMED_DISAGREED = 6, 5
+
+
+def issue_accounts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """K5 as rows: the accounts behind the notes of a group that is not silent,
+    (by, issue, rank, account): names that say revenue and are classified
+    otherwise (first 6), codes and names that disagree (first 5), in code order."""
+    loud = category_issues(df, by).filter(~F.col("silent")).select(*by, F.lit(True).alias("_loud"))
+    contra = (F.col("by_name") == "Revenue") & (F.col("category") != "Revenue")
+    kinds = F.array(F.struct(F.lit("contradicted").alias("issue"), contra.alias("hit"), F.lit(NAMED_CONTRADICTED).alias("most")),
+                    F.struct(F.lit("disagreed").alias("issue"), F.col("disagreed").alias("hit"), F.lit(NAMED_DISAGREED).alias("most")))
+    rows = (join_on_keys(classify_pairs(df, by), loud, by).filter("_loud")
+            .select(*by, "account_code", "account_name", F.inline(kinds)).filter("hit"))
+    w = Window.partitionBy(*by, "issue").orderBy("account_code", "account_name")
+    return (rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("most"))
+            .select(*by, "issue", "rank", F.concat_ws(" ", "account_code", "account_name").alias("account")))
+
+
+# Fixed values (must equal the reference): notes on inferred expense types.
+EXPENSE_NOTE = ("No expense-type column was supplied, so expense types were inferred from the account names: "
+                "{0} of {1} cost accounts were recognised. Check the Expense Report before relying on it.")
+EXPENSE_UNCLASSIFIED = ("{0} cost accounts could not be recognised and are grouped under \"" + UNCLASSIFIED_EXPENSE
+                        + "\". Add an expense-type column to classify them yourself.")
+
+
+def expense_issues(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """K8 as rows (by, ord, note): nothing without costs."""
+    from .findings import fill
+    s = expense_summary(df, by).filter("costs > 0")
+    notes = F.array(F.struct(F.lit(1).alias("ord"), fill(EXPENSE_NOTE, F.col("recognised"), F.col("costs")).alias("note")),
+                    F.when(F.col("unclassified") > 0, F.struct(F.lit(2).alias("ord"), fill(EXPENSE_UNCLASSIFIED, F.col("unclassified")).alias("note"))))
+    return s.select(*by, F.inline(F.filter(notes, lambda x: x.isNotNull())))
+
+
 def infer_expense_types(df: DataFrame) -> DataFrame:
     """K8: Revenue -> '', recognised type, else 'Other expenses'."""
     e = expense_type_from_name("account_name", "category")

@@ -215,6 +215,23 @@ def compose(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.select(*keys, F.inline(F.filter(rows, lambda x: x["text"].isNotNull())))
 
 
+# Fixed value (must equal the reference): what stands in for a repeated block.
+SAME_PICTURE = ("The same picture as {0} above: the movement, its persistence and the question it raises are identical, "
+                "because the lines below feed both.")
+
+
+def dedupe_blocks(found: DataFrame, label: str, order: Column) -> DataFrame:
+    """Of finding blocks with the same texts (the full year left out) the
+    first in report order stays; the others refer to it. One row per block:
+    label, repeats (the first block's label, NULL for the first), note."""
+    key = F.concat_ws("\n", *[F.col(c) for h, c in HEADINGS if h != "Full year"])
+    w = Window.partitionBy("_key").orderBy("_ord", label)
+    first = F.first(label).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = found.withColumn("_key", key).withColumn("_ord", order).withColumn("_first", first)
+    repeats = F.when(F.col("_first") != F.col(label), F.col("_first"))
+    return d.select(label, "flag", repeats.alias("repeats"), F.when(repeats.isNotNull(), fill(SAME_PICTURE, repeats)).alias("note"))
+
+
 def driver_coverage(drivers: DataFrame) -> DataFrame:
     """G10 over the drivers view (A11 rows): flagged n of N, share of the gross
     |month variance| they hold, how many are BOTH, the three largest positive

@@ -16,49 +16,37 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as PA
 from ..functions.text import looks_like_total
+from ..session import written
 from .aggregate import join_on_keys
 
 LOGGED_NAMES = 4
 MONEY = ["actual", "budget", "prior_year"]
-OPTIONAL_DIMS = ["period", "expense_type", "department", "cost_centre", "entity"]
-
-
-def project_mapped(raw: DataFrame, src: dict[str, str]) -> DataFrame:
-    """Canonical columns from a raw all-text frame, given the mapping
-    field -> source column. Amounts are parsed (N1); with a D/C marker the
-    amount is signed by it (N3); with no actual, debit - credit (N2)."""
-    cols = {"account_code": F.trim(F.col(src["account_code"]).cast("string")),
-            "account_name": F.trim(F.col(src["account_name"]).cast("string"))}
-    texts = {}
-    if "actual" in src:
-        texts["_actual"] = src["actual"]
-    else:
-        for f in ("debit", "credit"):
-            if f in src:
-                texts[f"_{f}"] = src[f]
-    for f in ("budget", "prior_year"):
-        if f in src:
-            texts[f"_{f}"] = src[f]
-    d = PA.with_amounts(raw, texts)
-    if "actual" in src:
-        a = F.col("_actual")
-        if "dc_indicator" in src:
-            a = PA.signed_by_marker(a, F.col(src["dc_indicator"]))
-    elif "debit" in src or "credit" in src:
-        a = PA.debit_minus_credit(F.col("_debit") if "debit" in src else None,
-                                  F.col("_credit") if "credit" in src else None)
-    else:
-        a = F.lit(0)
+
+
+def standardise(texts: DataFrame, by: Sequence[str] = ("extract_id",)) -> DataFrame:
+    """Canonical rows from mapped texts (one text column per canonical
+    field, NULL where unmapped), for all extracts at once: amounts, debit minus
+    credit or marker signs (N1-N3), labels and dimensions (N4, N5), rows without
+    amounts, totals and empty rows dropped (N6-N8), accounts classified after
+    that (K4, K8, per extract, where no category is given), signs (N9)."""
+    from .classify import classify_pairs, infer_expense_types
+    d = PA.with_amounts(texts, {f"_{f}": f for f in ("actual", "budget", "prior_year", "debit", "credit")})
     zero = F.lit(0).cast(PA.AMOUNT_TYPE)
-    cols["actual"] = a.cast(PA.AMOUNT_TYPE)
-    cols["budget"] = F.col("_budget") if "budget" in src else zero
-    cols["prior_year"] = F.col("_prior_year") if "prior_year" in src else zero
-    if "category" in src:
-        cols["category"] = PA.canonical_category(F.col(src["category"]))
-    for d_ in OPTIONAL_DIMS:
-        if d_ in src:
-            cols[d_] = PA.clean_dimension(F.col(src[d_]))
-    return d.select(*[e.alias(n) for n, e in cols.items()])
+    single = F.col("_actual")
+    marked = F.when(F.col("dc_indicator").isNotNull(), PA.signed_by_marker(single, F.col("dc_indicator"))).otherwise(single)
+    actual = F.when(F.col("_has_actual"), marked).otherwise(PA.debit_minus_credit(F.col("_debit"), F.col("_credit")))
+    d = d.select(
+        *by, "line_no", F.trim("account_code").alias("account_code"), F.trim("account_name").alias("account_name"),
+        actual.cast(PA.AMOUNT_TYPE).alias("actual"), F.when(F.col("_has_budget"), F.col("_budget")).otherwise(zero).alias("budget"),
+        F.coalesce("_prior_year", zero).alias("prior_year"), PA.canonical_category("category").alias("given_category"),
+        *[PA.clean_dimension(F.col(c)).alias(c) for c in ("period", "department", "cost_centre", "entity")],
+        PA.clean_dimension(F.col("expense_type")).alias("given_type"), PA.period_key("period").alias("period_no"))
+    d = written(drop_non_account_rows(drop_null_amounts(d)))   # read for the styles, the pairs, the signs and the rows
+    pairs = classify_pairs(d, by).select(*by, "account_code", "account_name", F.col("category").alias("inferred"))
+    d = join_on_keys(d, pairs, [*by, "account_code", "account_name"])
+    d = d.withColumn("category", F.coalesce(F.nullif("given_category", F.lit("")), "inferred"))
+    d = infer_expense_types(d).withColumn("expense_type", F.when(F.col("given_type") != "", F.col("given_type")).otherwise(F.col("expense_type")))
+    return normalise_signs(d.drop("given_category", "inferred", "given_type"), by=by)
 
 
 def drop_null_amounts(df: DataFrame) -> DataFrame:
@@ -107,8 +95,8 @@ def dropped_rows_log(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # N9 credit-balance sign normalisation
 # ---------------------------------------------------------------------------
 
-def sign_flips(df: DataFrame, money: Sequence[str] = MONEY) -> DataFrame:
-    """Per (category, money column): flip when the sum is negative and
+def sign_flips(df: DataFrame, money: Sequence[str] = MONEY, by: Sequence[str] = ()) -> DataFrame:
+    """Per (group, category, money column): flip when the sum is negative and
     (>= 2 nonzero rows with >= 70% negative, or exactly one nonzero row and
     the category is Revenue)."""
     money = [m for m in money if m in df.columns]
@@ -118,21 +106,21 @@ def sign_flips(df: DataFrame, money: Sequence[str] = MONEY) -> DataFrame:
         aggs += [F.sum(v).alias(f"{m}__sum"),
                  F.count(F.when(v != 0, 1)).alias(f"{m}__nz"),
                  F.count(F.when(v < 0, 1)).alias(f"{m}__neg")]
-    stats = df.groupBy("category").agg(*aggs)
+    stats = df.groupBy(*by, "category").agg(*aggs)
     out = stats
     for m in money:
         s, nz, neg = F.col(f"{m}__sum"), F.col(f"{m}__nz"), F.col(f"{m}__neg")
         flip = ((nz > 0) & (s < 0)
                 & (((nz >= 2) & (neg / nz >= 0.7)) | ((nz == 1) & (F.col("category") == "Revenue"))))
         out = out.withColumn(f"{m}__flip", F.coalesce(flip, F.lit(False)))
-    return out.select("category", *[f"{m}__flip" for m in money])
+    return out.select(*by, "category", *[f"{m}__flip" for m in money])
 
 
-def normalise_signs(df: DataFrame, money: Sequence[str] = MONEY) -> DataFrame:
-    """Every category reported as a positive magnitude."""
+def normalise_signs(df: DataFrame, money: Sequence[str] = MONEY, by: Sequence[str] = ()) -> DataFrame:
+    """Every category (of a group) reported as a positive magnitude."""
     money = [m for m in money if m in df.columns]
-    flips = sign_flips(df, money)   # one row per category: adaptive execution picks the join
-    j = df.join(flips, df["category"].eqNullSafe(flips["category"]), "left").drop(flips["category"])
+    flips = sign_flips(df, money, by)   # one row per category: adaptive execution picks the join
+    j = join_on_keys(df, flips, [*by, "category"])
     for m in money:
         j = j.withColumn(m, F.when(F.coalesce(F.col(f"{m}__flip"), F.lit(False)), -F.col(m))
                            .otherwise(F.col(m)))

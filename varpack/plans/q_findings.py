@@ -201,6 +201,19 @@ def g7_computed_findings(spark, sf_dir):
     return G.findings_of_base(x, "line", "category", P, True, LOW, months=G.base_months(base, P))
 
 
+_ORDER = {label: i for i, (label, *_r) in enumerate(PNL_LINES)}
+
+
+@register("w7_dedupe_blocks", with_views(
+    "SELECT line, flag, CASE WHEN line <> head THEN head END AS repeats, CASE WHEN line <> head THEN " + TX.fill(G.SAME_PICTURE, "head")
+    + " END AS note FROM (SELECT dim AS line, flag, first_value(dim) OVER (PARTITION BY coalesce(concentration_text, ''), coalesce(persistence_text, ''), "
+    "coalesce(ask_text, '') ORDER BY CASE dim " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _ORDER.items()) + " END) AS head FROM fd) q",
+    "fy", extra=_COMPUTED))
+def w7_dedupe_blocks(spark, sf_dir):
+    order = F.create_map(*[x for k, v in _ORDER.items() for x in (F.lit(k), F.lit(v))])[F.col("line")]
+    return G.dedupe_blocks(g7_computed_findings(spark, sf_dir), "line", order)
+
+
 @register("g9_expense_findings", _sql(_EXPENSE, "expense_group"))
 def g9_expense_findings(spark, sf_dir):
     return _expense(spark, sf_dir)

@@ -248,3 +248,23 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(conv == 5, F.concat(us, F.lit(" DR")))
              .otherwise(F.lit("n/a")))
     return d.select("doc_no", "line_no", "conv", "cents", text.alias("amount_text"))
+
+
+# Fixed value: for each first digit of the ledger's codes, the leading digits
+# that mean the same in the chart of another entity.
+CHARTS = {"AFRICA": {"4": "8", "5": "40", "6": "6", "7": "48"},        # SAP
+          "AMERICA": {"4": "8", "5": "3", "6": "4", "7": "2"},         # SKR03
+          "ASIA": {"4": "91", "5": "81", "6": "52", "7": "98"}}        # Hungarian
+
+
+def ledger_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with the codes of three entities in other charts, and the
+    advertising account named as if it were revenue."""
+    led = ledger(spark, sf_dir)
+    first, rest = F.substring("account_code", 1, 1), F.substring("account_code", 2, 9)
+    code = F.col("account_code")
+    for entity, digits in CHARTS.items():
+        for d, lead in digits.items():
+            code = F.when((F.col("entity") == entity) & (first == d), F.concat(F.lit(lead), rest)).otherwise(code)
+    name = F.when(F.col("account_name") == "Advertising", "Sales revenue rebate").otherwise(F.col("account_name"))
+    return led.withColumn("account_code", code).withColumn("account_name", name)
