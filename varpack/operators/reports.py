@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as V
 from ..functions.measures import Materiality
-from .aggregate import (account_cube, attach_group_aggregates, budgeted_agg, category_sums, dsum, horizon_measures,
+from ..functions.structure import CATEGORIES
+from .aggregate import (MONEY, account_cube, attach_group_aggregates, budgeted_agg, category_sums, dsum, horizon_measures,
                         lines_from_sums, months_elapsed_agg)
 
 # ---------------------------------------------------------------------------
@@ -119,6 +120,37 @@ def pnl_full(fy: DataFrame, period_no: int, by: Sequence[str] = (),
     return out.drop("_budgeted", "higher_is_better")
 
 
+def pnl_all_periods(gl: DataFrame, by: Sequence[str] = (), rule: Materiality = Materiality()) -> DataFrame:
+    """R2 for every group and every period of the ledger at once.
+
+    Postings are summed once to (group, fiscal year, period, category). The year
+    to date is a running sum over a fiscal year's periods and the full-year plan
+    the sum over all of them: windows of at most twelve periods times four
+    categories, whatever the ledger's size. Plan presence and months elapsed are
+    those of the group's fiscal year up to the period, as in the report of one
+    period."""
+    by = list(by)
+    year = [*by, "fiscal_year"]
+    per = (gl.withColumn("fiscal_year", F.floor(F.col("period_no") / 100).cast("int"))
+             .groupBy(*year, "period_no").agg(
+                 *[dsum(F.when(F.col("category") == c, F.col(m))).alias(f"{k}__{c}")
+                   for k, m in (("act", "actual"), ("bud", "budget")) for c in CATEGORIES],
+                 F.sum(F.abs("budget")).alias("_plan"), F.max(F.when(F.col("actual") != 0, 1).otherwise(0)).alias("_posted")))
+    upto = Window.partitionBy(*year).orderBy("period_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*year)
+    d = per
+    for c in CATEGORIES:
+        d = (d.withColumn(f"yact__{c}", F.sum(f"act__{c}").over(upto).cast(MONEY))
+              .withColumn(f"ybud__{c}", F.sum(f"bud__{c}").over(upto).cast(MONEY))
+              .withColumn(f"fybud__{c}", F.sum(f"bud__{c}").over(whole).cast(MONEY)))
+    months = F.sum("_posted").over(upto)
+    d = (d.withColumn("_budgeted", F.coalesce(F.sum("_plan").over(whole), F.lit(0)) > 0)
+          .withColumn("months_elapsed", F.when(months > 0, months).otherwise(F.col("period_no") % 100).cast("int")))
+    base = ["act", "bud", "yact", "ybud", "fybud"]
+    lines = lines_from_sums(d, [*by, "period_no"], base, keep=["_budgeted", "months_elapsed"])
+    return report_tail(lines, F.col("higher_is_better"), rule, F.col("_budgeted"), F.col("months_elapsed")).drop("_budgeted", "higher_is_better")
+
+
 def kpi_cards(fy: DataFrame, period_no: int, by: Sequence[str] = ()) -> DataFrame:
     """Revenue, EBIT and net income: YTD actual and %, month actual and %."""
     r = pnl_full(fy, period_no, by)
@@ -163,3 +195,12 @@ def leaf_variances(gl: DataFrame, by: Sequence[str] = (),
 def by_size(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Leaf rows in report order: groups, then |variance| descending, then code."""
     return leaves.orderBy(*by, F.abs(F.col("var_bud")).desc_nulls_last(), "account_code")
+
+
+def gl_listing(gl: DataFrame) -> DataFrame:
+    """The account-level ledger of the pack: the dimensions it has, money
+    summed, in period and account order."""
+    cube = account_cube(gl)
+    keys = [c for c in ("period", "period_no", "account_code", "account_name", "category", "expense_type", "department", "cost_centre", "entity") if c in cube.columns]
+    order = [c for c in ("period_no", "account_code", "department", "cost_centre", "entity") if c in keys]
+    return cube.select(*keys, *[V.money(m).alias(m) for m in ("actual", "budget", "prior_year")]).orderBy(*order)

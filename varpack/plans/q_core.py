@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as V
 from ..functions.measures import Materiality
+from ..functions.parse import period_key
 from ..operators import aggregate as A
+from ..operators import periods as PR
 from ..operators import reports as R
 from ..sources import fixture as X
 from . import sqlgen as S
@@ -245,6 +247,51 @@ def r2_pnl_by_entity(spark, sf_dir):
     return R.pnl_full(fy_frame(spark, sf_dir), P, by=["entity"])
 
 
+_ALL_KEYS = "entity, period_no"
+_ALL = [
+    # every (entity, period) meets the rows of its fiscal year, as the report of one period does
+    "pe AS (SELECT DISTINCT entity, period_no FROM ledger)",
+    "jr AS (SELECT pe.entity, pe.period_no, l.category, sum(CASE WHEN l.period_no = pe.period_no THEN actual ELSE 0 END) AS act, "
+    "sum(CASE WHEN l.period_no = pe.period_no THEN budget ELSE 0 END) AS bud, sum(CASE WHEN l.period_no <= pe.period_no THEN actual ELSE 0 END) AS yact, "
+    "sum(CASE WHEN l.period_no <= pe.period_no THEN budget ELSE 0 END) AS ybud, sum(budget) AS fybud FROM pe JOIN (SELECT entity, period_no, category, "
+    "sum(actual) AS actual, sum(budget) AS budget FROM ledger GROUP BY ALL) l ON l.entity = pe.entity AND l.period_no // 100 = pe.period_no // 100 GROUP BY ALL)",
+    "cx AS (SELECT pe.entity, pe.period_no, sum(l.b) > 0 AS budgeted, CAST(CASE WHEN count(*) FILTER (WHERE l.p <= pe.period_no AND posted) > 0 "
+    "THEN count(*) FILTER (WHERE l.p <= pe.period_no AND posted) ELSE pe.period_no % 100 END AS INT) AS months_elapsed FROM pe JOIN (SELECT entity, period_no AS p, "
+    "sum(abs(budget)) AS b, bool_or(actual <> 0) AS posted FROM ledger GROUP BY entity, period_no) l ON l.entity = pe.entity AND l.p // 100 = pe.period_no // 100 GROUP BY pe.entity, pe.period_no)",
+    "ln AS (SELECT pe.entity, pe.period_no, s.line_ord, s.line, s.kind, s.hib, " + ", ".join(f"sum(s.sign * coalesce(jr.{c}, 0)) AS {c}" for c in ("act", "bud", "yact", "ybud", "fybud"))
+    + " FROM pe CROSS JOIN signs s LEFT JOIN jr ON jr.entity = pe.entity AND jr.period_no = pe.period_no AND jr.category = s.category GROUP BY ALL)"]
+
+
+@register("r2_pnl_by_entity_period", with_views(
+    "SELECT ln.entity, ln.period_no, line_ord, line, kind, months_elapsed, " + S.tail_sql("ln", "ln.hib", "cx.budgeted", "cx.months_elapsed")
+    + " FROM ln JOIN cx ON cx.entity = ln.entity AND cx.period_no = ln.period_no", "ledger", extra=[S.signs_cte(), *_ALL]))
+def r2_pnl_by_entity_period(spark, sf_dir):
+    """The full P&L of every entity at every period, in one job."""
+    return R.pnl_all_periods(X.ledger(spark, sf_dir), ["entity"])
+
+
+@register("r2_pnl_latest", with_views(
+    "SELECT ln.entity, ln.period_no, line_ord, line, kind, months_elapsed, " + S.tail_sql("ln", "ln.hib", "cx.budgeted", "cx.months_elapsed")
+    + " FROM ln JOIN cx ON cx.entity = ln.entity AND cx.period_no = ln.period_no JOIN (SELECT entity, max(period_no) FILTER (WHERE actual <> 0) AS p FROM ledger "
+    "GROUP BY entity) rp ON rp.entity = ln.entity AND rp.p = ln.period_no", "ledger", extra=[S.signs_cte(), *_ALL]))
+def r2_pnl_latest(spark, sf_dir):
+    """The full P&L of every entity at its own reporting period."""
+    led = X.ledger(spark, sf_dir)
+    at = PR.reporting_period(led, ["entity"]).select("entity", period_key("reporting_period").alias("period_no"))
+    return R.pnl_all_periods(led, ["entity"]).join(at, ["entity", "period_no"])
+
+
+def listing_sql(source: str) -> str:
+    keys = "period, period_no, account_code, account_name, category, expense_type, department, cost_centre, entity"
+    return with_views(f"SELECT {keys}, " + ", ".join(f"{S.money(f'sum({m})')} AS {m}" for m in ("actual", "budget", "prior_year"))
+                      + f" FROM {source} GROUP BY {keys}", source)
+
+
+@register("s6_gl_listing", listing_sql("ledger"))
+def s6_gl_listing(spark, sf_dir):
+    return R.gl_listing(X.ledger(spark, sf_dir))
+
+
 @register("r1_pnl_month", with_views(
     S.build_report_sql("m", []), "ledger",
     extra=[f"m AS (SELECT * FROM ledger WHERE period_no = {P})", S.signs_cte()]))

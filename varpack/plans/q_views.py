@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as V
 from ..functions.structure import EXPENSE_GROUPS, OTHER_EXPENSE_GROUP
+from ..operators import pack as PK
 from ..operators import periods as PR
 from ..operators import rollups as RU
 from ..sources import fixture as X
 from . import sqlgen as S
 from .oracle_views import with_views
-from .q_core import P, fy_frame, month_frame
-from .registry import register
+from .q_core import P, fy_frame, listing_sql, month_frame
+from .registry import ORACLES, register
 
 MONTH = f"m AS (SELECT * FROM ledger WHERE period_no = {P})"
 TAIL_COLS = ["actual", "budget", "var_bud", "var_bud_pct", "ytd_actual", "ytd_budget",
@@ -324,3 +325,14 @@ def a14_reconcile(spark, sf_dir):
     "cost_centre, entity, period_no FROM ledger)) AS collapsed", "ledger"))
 def a15_collapse_note(spark, sf_dir):
     return RU.collapse_note(X.ledger(spark, sf_dir))
+
+
+_PACK = {"ledger": listing_sql("fy"), "pnl": ORACLES["r2_pnl_full"], "expense": ORACLES["a8_expense_report"], "entity": ORACLES["a10_entity_report"],
+         "department": ORACLES["a9_dept_cc_report"], "drivers": ORACLES["a11_drivers"]}
+
+
+@register("s5_pack_tables", " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", count(*) AS n_rows, round(sum(actual), 2) AS actual FROM ({sql}) {name}_t" for name, sql in _PACK.items()))
+def s5_pack_tables(spark, sf_dir):
+    """The pack's tables written from one cube, read back and counted."""
+    return PK.read_pack(spark, PK.write_pack(fy_frame(spark, sf_dir), P))

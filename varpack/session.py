@@ -56,16 +56,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new name below spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="varpack-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return os.path.join(root, f"varpack-{uuid.uuid4().hex}")
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table below spark.checkpoint.dir, the folder
     that the whole cluster shares, and read it back: a frame that several
     branches use is computed once, and a lost executor costs a re-read. Only
     where the setting is absent (local tests) is a scratch folder named."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="varpack-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = os.path.join(root, f"varpack-{uuid.uuid4().hex}")
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
