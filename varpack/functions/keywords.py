@@ -149,7 +149,6 @@ SYNONYMS = {
     "entity": ["entity", "company", "legal entity", "company code", "subsidiary",
                "entitas", "ceg", "tarsasag", "tarsasagi kod"],
 }
-FUZZY_CUTOFF = 0.82
 CURRENCY_HEADERS = ["currency", "ccy", "curr", "devizanem", "deviza", "penznem"]
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 # Cell texts read as "no amount".
 AMOUNT_BLANKS = ["", "na", "n/a", "n.a.", "-", "–", "—", "nil", "none", "null"]
 # Debit / credit markers (SAP S/H, English D/C and DR/CR, Hungarian T/K).
-DEBIT_MARKERS = ["d", "dr", "debit", "s", "t", "+", "1"]
 CREDIT_MARKERS = ["c", "cr", "credit", "h", "k", "-", "2"]
 # Trailing credit/debit marker on an amount.
 TRAILING_MARKER = r"(?i)[\s.]*\b(cr|dr)\b[\s.]*$"

@@ -75,11 +75,4 @@ def sign_rows() -> list[tuple]:
     for label, kind, hib, *_r in PNL_LINES:
         for cat, s in SIGN_MATRIX[label].items():
             out.append((LINE_ORDER[label], label, kind, hib, cat, s))
-    return out
-
-
-def expense_group_rows() -> list[tuple]:
-    """(group_ord, group, type_ord, type) rows."""
-    return [(gi + 1, g, ti + 1, t)
-            for gi, (g, types) in enumerate(EXPENSE_GROUPS)
-            for ti, t in enumerate(types)]
+    return out
\ No newline at end of file

@@ -45,11 +45,6 @@ def context_aggs(period_no: int) -> list[Column]:
             (F.min("_first") < F.max("_last")).alias("_several")]
 
 
-def report_context(fy: DataFrame, period_no: int) -> DataFrame:
-    """One row: plan presence, months elapsed, several entities or not."""
-    return leaf_frame(fy, [], period_no).agg(*context_aggs(period_no))
-
-
 def _base_aggs(period_no: int) -> list[Column]:
     ms = horizon_measures(period_no)
     return [dsum(ms[k]).alias(k) for k in BASE]
