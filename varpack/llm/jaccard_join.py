@@ -12,17 +12,22 @@ similarity of at least p / 100 differ in at most
 * *Pigeonhole per size band*: sets are joined within bands of sizes
   (2**(k-1), 2**k], a smaller set also in the next band where a partner may lie.
   All sets of a band use the same m > d cells, so similar sets agree on at least
-  m - d cells. Ordering cells by how many shingles they hold (most first, then by
-  hash) and indexing the first d + 1 of them therefore finds every pair; empty
-  and nearly empty cells, which many unrelated documents share, come last.
+  m - d cells. Under any one order of the cells, indexing the first d + 1 of them
+  therefore finds every pair. The order puts cells with a rare shingle first,
+  then cells with many shingles: a passage that a third of all documents share,
+  and empty cells, come last. Shingle frequencies are counted over all documents
+  in a table of fixed size (``SLOTS``); they steer the order only.
 * *Verify*: candidates pass the size and Hamming bounds, then the exact count of
   common shingles.
 
 No bucket is expanded into pairs. Equal sets are one class (one record per task
 and cell). A bucket first links its members to its smallest member. Buckets
-whose members are then still in several components are compared across those
-components, in tiles of bounded size, on sketches. So every link between
-components is found, while a group of near copies costs one link per member.
+whose members are then still in several components return, in rounds, at most a
+spanning forest of their untested pairs within the bounds, closest sketches
+first; pairs that fail the exact test are not proposed again. After
+``ROUNDS`` rounds what is left untested is tested as it is. Large buckets are
+compared in tiles. So every link between components is found, while a group of
+near copies costs a few tests per member.
 
 Defined cases: null, empty or blank text has no shingles and links with nothing;
 fewer than 5 words make one shingle of the whole sequence; a null id is the
@@ -45,7 +50,11 @@ from .textcore import (CODES_LOWER, U64, buffers, mix, prefix, row_slices, span_
 
 SHINGLE = 5
 PERCENT = 80
-_FLUSH = 1 << 21
+SLOTS = 1 << 20        # of the frequency table: one byte each
+ROUNDS = 1
+SMALL = 50_000         # ids that may be broadcast
+_FLUSH = 1 << 18       # records, and sets remembered, that a task holds
+_SLICE = 1 << 20       # bytes of text hashed at a time
 _DOC, _PAIR, _BUCKET = 0, 1, 2
 _FOUND_SCHEMA = "kind int, a long, b long, n long, s2 long, sketch binary"
 
@@ -53,7 +62,7 @@ _FOUND_SCHEMA = "kind int, a long, b long, n long, s2 long, sketch binary"
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, row pointer, distinct shingle hashes sorted within each row)."""
     offsets, data = buffers(texts)
-    for a, b in row_slices(offsets):
+    for a, b in row_slices(offsets, _SLICE):
         start, end, ptr = word_bounds(offsets[a: b + 1], data)
         pre = prefix(word_hashes(data, start, end, CODES_LOWER))
         n = np.diff(ptr)
@@ -92,11 +101,11 @@ def set_identity(ptr: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def bit_sketches(ptr: np.ndarray, h: np.ndarray) -> list[bytes]:
-    """One parity bit per cell, as many cells as the row's size band has
-    elements (a power of two, 64 at least): larger sketches fold by XOR."""
+    """One parity bit per cell, four times as many cells as the row's size band
+    has elements (a power of two): larger sketches fold by XOR."""
     out = []
     for i, j in zip(ptr[:-1], ptr[1:]):
-        bits = 1 << max(6, int(j - i - 1).bit_length() if j > i else 6)
+        bits = 4 << max(4, int(j - i - 1).bit_length() if j > i else 0)
         cell = (h[i:j] & U64(bits - 1)).astype(np.int64)
         parity = np.bincount(cell, minlength=bits).astype(np.uint8) & 1
         out.append(np.packbits(parity).tobytes())
@@ -122,7 +131,7 @@ def cells(size: np.ndarray, band: np.ndarray, percent: int) -> tuple[np.ndarray,
     return np.maximum(most + 1, -(-9 * most // 5)), max_difference(size, partner, percent)
 
 
-def band_keys(ptr: np.ndarray, h: np.ndarray, band: np.ndarray, rows: np.ndarray, percent: int):
+def band_keys(ptr: np.ndarray, h: np.ndarray, band: np.ndarray, rows: np.ndarray, percent: int, common: np.ndarray):
     """(row, key) of the indexed cells of ``rows``, sketched for ``band``."""
     size = np.diff(ptr)[rows]
     band = band[rows]
@@ -140,9 +149,10 @@ def band_keys(ptr: np.ndarray, h: np.ndarray, band: np.ndarray, rows: np.ndarray
     new[1:] = (cell[1:] != cell[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
     value = np.bitwise_xor.reduceat(mix(x), at)
+    rarest = np.minimum.reduceat(common[(x & U64(SLOTS - 1)).astype(np.int64)], at)
     held = np.diff(np.r_[at, len(x)])
     owner, cell = owner[at], cell[at]
-    key = cell_key(value, cell, held, band[owner])
+    key = cell_key(value, cell, held, band[owner], rarest)
     cut = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(rows)))]
     for i, j in zip(cut[:-1], cut[1:]):
         key[i:j].sort()
@@ -153,25 +163,26 @@ def band_keys(ptr: np.ndarray, h: np.ndarray, band: np.ndarray, rows: np.ndarray
     for r in np.flatnonzero(filled <= d):    # too few cells hold anything: empty ones follow, by hash
         empty = np.setdiff1d(np.arange(m[r], dtype=U64), cell[cut[r]: cut[r + 1]])
         z = np.zeros(len(empty), np.int64)
-        more = np.sort(cell_key(z.astype(U64), empty, z, z + band[r]))[: d[r] + 1 - filled[r]]
+        more = np.sort(cell_key(z.astype(U64), empty, z, z + band[r], z + 63))[: d[r] + 1 - filled[r]]
         out_row.append(np.full(len(more), rows[r]))
         out_key.append(more)
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
-def cell_key(value, cell, held, band) -> np.ndarray:
-    """Key of a cell's content, in indexing order: most shingles first."""
+def cell_key(value, cell, held, band, rarest) -> np.ndarray:
+    """Key of a cell's content, in indexing order: rare content first, then many shingles."""
     g = mix(value + cell.astype(U64) * U64(0x9E3779B97F4A7C15) + band.astype(U64) * U64(0xD1B54A32D192ED03))
-    return ((U64(63) - np.minimum(held, 63).astype(U64)) << U64(58)) | (g >> U64(6))
+    many = U64(31) - np.minimum(held, 31).astype(U64)
+    return (np.minimum(rarest, 63).astype(U64) << U64(58)) | (many << U64(53)) | (g >> U64(11))
 
 
-def index_keys(ptr: np.ndarray, h: np.ndarray, rows: np.ndarray, percent: int):
+def index_keys(ptr: np.ndarray, h: np.ndarray, rows: np.ndarray, percent: int, common: np.ndarray):
     """(row, key) of ``rows`` in their own band and, near its top, in the next."""
     size = np.diff(ptr)
     band = np.array([max(0, int(n - 1).bit_length()) if n > 0 else 0 for n in size], np.int64)
-    r1, k1 = band_keys(ptr, h, band, rows[size[rows] > 0], percent)
+    r1, k1 = band_keys(ptr, h, band, rows[size[rows] > 0], percent, common)
     upper = rows[(size[rows] > 0) & (100 * size[rows] // percent > (np.int64(1) << band[rows]))]
-    r2, k2 = band_keys(ptr, h, band + 1, upper, percent)
+    r2, k2 = band_keys(ptr, h, band + 1, upper, percent, common)
     return np.r_[r1, r2], mix(np.r_[k1, k2])
 
 
@@ -214,7 +225,36 @@ def _sealed(tables: list[pa.Table]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _sketch_blocks(docs: DataFrame, percent: int) -> DataFrame:
+def shingle_frequency(docs: DataFrame) -> np.ndarray:
+    """How common each slot of shingles is over all documents, one byte a slot:
+    0 up to the mean load, then its binary logarithm. Fixed size."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, h in shingle_sets(batch.column("text")):
+                total += np.bincount((h & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        step = SLOTS // _SLICES
+        parts = [(k, total[k * step: (k + 1) * step]) for k in range(_SLICES)]
+        parts = [(k, pack([t.astype(np.uint32 if t.max() < 2**32 else np.int64)])) for k, t in parts if t.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(unpack(b)[0].astype(np.int64) for b in table.column("counts").to_pylist())
+        return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([pack([total])], pa.binary())})
+
+    schema = "slice int, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
+    total = np.zeros(SLOTS, np.int64)
+    for r in rows:
+        total[r["slice"] * (SLOTS // _SLICES):][: SLOTS // _SLICES] = unpack(r["counts"])[0]
+    load = max(1.0, total.mean())
+    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / load))).astype(np.uint8)
+
+
+_SLICES = 64
+
+
+def _sketch_blocks(docs: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
     """Rows (part, keys, found): packed (cell key, set) records, one per key and
     task, and what a task already knows (its documents, its own buckets)."""
     parts = parts_of(docs.sparkSession)
@@ -243,7 +283,7 @@ def _sketch_blocks(docs: DataFrame, percent: int) -> DataFrame:
                 fresh = np.array([not (x in seen or seen.add(x)) for x in s1.tolist()], bool)
                 if len(seen) > _FLUSH:
                     seen.clear()
-                row, key = index_keys(ptr, h, np.flatnonzero(fresh), percent)
+                row, key = index_keys(ptr, h, np.flatnonzero(fresh), percent, common)
                 held.append((key, s1[row]))
                 count += len(key)
                 yield rows([int(abs(int(s1[0])) % parts)], [None], [_sealed([_found_table(
@@ -291,7 +331,9 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among candidate pairs, by the exact count of common shingles."""
-    need = pairs.select(F.col("ida").alias("did")).unionByName(pairs.select(F.col("idb").alias("did"))).distinct()
+    need = pairs.select(F.explode(F.array("ida", "idb")).alias("did")).distinct()
+    few = need.limit(SMALL + 1).count() <= SMALL
+    need = F.broadcast(need) if few else need.hint("shuffle_hash")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +342,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                     [batch.column("did").slice(a, len(ptr) - 1), pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(h.view(np.int64)))],
                     names=["did", "set"])
 
-    sets = written(docs.select("did", "text").join(need.hint("shuffle_hash"), "did", "left_semi")
+    sets = written(docs.select("did", "text").join(need, "did", "left_semi")
                    .mapInArrow(task, "did long, set array<long>").dropDuplicates(["did"]))
     a = sets.select(F.col("did").alias("ida"), F.col("set").alias("sa"))
     b = sets.select(F.col("did").alias("idb"), F.col("set").alias("sb"))
@@ -325,71 +367,140 @@ def _explode_members(buckets: DataFrame) -> DataFrame:
     return buckets.select("a", "n", "sketch").mapInArrow(task, "bucket long, s1 long").distinct()
 
 
-def _open_buckets(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (bucket, id, label) of the buckets that lie in several components."""
-    ids = classes.select("s1", "id").join(labels, "id", "left").select("s1", "id", F.coalesce("component", "id").alias("label"))
-    member = _explode_members(buckets).join(ids, "s1").select("bucket", "id", "label")
-    member = written(member)
-    several = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    return member.join(several.select("bucket", "size"), "bucket")
+def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members (bucket, id) of the buckets that lie in several components, with
+    label and bucket size; of buckets with equal members one stays."""
+    rows = members.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    h = F.xxhash64("id")
+    open_ = (rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"),
+                                        F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+             .filter("lo <> hi").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")))
+    return rows.join(open_.select("bucket", "size"), "bucket")
+
+
+def spanning(label, n, sketches: list[bytes], failed: list, ids, percent: int, everything: bool) -> list[tuple[int, int]]:
+    """Index pairs of one bucket that lie in different components, meet the
+    bounds and have not failed: all of them, or a spanning forest of them."""
+    k = len(ids)
+    width = min(map(len, sketches))
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in sketches])
+    folded = folded.view(np.uint64) if width % 8 == 0 else folded
+    label, n = np.asarray(label), np.asarray(n)
+    place = {v: i for i, v in enumerate(ids)}
+    bad = {(i, place[v]) for i, row in enumerate(failed) if row for v in row if v in place}
+    rows, cols, dist = [], [], []
+    for i in range(k - 1):
+        j = np.flatnonzero((label[i + 1:] != label[i]) & (100 * np.minimum(n[i], n[i + 1:]) >= percent * np.maximum(n[i], n[i + 1:]))) + i + 1
+        if not len(j):
+            continue
+        d = np.bitwise_count(folded[j] ^ folded[i]).sum(1, dtype=np.int64)
+        ok = d <= max_difference(n[i], n[j], percent)
+        j, d = j[ok], d[ok]
+        if len(sketches[i]) != width:        # the fold loses resolution: decide on the finer sketches
+            fine = np.array([hamming(sketches[i], sketches[c]) if len(sketches[c]) != width else e for c, e in zip(j, d)], np.int64)
+            ok = fine <= max_difference(n[i], n[j], percent)
+            j, d = j[ok], fine[ok]
+        if bad:
+            ok = np.array([(i, c) not in bad and (c, i) not in bad for c in j.tolist()], bool)
+            j, d = j[ok], d[ok]
+        if not everything and len(j):        # of each component the closest is enough for a forest
+            order = np.lexsort((d, label[j]))
+            first = np.ones(len(j), bool)
+            first[1:] = label[j[order]][1:] != label[j[order]][:-1]
+            j, d = j[order[first]], d[order[first]]
+        rows.append(np.full(len(j), i))
+        cols.append(j)
+        dist.append(d)
+    if not rows:
+        return []
+    rows, cols, dist = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+    if everything:
+        return list(zip(rows.tolist(), cols.tolist()))
+    root: dict = {}
+
+    def find(v):
+        while root.get(v, v) != v:
+            root[v] = root.get(root[v], root[v])
+            v = root[v]
+        return v
 
+    out = []
+    for e in np.argsort(dist, kind="stable").tolist():
+        a, b = find(int(label[rows[e]])), find(int(label[cols[e]]))
+        if a != b:
+            root[a] = b
+            out.append((int(rows[e]), int(cols[e])))
+    return out
 
-def _cross_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(ida, idb, na, nb) of open buckets' members in different components that
-    meet the bounds. A large bucket is cut into tiles; every pair of tiles is a
-    group of bounded size."""
+
+def _proposed(members: DataFrame, classes: DataFrame, failed: DataFrame, percent: int, everything: bool) -> DataFrame:
+    """Untested pairs (ida, idb, na, nb) of open buckets (see ``spanning``). A
+    large bucket is cut into tiles; every pair of tiles is a group of bounded size."""
     tiles = F.ceil(F.col("size") / _TILE_ROWS).cast("int")
-    tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    dealt = (members.join(classes.select("id", "n", "sketch"), "id")
-             .withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    of = failed.select(F.col("ida").alias("id"), F.col("idb").alias("o")).unionByName(failed.select(F.col("idb").alias("id"), F.col("ida").alias("o")))
+    dealt = (members.join(classes.select("id", "n", "sketch"), "id").join(of.groupBy("id").agg(F.collect_set("o").alias("failed")), "id", "left")
+             .withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
              .withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other")))
 
-    def compare(rows: list[tuple]) -> Iterator[tuple]:
-        for i, (ida, la, na, x, ta) in enumerate(rows):
-            for idb, lb, nb, y, tb in rows[:i]:
-                if la != lb and within_bounds(na, nb, x, y, percent):
-                    yield min((ida, na), (idb, nb)) + max((ida, na), (idb, nb))
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows):
+            ids, label, n, sketch, bad = zip(*rows)
+            for i, j in spanning(label, n, sketch, bad, ids, percent, everything):
+                a, b = sorted(((ids[i], n[i]), (ids[j], n[j])))
+                yield a + b
+
         def emit(found):
-            found = list(set(found))
-            c = list(zip(*found)) if found else [[], [], [], []]
+            c = list(zip(*set(found))) if found else [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c[k], pa.int64()) for k in (0, 2, 1, 3)], names=["ida", "idb", "na", "nb"])
 
         group, rows, found = None, [], []
         for t in batches:
-            for bucket, ti, tj, ident, label, n, sketch, mine in zip(*(t.column(c).to_pylist() for c in ("bucket", "ti", "tj", "id", "label", "n", "sketch", "tile"))):
+            for bucket, ti, tj, *row in zip(*(t.column(c).to_pylist() for c in ("bucket", "ti", "tj", "id", "label", "n", "sketch", "failed"))):
                 if (bucket, ti, tj) != group:
-                    found += compare(rows)
+                    if len(rows) > 1:
+                        found += pairs(rows)
                     group, rows = (bucket, ti, tj), []
                     if len(found) > 100_000:
                         yield emit(found)
                         found = []
-                rows.append((ident, label, n, sketch, mine))
-        found += compare(rows)
+                rows.append(tuple(row))
+        if len(rows) > 1:
+            found += pairs(rows)
         yield emit(found)
 
-    return (dealt.select("bucket", "ti", "tj", "id", "label", "n", "sketch", "tile")
+    return (dealt.select("bucket", "ti", "tj", "id", "label", "n", "sketch", "failed")
             .repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj")
             .mapInArrow(task, "ida long, idb long, na long, nb long").distinct())
 
 
+def _failed(tried: DataFrame, links: DataFrame) -> DataFrame:
+    pair = tried.select(F.least("ida", "idb").alias("ida"), F.greatest("ida", "idb").alias("idb"))
+    return pair.join(links.select(F.least("a", "b").alias("ida"), F.greatest("a", "b").alias("idb")), ["ida", "idb"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable
     over links, itself included) and class_id (smallest id with an equal set)."""
     docs = documents(docs, id_col, text_col).select("did", "text")
-    found = written(_sketch_blocks(docs, percent).groupBy("part").applyInArrow(_join_part, _FOUND_SCHEMA))
+    common = shingle_frequency(docs)
+    found = written(_sketch_blocks(docs, percent, common).groupBy("part").applyInArrow(_join_part, _FOUND_SCHEMA))
     of = lambda kind: found.filter(F.col("kind") == kind)
     doc = of(_DOC).select(F.col("a").alias("did"), F.col("b").alias("s1"), "s2", "n")
     classes = written(of(_DOC).filter("n > 0").groupBy(F.col("b").alias("s1"), "s2", "n")
                       .agg(F.min("a").alias("id"), F.first("sketch").alias("sketch")))
-    first = written(_bounded(of(_PAIR).select("a", "b").distinct(), classes, percent))
-    links = written(_verified(docs, first, percent))
-    members = _open_buckets(of(_BUCKET), classes, components(links))
-    second = written(_cross_pairs(members, classes, percent)
-                     .join(first.select(F.least("ida", "idb").alias("ida"), F.greatest("ida", "idb").alias("idb")), ["ida", "idb"], "left_anti"))
-    links = links.unionByName(_verified(docs, second, percent))
+    tried = written(_bounded(of(_PAIR).select("a", "b").distinct(), classes, percent))
+    links = written(_verified(docs, tried, percent))
     label = components(links)
+    members = written(_explode_members(of(_BUCKET)).join(classes.select("s1", "id"), "s1").select("bucket", "id"))
+    failed = _failed(tried, links)
+    for k in range(ROUNDS + 1):
+        members = written(_labelled(members.select("bucket", "id"), label))
+        tried = written(_proposed(members, classes, failed, percent, everything=k == ROUNDS))
+        if tried.isEmpty():
+            break
+        fresh = written(_verified(docs, tried, percent))
+        links, failed = links.unionByName(fresh), written(failed.unionByName(_failed(tried, fresh)))
+        label = components(links)
     named = doc.filter("n > 0").join(classes.select("s1", "s2", "n", "id"), ["s1", "s2", "n"]).join(label, "id", "left")
     whole = (named.select("did", "n", F.coalesce("component", "id").alias("component"), "id")
              .unionByName(doc.filter("n = 0").select("did", "n", F.col("did").alias("component"), F.col("did").alias("id"))))

@@ -30,8 +30,8 @@ BLOCK_SCHEMA = "part int, records binary, marks binary"
 MARK_SCHEMA = "did long, tag int, kind int, pos int, len int"
 MARKED, EXPAND = 0, 1
 _MARKS = 1 << 9    # marks a row carries, where parts are enough
-_FLUSH = 1 << 20   # records a map task holds before it collapses and emits them
-_TILE = 1 << 21    # symbols hashed at a time
+_FLUSH = 1 << 19   # records a map task holds before it collapses and emits them
+_TILE = 1 << 20    # symbols hashed at a time
 _PLACE = U64((1 << 28) - 1)  # low bits that hold a place while owners are sought
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shuffle import written
+from .shuffle import bounded_batches, written
 from .textcore import CODES_LOWER, U64, buffers, prefix, row_slices, span_hash
 
 SAMPLE_ROWS = 20_000
@@ -183,6 +183,7 @@ def trainer(category: str, folds: int):
 def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample_rows: int = SAMPLE_ROWS,
                 folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """One model per category; ``labels`` has ``id_col`` and a 0/1 column per category."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     sample = known.orderBy(F.xxhash64("id"), "id", *categories).limit(sample_rows)   # bounded: sample_rows small rows
 
@@ -220,6 +221,7 @@ def score_documents(docs: DataFrame, models: list[dict], threshold: float = 0.5,
                     verdict: str = "toxic", text_col: str = "text") -> DataFrame:
     """``docs`` with a probability column per model and ``verdict``: 1 where the
     last one is at least ``threshold``. Columns of these names are replaced."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in (*probabilities, verdict) if c != text_col])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
