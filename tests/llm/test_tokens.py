@@ -55,7 +55,7 @@ def test_elias_fano_is_small():
 
 def test_byte_bpe_matches_the_library(odd_docs, odd_rows, monkeypatch):
     import tiktoken
-    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 3000)
     path = tokens.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -65,6 +65,21 @@ def test_byte_bpe_matches_the_library(odd_docs, odd_rows, monkeypatch):
     assert have == sorted(want, key=repr)
 
 
+def test_encoders_on_white_space_and_odd_characters(spark):
+    import tiktoken
+    texts = ["", " ", "  ", " a", "a ", "a  b", "a \n b", "\n", "a\x00b c\x00", "\x00", "x\x1cy z", "x\x85 y\xa0z", "é é  ñ x", "x \u3000y", "日本 語 a",
+             "Σίσυφος ΟΔΟΣ", "İstanbul ǅ", "e \u0301x", "don't I'LL we've", "À×÷ß ÿ", "½ ²³ 123", "<|endoftext|> <|startoftext|>", "z"]
+    texts += [" ".join(texts), "\n".join(texts[::-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = tokens.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in byte_bpe.encode_documents(docs, path, tokens.PATTERN).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+    pieces = packing.pack_documents(docs, tokens.path("byte_bpe_50k.json")).collect()
+    assert brute.pieces_ok(pieces, {i: [*x, 0] for i, x in enumerate(library_ids("byte_bpe_50k.json", texts))}) == 0
+
+
 def test_byte_bpe_of_no_documents(no_docs):
     path = tokens.path("byte_bpe_multi_50k.tiktoken")
     assert byte_bpe.encode_documents(no_docs, path, tokens.PATTERN).collect() == []
