@@ -38,7 +38,7 @@ BUCKETS = 1 << 20      # of the word hash
 FEATURES = 4_000       # words a model keeps, by chi-square on the sample
 MIN_DOCS = 3
 L2 = 0.3
-LEAST_CHI = 10.8      # one chance in a thousand
+LEAST_CHI = 20.0      # so many words are tried that one chance in a thousand is not enough
 CATEGORIES = ("low_quality", "toxic")
 PROBABILITIES = ("p_low_quality", "p_toxic")
 
