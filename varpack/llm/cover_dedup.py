@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .repeats import (MARKED, Windows, blocks, marks_of, repeated_windows, resolve, row_numbers, sequences,
                       spread_marks, with_marks)
-from .shuffle import documents, written
+from .shuffle import documents, tidy, written
 from .textcore import U64, buffers, prefix, row_slices, window_hash, word_bounds
 
 PERIOD = 21
@@ -85,7 +85,7 @@ def remove_repeated_passages(docs: DataFrame, size: int = 35, id_col: str = "doc
                 yield _kept(batch.slice(a, b - a), offsets[a: b + 1], data, mark_ptr[a: b + 1], pos, length, size)
 
     return with_marks(docs, marks, "left").mapInArrow(
-        task, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        tidy(task), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def _kept(batch, offsets, data, mark_ptr, pos, length, size) -> pa.RecordBatch:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shuffle import NO_ID, by_part, documents, pack, parts_of, unpack, written
+from .shuffle import NO_ID, by_part, documents, pack, parts_of, tidy, unpack, written
 from .textcore import (CODES_LOWER, U64, buffers, mix, prefix, row_slices, span_hash, word_bounds, word_hashes)
 
 SHINGLE = 5
@@ -243,7 +243,7 @@ def shingle_frequency(docs: DataFrame) -> np.ndarray:
         return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([pack([total])], pa.binary())})
 
     schema = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
+    rows = docs.select("text").mapInArrow(tidy(count), schema).groupBy("slice").applyInArrow(add, schema).collect()
     total = np.zeros(SLOTS, np.int64)
     for r in rows:
         total[r["slice"] * (SLOTS // _SLICES):][: SLOTS // _SLICES] = unpack(r["counts"])[0]
@@ -294,7 +294,7 @@ def _sketch_blocks(docs: DataFrame, percent: int, common: np.ndarray) -> DataFra
         if count:
             yield from emit(held)
 
-    return docs.select("did", "text").mapInArrow(task, "part int, keys binary, found binary")
+    return docs.select("did", "text").mapInArrow(tidy(task), "part int, keys binary, found binary")
 
 
 def _join_part(table: pa.Table) -> pa.Table:
@@ -326,7 +326,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([within_bounds(*r, percent) for r in zip(na, nb, x, y)], pa.bool_())
             yield t.select(["ida", "idb", "na", "nb"]).filter(keep)
 
-    return joined.select("ida", "idb", "na", "nb", "xa", "xb").mapInArrow(task, "ida long, idb long, na long, nb long")
+    return joined.select("ida", "idb", "na", "nb", "xa", "xb").mapInArrow(tidy(task), "ida long, idb long, na long, nb long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -343,7 +343,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                     names=["did", "set"])
 
     sets = written(docs.select("did", "text").join(need, "did", "left_semi")
-                   .mapInArrow(task, "did long, set array<long>").dropDuplicates(["did"]))
+                   .mapInArrow(tidy(task), "did long, set array<long>").dropDuplicates(["did"]))
     a = sets.select(F.col("did").alias("ida"), F.col("set").alias("sa"))
     b = sets.select(F.col("did").alias("idb"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -470,7 +470,7 @@ def _proposed(members: DataFrame, classes: DataFrame, failed: DataFrame, percent
 
     return (dealt.select("bucket", "ti", "tj", "id", "label", "n", "sketch", "failed")
             .repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj")
-            .mapInArrow(task, "ida long, idb long, na long, nb long").distinct())
+            .mapInArrow(tidy(task), "ida long, idb long, na long, nb long").distinct())
 
 
 def _failed(tried: DataFrame, links: DataFrame) -> DataFrame:

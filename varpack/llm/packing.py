@@ -84,7 +84,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(definition, spaced=True)
+        encoder = PieceEncoder(definition, spaced=True, pieces=600_000, words=300_000)   # beside earlier stages' memory
         bins = Bins(capacity, TaskContext.get().partitionId() * _TASK_IDS)
         done: list[tuple] = []
 

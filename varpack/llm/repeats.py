@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shuffle import by_part, pack, parts_of, unpack, written
+from .shuffle import by_part, pack, parts_of, tidy, unpack, written
 from .textcore import (CODES, U64, buffers, mix, prefix, row_slices, sliding_min, span_hash,
                        window_hash, word_bounds, word_hashes)
 
@@ -217,7 +217,7 @@ def blocks(frame: DataFrame, w: Windows, find) -> DataFrame:
                 yield from held.add(key, sub, did[row], tag[row], pos, length)
         yield from held.flush()
 
-    return frame.mapInArrow(task, BLOCK_SCHEMA)
+    return frame.mapInArrow(tidy(task), BLOCK_SCHEMA)
 
 
 def resolve(packed: DataFrame, w: Windows) -> DataFrame:

@@ -10,7 +10,11 @@ follows ``spark.sql.shuffle.partitions``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 
@@ -29,6 +33,28 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def tidy(task):
+    """An Arrow task that starts without the token caches which tasks of another
+    operator may have left in this Python worker, and gives freed memory back to
+    the system when it ends: workers outlive tasks, and several share an
+    executor's memory."""
+    def run(batches):
+        store = sys.modules.get("_varpack_worker_store")
+        if store is not None and store.store:
+            store.store.clear()
+            _trim()
+        yield from task(batches)
+        _trim()
+
+    return run
+
+
+def _trim() -> None:
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):   # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts_of(spark: SparkSession, factor: int = 4) -> int:
     """Parts of a packed shuffle: several per shuffle partition, so that hashing
     parts to partitions stays even."""

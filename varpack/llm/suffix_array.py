@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .repeats import Windows, marks_of, repeated_windows, spread_marks, with_marks
-from .shuffle import documents
+from .shuffle import documents, tidy
 from .textcore import buffers
 
 GRAM = 32
@@ -73,7 +73,7 @@ def _cut(docs: DataFrame, size: int, gram: int, whole: bool) -> DataFrame:
 
     kinds = dict((f.name, f.dataType.simpleString()) for f in docs.schema.fields)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in carried), *(f"{c} long" for c in numbers), "kept_sha256 string", "kept_text string"])
-    return with_marks(docs, marks, "left").select(*carried, "text", "marks").mapInArrow(task, schema)
+    return with_marks(docs, marks, "left").select(*carried, "text", "marks").mapInArrow(tidy(task), schema)
 
 
 def remove_repeats(docs: DataFrame, size: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

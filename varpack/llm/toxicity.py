@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shuffle import bounded_batches, written
+from .shuffle import bounded_batches, tidy, written
 from .textcore import CODES_LOWER, U64, buffers, prefix, row_slices, span_hash
 
 SAMPLE_ROWS = 20_000
@@ -52,7 +52,7 @@ def word_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, row pointer, distinct word buckets of each row): words are
     runs of letters, ASCII letters lower-cased."""
     offsets, data = buffers(texts)
-    for a, b in row_slices(offsets, 2 << 20):
+    for a, b in row_slices(offsets, 1 << 20):
         lo, hi = int(offsets[a]), int(offsets[b])
         part = data[lo:hi]
         inside = np.zeros(len(part) + 2, bool)
@@ -196,7 +196,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
 
     kinds = ", ".join(f"{c} int" for c in categories)
     found = (docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-             .join(F.broadcast(sample), "id").mapInArrow(features, f"id long, {kinds}, words array<int>")
+             .join(F.broadcast(sample), "id").mapInArrow(tidy(features), f"id long, {kinds}, words array<int>")
              .withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(folds)).cast("int"))
              .withColumn("earlier", F.array().cast("array<double>")))
     found = written(found)
@@ -246,7 +246,7 @@ def score_documents(docs: DataFrame, models: list[dict], threshold: float = 0.5,
 
     wide = docs.withColumn("_vp_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{n} double" for n in probabilities)])
-    return wide.mapInArrow(task, schema).withColumn(verdict, (F.col(probabilities[-1]) >= threshold).cast("int"))
+    return wide.mapInArrow(tidy(task), schema).withColumn(verdict, (F.col(probabilities[-1]) >= threshold).cast("int"))
 
 
 def load_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

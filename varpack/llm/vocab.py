@@ -122,7 +122,7 @@ class PieceEncoder:
     #: a character outside the range whose classes no Unicode version disputes; NUL separates pieces
     ODD = re.compile(r"[^\x00\t\n\r\x20-\x7e\u00c0-\u024f]")
 
-    def __init__(self, definition: str, spaced: bool):
+    def __init__(self, definition: str, spaced: bool, pieces: int = CACHE_PIECES, words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         store = worker_store()
@@ -133,6 +133,7 @@ class PieceEncoder:
             tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
             store[key] = {"tokenizer": tokenizer}
         self.store, self.tokenizer, self.spaced = store[key], store[key]["tokenizer"], spaced
+        self.most_pieces, self.most_words = pieces, words
         if "pieces" not in self.store:
             self._forget()
         # NUL stands between pieces, so it must be a match of its own
@@ -161,7 +162,7 @@ class PieceEncoder:
 
     def _slots(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Places of sorted piece fingerprints in the cache, new ones encoded first."""
-        if len(self.store["keys"]) + len(keys) > CACHE_PIECES:
+        if len(self.store["keys"]) + len(keys) > self.most_pieces:
             self._forget()
         known, place = self.store["keys"], self.store["place"]
         at = np.searchsorted(known, keys)
@@ -201,7 +202,7 @@ class PieceEncoder:
         if not self.spaced:
             joined = joined.lower() if joined.isascii() else self.tokenizer.normalizer.normalize_str(joined)
         found = self.find(joined)
-        if len(self.store["word"]) > CACHE_WORDS:
+        if len(self.store["word"]) > self.most_words:
             self.store.update(words=Lists(), word={})
             self._separator()
         words, word = self.store["words"], self.store["word"]
