@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shuffle import bounded_batches
+from .shuffle import bounded_batches, tidy
 from .vocab import PieceEncoder, read_file
 
 CAPACITY = 1024
@@ -84,7 +84,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(definition, spaced=True, pieces=600_000, words=300_000)   # beside earlier stages' memory
+        encoder = PieceEncoder(definition, spaced=True, pieces=400_000, words=200_000)   # beside earlier stages' memory
         bins = Bins(capacity, TaskContext.get().partitionId() * _TASK_IDS)
         done: list[tuple] = []
 
@@ -109,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         yield placed()
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-            .mapInArrow(task, schema))
+            .mapInArrow(tidy(task, keep_caches=True), schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,14 +33,14 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def tidy(task):
+def tidy(task, keep_caches: bool = False):
     """An Arrow task that starts without the token caches which tasks of another
-    operator may have left in this Python worker, and gives freed memory back to
-    the system when it ends: workers outlive tasks, and several share an
-    executor's memory."""
+    operator may have left in this Python worker (unless it uses them), and gives
+    freed memory back to the system when it ends: workers outlive tasks, and
+    several share an executor's memory."""
     def run(batches):
         store = sys.modules.get("_varpack_worker_store")
-        if store is not None and store.store:
+        if store is not None and store.store and not keep_caches:
             store.store.clear()
             _trim()
         yield from task(batches)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shuffle import NO_ID, bounded_batches, shared_folder
+from .shuffle import NO_ID, bounded_batches, shared_folder, tidy
 from .vocab import PieceEncoder, read_file
 
 MAGIC = b"EFTOKEN1"
@@ -155,7 +155,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), text.alias("text"))
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     (rows.repartitionByRange(parts, "did", F.xxhash64("text")).sortWithinPartitions("did", F.xxhash64("text"))
-     .mapInArrow(task, "part int, file int, before long, tokens long, data binary")
+     .mapInArrow(tidy(task, keep_caches=True), "part int, file int, before long, tokens long, data binary")
      .write.option("compression", "zstd").parquet(path))
 
 
