@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from varpack.llm import cover_dedup, suffix_array
+from varpack.llm import cover_dedup, repeats, suffix_array
 from varpack.llm.repeats import Windows, runs
 from varpack.llm.textcore import CODES
 
@@ -42,6 +42,16 @@ def test_word_repeats_other_sizes(odd_docs, odd_rows, size):
     assert got == sorted(brute.word_repeats(odd_rows, size), key=repr)
 
 
+def test_a_passage_in_many_surroundings(monkeypatch, spark, prose):
+    """A bucket with many identifiers in each task, and copies across tasks."""
+    passage = prose(60, 77)
+    monkeypatch.setattr(repeats, "_HEAVY", 16)
+    rows = [(i, prose(12, 1000 + i % 70) + " " + passage + " " + prose(9, 2000 + i % 90)) for i in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(suffix_array.remove_repeats(docs), 5) == sorted((r[:5] for r in brute.byte_repeats(rows)), key=repr)
+    assert rows_of(cover_dedup.remove_repeated_passages(docs), 4) == sorted(brute.word_repeats(rows), key=repr)
+
+
 def test_empty_tables(no_docs):
     assert suffix_array.remove_repeats(no_docs).collect() == []
     assert cover_dedup.remove_repeated_passages(no_docs).collect() == []
@@ -63,7 +73,6 @@ def test_no_two_windows_of_a_run_are_equal():
 
 
 def test_long_text_is_tiled(monkeypatch, spark, prose):
-    from varpack.llm import repeats
     monkeypatch.setattr(repeats, "_TILE", 512)
     text = prose(700, 11)
     rows = [(1, text), (2, "q" + text[1500:] + text[:700]), (3, text[2000:2099]), (4, text[2000:2100])]

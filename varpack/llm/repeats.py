@@ -29,6 +29,7 @@ from .textcore import (CODES, U64, buffers, mix, prefix, row_slices, sliding_min
 BLOCK_SCHEMA = "part int, records binary, marks binary"
 MARK_SCHEMA = "did long, tag int, kind int, pos int, len int"
 MARKED, EXPAND = 0, 1
+_HEAVY = 128       # identifiers of one bucket in one task from which on it is open at once
 _MARKS = 1 << 9    # marks a row carries, where parts are enough
 _FLUSH = 1 << 19   # records a map task holds before it collapses and emits them
 _TILE = 1 << 20    # symbols hashed at a time
@@ -113,7 +114,8 @@ def runs(codes: np.ndarray, ptr: np.ndarray, w: Windows, want: np.ndarray | None
 
 
 def single_windows(codes: np.ndarray, ptr: np.ndarray, w: Windows, want: np.ndarray):
-    """(position, length 1, bucket, identifier) of each wanted window."""
+    """(position, length 1, bucket, identifier) of each wanted window. Windows of
+    one bucket stay together: their records pack to half the bytes that way."""
     if len(codes) < w.size:
         z = np.zeros(0, np.int64)
         return z, z, z.astype(U64), z.astype(U64)
@@ -148,6 +150,15 @@ class Collector:
         several = np.repeat(count > 1, count)
         marked = later_than_first(r, first, count) if self.later else several
         keep = [a[first] for a in r] + [count > 1]
+        known = [[a[marked] for a in r[2:]] + [np.full(int(marked.sum()), MARKED, np.int32)]]
+        # a bucket of many identifiers is open whatever other tasks hold: two of
+        # them tell the other tasks, the rest are expanded without being sent
+        bucket = np.flatnonzero(np.r_[True, keep[0][1:] != keep[0][:-1]])
+        subs = np.diff(np.r_[bucket, len(keep[0])])
+        rank = np.arange(len(keep[0])) - np.repeat(bucket, subs)
+        here = (np.repeat(subs, subs) >= _HEAVY) & (rank >= 2)
+        known.append([a[here] for a in keep[2:6]] + [np.full(int(here.sum()), EXPAND, np.int32)])
+        keep = [a[~here] for a in keep]
         # did, then position: neighbours differ little, so their deltas pack well
         part = ((keep[0] >> U64(32)) * U64(self.parts) >> U64(32)).astype(np.int32)
         order = np.lexsort((keep[4], keep[3], keep[2], part))
@@ -155,8 +166,8 @@ class Collector:
         _, which, bounds = by_part(part)
         blobs = [pack_records([a[i:j] for a in keep]) for i, j in zip(bounds[:-1], bounds[1:])]
         out_part, out_rec, out_mark = [int(p) for p in which], blobs, [None] * len(blobs)
-        if marked.any():   # already decided here: dealt to parts in document order, to be passed on
-            m = [a[marked] for a in r[2:]]
+        m = [np.concatenate(c) for c in zip(*known)]
+        if len(m[0]):   # already decided here: dealt to parts in document order, to be passed on
             order = np.lexsort((m[2], m[1], m[0]))
             m = [a[order] for a in m]
             step = max(_MARKS, -(-len(m[0]) // self.parts))
@@ -228,8 +239,8 @@ def resolve(packed: DataFrame, w: Windows) -> DataFrame:
         out = [[np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int32, np.int32)]]
         for blob in table.column("marks").to_pylist():
             if blob is not None:
-                did, tag, pos, length = unpack(blob)
-                out.append([np.cumsum(did), tag, np.zeros(len(did), np.int32), pos, length])
+                did, tag, pos, length, kind = unpack(blob)
+                out.append([np.cumsum(did), tag, kind, pos, length])
         held = [unpack_records(b) for b in table.column("records").to_pylist() if b is not None]
         if held:
             r, first, count = grouped([np.concatenate(c) for c in zip(*held)])
