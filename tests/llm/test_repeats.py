@@ -52,6 +52,23 @@ def test_a_passage_in_many_surroundings(monkeypatch, spark, prose):
     assert rows_of(cover_dedup.remove_repeated_passages(docs), 4) == sorted(brute.word_repeats(rows), key=repr)
 
 
+def test_single_windows_of_a_hot_bucket_meet_across_tasks(monkeypatch, spark, prose):
+    """The second round in several tasks and flushes: its heavy buckets are sent whole."""
+    passage = prose(60, 77)
+    monkeypatch.setattr(repeats, "_HEAVY", 4)
+    monkeypatch.setattr(repeats, "_FLUSH", 64)
+    rows = [(i, prose(12, 1000 + i) + " " + passage + " " + prose(9, 2000 + i)) for i in range(120)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert rows_of(suffix_array.remove_repeats(docs), 5) == sorted((r[:5] for r in brute.byte_repeats(rows)), key=repr)
+        assert rows_of(cover_dedup.remove_repeated_passages(docs), 4) == sorted(brute.word_repeats(rows), key=repr)
+    finally:
+        spark.conf.set(coalesce, before)
+
+
 def test_empty_tables(no_docs):
     assert suffix_array.remove_repeats(no_docs).collect() == []
     assert cover_dedup.remove_repeated_passages(no_docs).collect() == []

@@ -56,7 +56,7 @@ def anchors(docs: DataFrame, size: int, period: int = PERIOD, cover: tuple[int,
             at = np.flatnonzero(at_cover[pos % period] & (pos + short <= n) & (n >= size))
             yield row[at] + a, pos[at], np.ones(len(at), np.int64), hashes[at], np.zeros(len(at), U64)
 
-    return resolve(blocks(docs.select("did", "tag", "text"), w, find), w).filter(F.col("kind") == MARKED)
+    return resolve(blocks(docs.select("did", "tag", "text"), w, find, refined=False), w).filter(F.col("kind") == MARKED)
 
 
 def repeated_word_windows(docs: DataFrame, size: int = 35, gram: int = 15) -> DataFrame:

@@ -130,10 +130,12 @@ FIELDS = (("key", np.uint64), ("sub", np.uint64), ("did", np.int64), ("tag", np.
 
 
 class Collector:
-    """Holds a map task's records, collapses equal ones and emits packed blocks."""
+    """Holds a map task's records, collapses equal ones and emits packed blocks.
+    ``refined``: records of an open bucket are looked at again in a later round,
+    so a heavy bucket need not be sent whole."""
 
-    def __init__(self, later: bool, parts: int):
-        self.later, self.parts, self.held, self.n = later, parts, [], 0
+    def __init__(self, later: bool, parts: int, refined: bool):
+        self.later, self.parts, self.refined, self.held, self.n = later, parts, refined, [], 0
 
     def add(self, key, sub, did, tag, pos, length) -> Iterator[pa.RecordBatch]:
         self.held.append([np.asarray(a).astype(t) for a, (_, t) in zip((key, sub, did, tag, pos, length), FIELDS)])
@@ -151,14 +153,15 @@ class Collector:
         marked = later_than_first(r, first, count) if self.later else several
         keep = [a[first] for a in r] + [count > 1]
         known = [[a[marked] for a in r[2:]] + [np.full(int(marked.sum()), MARKED, np.int32)]]
-        # a bucket of many identifiers is open whatever other tasks hold: two of
-        # them tell the other tasks, the rest are expanded without being sent
-        bucket = np.flatnonzero(np.r_[True, keep[0][1:] != keep[0][:-1]])
-        subs = np.diff(np.r_[bucket, len(keep[0])])
-        rank = np.arange(len(keep[0])) - np.repeat(bucket, subs)
-        here = (np.repeat(subs, subs) >= _HEAVY) & (rank >= 2)
-        known.append([a[here] for a in keep[2:6]] + [np.full(int(here.sum()), EXPAND, np.int32)])
-        keep = [a[~here] for a in keep]
+        if self.refined:
+            # a bucket of many identifiers is open whatever other tasks hold: two of
+            # them tell the other tasks, the rest are expanded without being sent
+            bucket = np.flatnonzero(np.r_[True, keep[0][1:] != keep[0][:-1]])
+            subs = np.diff(np.r_[bucket, len(keep[0])])
+            rank = np.arange(len(keep[0])) - np.repeat(bucket, subs)
+            here = (np.repeat(subs, subs) >= _HEAVY) & (rank >= 2)
+            known.append([a[here] for a in keep[2:6]] + [np.full(int(here.sum()), EXPAND, np.int32)])
+            keep = [a[~here] for a in keep]
         # did, then position: neighbours differ little, so their deltas pack well
         part = ((keep[0] >> U64(32)) * U64(self.parts) >> U64(32)).astype(np.int32)
         order = np.lexsort((keep[4], keep[3], keep[2], part))
@@ -214,13 +217,14 @@ def unpack_records(blob: bytes) -> list[np.ndarray]:
 
 # ------------------------------------------------------------------- Spark jobs
 
-def blocks(frame: DataFrame, w: Windows, find) -> DataFrame:
+def blocks(frame: DataFrame, w: Windows, find, refined: bool) -> DataFrame:
     """Packed blocks of the records that ``find(batch, w)`` yields as tuples
-    (row numbers, position, length, bucket, identifier)."""
+    (row numbers, position, length, bucket, identifier). Only a caller that looks
+    at EXPAND rows again may set ``refined``."""
     parts = parts_of(frame.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Collector(w.later, parts)
+        held = Collector(w.later, parts, refined)
         for batch in batches:
             did = batch.column("did").to_numpy(zero_copy_only=False)
             tag = batch.column("tag").to_numpy(zero_copy_only=False)
@@ -319,8 +323,8 @@ def find_windows(batch: pa.RecordBatch, w: Windows):
 def repeated_windows(docs: DataFrame, runs_frame: DataFrame, w: Windows) -> DataFrame:
     """Marks of all repeated windows of ``docs`` (columns did, tag, text), from
     the frame whose runs are to be looked at (all rows, or rows with marks)."""
-    first = written(resolve(blocks(runs_frame, w, find_runs), w))
+    first = written(resolve(blocks(runs_frame, w, find_runs, refined=True), w))
     again = with_marks(docs, first.filter(F.col("kind") == EXPAND), "inner")
-    single = resolve(blocks(again, w, find_windows), w)
+    single = resolve(blocks(again, w, find_windows, refined=False), w)
     return (first.filter(F.col("kind") == MARKED).select("did", "tag", "pos", "len")
             .unionByName(single.filter(F.col("kind") == MARKED).select("did", "tag", "pos", "len")))
