@@ -104,6 +104,23 @@ def test_forest_links(spark):
     assert 0.98 * there <= found <= there
 
 
+def test_forest_keeps_the_links_of_a_dense_group(spark, monkeypatch):
+    """Distinct near copies that fill more than 16 leaves, compared in several tiles."""
+    monkeypatch.setattr(forest, "_TILE_ROWS", 150, raising=False)
+    r, dim = np.random.default_rng(8), 32
+    centre, other = r.standard_normal(dim), r.standard_normal((500, dim))
+    near = centre + 0.2 * np.linalg.norm(centre) / np.sqrt(dim) * r.standard_normal((700, dim))
+    rows = [(i, [float(e) for e in np.float32(v)], 0) for i, v in enumerate(np.r_[other, near])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {g.vec_id: g for g in forest.near_duplicate_vectors(df, leaf_rows=16).collect()}
+    good, links = brute_links(rows)
+    label = brute.components({g[0] for g in good}, [(a, b) for a in links for b in links[a]])
+    assert sum(map(len, links.values())) > 300000
+    assert all(got[k].n_links <= len(v) for k, v in links.items())
+    assert sum(g.n_links for g in got.values()) >= 0.999 * sum(map(len, links.values()))
+    assert all(got[k].component_id == label[k] for k in links)
+
+
 def test_forest_odd_rows_and_empty_table(spark):
     rows, df = vectors(spark)
     got = [(r.vec_id, r.n_links, r.kept) for r in forest.near_duplicate_vectors(df.filter("vec_id > 5000 OR vec_id IS NULL")).collect()]

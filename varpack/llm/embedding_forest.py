@@ -3,13 +3,17 @@
 Every tree cuts the vectors of a label recursively: level by level along a
 random direction, at the median of the node's sample, until a leaf holds about
 ``leaf_rows`` vectors. Vectors within a margin of a cut go to both sides
-(spill), so a close pair parted by a cut still meets. Leaves are compared
-exactly in double precision, and links are united over all leaves and trees.
+(spill), so a close pair parted by a cut still meets. The margin follows from
+the distance of two vectors at the threshold, so a dense group is not cut finer
+than its links reach: a node that no direction parts well is not cut at all.
+Leaves are compared exactly in double precision, a large one in pairs of tiles
+that are groups of their own, and links are united over all leaves and trees.
 
 The cuts are fitted on a bounded sample (``sample_rows``, the smallest id
 hashes); routing is then a function of the vector alone, so every row is indexed
 in every tree. Below the depth that the sample supports, cuts go through the
-mean of the deepest fitted node, so leaves stay small at any table size.
+mean of the deepest fitted node; a dense group that stays together there is
+compared in tiles like any large leaf.
 
 Nothing of quadratic size leaves a leaf. Equal vectors are one weighted class
 before anything is compared. A leaf returns one row per class: the links that no
@@ -37,21 +41,46 @@ from .shuffle import NO_ID, written
 TREES = 10
 LEAF_ROWS = 512
 SAMPLE_ROWS = 16384
-MARGIN = 0.09        # of a node's sample, on either side of its median
+MARGIN = 0.6         # on either side of a cut, as a share of what parts a pair at the threshold along a direction
+_GAIN = 0.9          # a cut leaves at most this share of a node's comparisons
+_TILE_ROWS = 2048    # rows of a leaf compared at a time
 _MIN_FIT = 32        # a node with fewer sampled rows is not fitted
 _BLOCK = 1024
 
 
-def directions(dim: int, tree: int, depth: int) -> np.ndarray:
-    """Unit directions of the levels of one tree."""
-    r = np.random.Generator(np.random.PCG64([dim, tree])).standard_normal((64, dim))[:depth]
+def directions(dim: int, tree: int) -> np.ndarray:
+    """Unit directions of the cuts of one tree."""
+    r = np.random.Generator(np.random.PCG64([dim, tree])).standard_normal((64, dim))
     return r / np.linalg.norm(r, axis=1, keepdims=True)
 
 
-def fit_tree(x: np.ndarray, tree: int, depth: int) -> dict:
-    """Cuts of one tree from sampled unit vectors: node -> (low, mid, high).
-    A node is its path, with a leading one bit."""
-    proj = x @ directions(x.shape[1], tree, depth).T
+def spill(threshold: float, dim: int) -> float:
+    """Half the width of the band around a cut that goes to both sides. Vectors
+    of a cosine of ``threshold`` are sqrt(2 - 2 * threshold) apart, and along a
+    random direction typically that over sqrt(dim)."""
+    return MARGIN * float(np.sqrt(max(0.0, 2 - 2 * threshold) / dim))
+
+
+def best_cut(proj: np.ndarray, first: int, margin: float):
+    """(direction, cut) of a node: its median along direction ``first``, or, if
+    that saves too few comparisons, the best of all directions and quartiles;
+    None if none saves enough."""
+    def cost(p, mid):
+        return (p < mid + margin).mean(0) ** 2 + (p >= mid - margin).mean(0) ** 2
+
+    mid = float(np.median(proj[:, first]))
+    if cost(proj[:, first], mid) <= _GAIN:
+        return first, mid
+    mids = np.quantile(proj, [0.25, 0.5, 0.75], axis=0)
+    costs = np.array([cost(proj, m) for m in mids])
+    q, d = np.unravel_index(np.argmin(costs), costs.shape)
+    return (int(d), float(mids[q, d])) if costs[q, d] <= _GAIN else None
+
+
+def fit_tree(x: np.ndarray, tree: int, depth: int, margin: float) -> dict:
+    """Cuts of one tree from sampled unit vectors: node -> (direction, cut), or
+    None for a node that stays whole. A node is its path, with a leading one bit."""
+    proj = x @ directions(x.shape[1], tree).T
     cuts, mean, todo = {}, {}, [(1, np.arange(len(x)), 0)]
     while todo:
         node, rows, level = todo.pop()
@@ -60,39 +89,43 @@ def fit_tree(x: np.ndarray, tree: int, depth: int) -> dict:
         if len(rows) < _MIN_FIT:
             mean[node] = x[rows].mean(0) if len(rows) else x.mean(0)
             continue
-        p = proj[rows, level]
-        low, mid, high = np.quantile(p, [0.5 - MARGIN, 0.5, 0.5 + MARGIN])
-        cuts[node] = (float(low), float(mid), float(high))
-        todo += [(2 * node, rows[p < mid], level + 1), (2 * node + 1, rows[p >= mid], level + 1)]
-    return {"depth": depth, "cuts": cuts, "mean": mean}
+        cuts[node] = cut = best_cut(proj[rows], level, margin)
+        if cut is not None:
+            p = proj[rows, cut[0]]
+            todo += [(2 * node, rows[p < cut[1]], level + 1), (2 * node + 1, rows[p >= cut[1]], level + 1)]
+    return {"depth": depth, "margin": margin, "cuts": cuts, "mean": mean}
 
 
 def route(x: np.ndarray, tree: int, model: dict) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of unit vectors in one tree; spilled rows have several."""
-    depth, dim = model["depth"], x.shape[1]
-    row, node = np.arange(len(x)), np.ones(len(x), np.int64)
-    if depth:
-        proj = x @ directions(dim, tree, depth).T
+    depth, margin, cuts, mean = model["depth"], model["margin"], model["cuts"], model["mean"]
+    row, node, done = np.arange(len(x)), np.ones(len(x), np.int64), []
+    d = directions(x.shape[1], tree)
+    proj = x @ d.T if depth else None
     for level in range(depth):
-        p = proj[row, level]
-        low, mid, high = np.empty(len(row)), np.empty(len(row)), np.empty(len(row))
-        d = directions(dim, tree, depth)[level]
+        mid, along, whole = np.empty(len(row)), np.full(len(row), level), np.zeros(len(row), bool)
         for n in np.unique(node):
             at = node == n
-            cut = model["cuts"].get(int(n))
-            if cut is None:              # through the mean of the deepest fitted node
+            if int(n) in cuts:
+                cut = cuts[int(n)]
+                if cut is None:
+                    whole |= at
+                else:
+                    along[at], mid[at] = cut
+            else:                        # through the mean of the deepest fitted node
                 k = int(n)
-                while k > 1 and k not in model["mean"]:
+                while k > 1 and k not in mean:
                     k >>= 1
-                c = float(model["mean"][k] @ d) if k in model["mean"] else 0.0
-                cut = (c - 0.01, c, c + 0.01)
-            low[at], mid[at], high[at] = cut
-        left, right = p < high, p >= low
+                mid[at] = float(mean[k] @ d[level]) if k in mean else 0.0
+        done.append((row[whole], node[whole]))
+        p = proj[row, along]
+        left, right = ~whole & (p < mid + margin), ~whole & (p >= mid - margin)
         row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
-    return row, node
+    done.append((row, node))
+    return np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done])
 
 
-def fit_forest(sample: list, total: int, trees: int, leaf_rows: int, seen: int) -> dict:
+def fit_forest(sample: list, total: int, trees: int, leaf_rows: int, seen: int, threshold: float) -> dict:
     """Models by (label, length); None for labels the sample holds few of."""
     groups: dict = {}
     for label, vector in sample:
@@ -107,7 +140,7 @@ def fit_forest(sample: list, total: int, trees: int, leaf_rows: int, seen: int)
         share = len(rows) if key[0] is not None else min(len(rows), 2 * _MIN_FIT)
         n = total * share / max(1, seen)
         depth = min(48, max(0, int(np.ceil(np.log2(max(1.0, n / leaf_rows))))))
-        models[key] = [fit_tree(x, t, depth) for t in range(trees)]
+        models[key] = [fit_tree(x, t, depth, spill(threshold, key[1])) for t in range(trees)]
     return models
 
 
@@ -122,8 +155,9 @@ def leaf_key(tree: int, node: np.ndarray) -> np.ndarray:
     return node * np.int64(256) + np.int64(tree)
 
 
-def compare_leaf(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, leaves: list, own: int, threshold: float):
-    """Per class of one leaf: links first met here, and the smallest id reached."""
+def compare_leaf(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, leaves: list, own: int, threshold: float, tile: np.ndarray | None = None):
+    """Per class of one leaf: links first met here, and the smallest id reached.
+    With ``tile`` only classes of different tiles are compared."""
     k = len(ids)
     earlier = sorted({v for row in leaves for v in row if v < own})
     column = {v: i for i, v in enumerate(earlier)}
@@ -137,19 +171,21 @@ def compare_leaf(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, leaves: lis
     for a in range(0, k, _BLOCK):
         link = x[a: a + _BLOCK] @ x.T >= threshold
         link[np.arange(len(link)), np.arange(a, a + len(link))] = False
+        if tile is not None:
+            link &= tile[a: a + _BLOCK, None] != tile
         if link.any():
             new = link & ~(member[a: a + _BLOCK] @ member.T > 0)
             counted[a: a + _BLOCK] = new @ weight
-            i, j = np.nonzero(link)
-            near.append((i + a, j))
+            near.append((a, link))
     order = np.argsort(ids, kind="stable")
-    rank = np.empty(k, np.int64)
-    rank[order] = np.arange(k)
+    rank = np.empty(k, np.int32)
+    rank[order] = np.arange(k, dtype=np.int32)
     reach = rank.copy()
     while near:
         before = reach.copy()
-        for i, j in near:
-            np.minimum.at(reach, i, before[j])
+        for a, link in near:
+            there = np.where(link, before, np.int32(k)).min(1)
+            reach[a: a + _BLOCK] = np.minimum(reach[a: a + _BLOCK], there)
         reach = reach[order[reach]]
         if (reach == before).all():
             break
@@ -169,30 +205,41 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, trees: i
     classes = written(rows.filter("sound").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
     total = classes.count()
     sample = [(r.label, r.v) for r in classes.select("label", "v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(sample_rows).collect()]
-    models = fit_forest(sample, total, trees, leaf_rows, len(sample))
+    models = fit_forest(sample, total, trees, leaf_rows, len(sample), threshold)
+
+    def routed(batch: pa.RecordBatch):
+        """(rows of one label and length, length, row, leaf), in row order."""
+        size = pa.compute.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+        label = np.array(batch.column("label").to_pylist(), object)
+        for key in {(a, int(b)) for a, b in zip(label, size)}:
+            at = np.flatnonzero((label == key[0]) & (size == key[1]))
+            x = matrix(batch.column("v").take(pa.array(at)))
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            forest = models.get(key) or models.get((None, key[1])) or [fit_tree(x[:1], t, 0, 0.0) for t in range(trees)]
+            of_row, of_leaf = [], []
+            for t, model in enumerate(forest):
+                r, n = route(x, t, model)
+                of_row.append(r)
+                of_leaf.append(leaf_key(t, n))
+            r, leaf = np.concatenate(of_row), np.concatenate(of_leaf)
+            order = np.lexsort((leaf, r))
+            yield at, key[1], r[order], leaf[order]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, dim, r, leaf in routed(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("label").take(pa.array(at[r])), pa.array(np.full(len(r), dim), pa.int32()), pa.array(leaf)],
+                    names=["label", "dim", "leaf"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pa.compute.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
-            label = np.array(batch.column("label").to_pylist(), object)
-            for key in {(a, int(b)) for a, b in zip(label, size)}:
-                at = np.flatnonzero((label == key[0]) & (size == key[1]))
-                x = matrix(batch.column("v").take(pa.array(at)))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                forest = models.get(key) or models.get((None, key[1])) or [fit_tree(x[:1], t, 0) for t in range(trees)]
-                of_row, of_leaf = [], []
-                for t, model in enumerate(forest):
-                    r, n = route(x, t, model)
-                    of_row.append(r)
-                    of_leaf.append(leaf_key(t, n))
-                r, leaf = np.concatenate(of_row), np.concatenate(of_leaf)
-                order = np.lexsort((leaf, r))
-                r, leaf = r[order], leaf[order]
+            for at, dim, r, leaf in routed(batch):
                 ptr = np.searchsorted(r, np.arange(len(at) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(leaf))
                 take = pa.array(at[r])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").take(take), pa.array(size[at[r]], pa.int32()), pa.array(leaf), batch.column("rep").take(take),
+                    [batch.column("label").take(take), pa.array(np.full(len(r), dim), pa.int32()), pa.array(leaf), batch.column("rep").take(take),
                      batch.column("w").take(take), batch.column("v").take(take), lists.take(pa.array(r))],
                     names=["label", "dim", "leaf", "rep", "w", "v", "leaves"])
 
@@ -200,13 +247,20 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, trees: i
         t = table.combine_chunks()
         x = matrix(t.column("v").combine_chunks())
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        n, reach = compare_leaf(x, t.column("rep").to_numpy(), t.column("w").to_numpy(), t.column("leaves").to_pylist(), key[2].as_py(), threshold)
+        tile = t.column("tile").to_numpy() if key[3].as_py() != key[4].as_py() else None
+        n, reach = compare_leaf(x, t.column("rep").to_numpy(), t.column("w").to_numpy(), t.column("leaves").to_pylist(), key[2].as_py(), threshold, tile)
         some = (n > 0) | (reach != t.column("rep").to_numpy())
         return pa.table({"rep": t.column("rep").to_numpy()[some], "n": n[some], "reach": reach[some]})
 
-    kind = dict(classes.dtypes)
-    indexed = classes.mapInArrow(index, f"label {kind['label']}, dim int, leaf long, rep long, w long, v {kind['v']}, leaves array<long>")
-    met = written(indexed.groupBy("label", "dim", "leaf").applyInArrow(compare, "rep long, n long, reach long"))
+    kind, leaf = dict(classes.dtypes), ["label", "dim", "leaf"]
+    of_leaf = f"label {kind['label']}, dim int, leaf long"
+    large = written(classes.mapInArrow(place, of_leaf).groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / _TILE_ROWS).cast("int").alias("tiles")).filter("tiles > 1"))
+    indexed = (classes.mapInArrow(index, f"{of_leaf}, rep long, w long, v {kind['v']}, leaves array<long>")
+               .join(large, leaf, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+               .withColumn("tile", F.pmod(F.xxhash64("rep", "v"), "tiles").cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+               .withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("tiles", "other"))
+    met = written(indexed.groupBy(*leaf, "low", "high").applyInArrow(compare, "rep long, n long, reach long"))
     links = met.groupBy("rep").agg(F.sum("n").alias("n"))
     label = components(met.select(F.col("rep").alias("a"), F.col("reach").alias("b")))
     per_class = (classes.join(links, "rep", "left").join(label, F.col("rep") == F.col("id"), "left")
