@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_cover_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op9_distinct_word_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op10_harmonic_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op11_composite_text_density": ["page_id", "url", "text", "n_chars"],
 }
 
 
