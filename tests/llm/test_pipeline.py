@@ -20,6 +20,7 @@ COLUMNS = {
     "op9_distinct_word_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op10_harmonic_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op11_composite_text_density": ["page_id", "url", "text", "n_chars"],
+    "op12_prefix_doubling_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
 }
 
 

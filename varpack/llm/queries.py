@@ -3,7 +3,7 @@ those that SQL can express on whole tables."""
 
 from __future__ import annotations
 
-from . import byte_bpe, cover_dedup, embedding_forest, jaccard_join, license_scan, main_text, packing, suffix_array, token_files, topk, toxicity
+from . import byte_bpe, conversation_repair, cover_dedup, embedding_forest, jaccard_join, license_scan, main_text, packing, suffix_array, token_files, topk, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_array.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_distinct_word_bpe": byte_bpe.query,
     "op10_harmonic_packing": packing.query,
     "op11_composite_text_density": main_text.query,
+    "op12_prefix_doubling_repair": conversation_repair.query,
 }
 
 ORACLES: dict[str, str] = {
