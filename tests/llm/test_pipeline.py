@@ -21,6 +21,7 @@ COLUMNS = {
     "op10_harmonic_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op11_composite_text_density": ["page_id", "url", "text", "n_chars"],
     "op12_prefix_doubling_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op13_fp_tree_search": ["item_id", "rank", "doc_id", "score"],
 }
 
 

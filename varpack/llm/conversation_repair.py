@@ -394,3 +394,64 @@ def repair_conversations(conversations: DataFrame, rows: DataFrame) -> DataFrame
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
     return repair_conversations(conversations, damage(conversations))
+
+
+#: A plain forward search that carries whole audits and texts.
+ORACLE_SQL = """
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place
+  FROM conversations
+), hashed AS (
+  SELECT *, xor(list_reduce([CAST(unicode(x) AS BIGINT) FOR x IN string_split(place, '')],
+                lambda crc, byte: list_reduce([1, 2, 3, 4, 5, 6, 7, 8],
+                    lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)),
+                CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS hit
+  FROM named
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed
+), placed AS (
+  SELECT *, md5(text) AS fp, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ink, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen
+  FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN ink = '' THEN 'b' WHEN seen THEN 'd' WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         initial || coalesce(lead(initial) OVER (PARTITION BY conv_id ORDER BY pos), '-') AS pair, lead(pos) OVER (PARTITION BY conv_id ORDER BY pos) IS NULL AS final
+  FROM placed
+), inserts(q, cost, audit, lines, r) AS (
+  VALUES (0, 0, '', '', 0), (1, 0, '', '', 1), (2, 0, '', '', 2), (3, 0, '', '', 3),
+         (0, 5, 'I', chr(10) || 'user:', 2), (1, 5, 'I', chr(10) || 'user:', 2), (3, 5, 'I', chr(10) || 'user:', 2), (2, 5, 'I', chr(10) || 'assistant:', 3),
+         (0, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3), (1, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3)
+), edits(r, edit, cost, spoken, s, initial) AS (
+  VALUES (0, 'D', 2, NULL, 0, NULL), (1, 'D', 2, NULL, 1, NULL), (2, 'D', 2, NULL, 2, NULL), (3, 'D', 2, NULL, 3, NULL),
+         (0, 'K', 0, NULL, 1, 's'), (0, 'K', 0, NULL, 2, 'u'), (1, 'K', 0, NULL, 2, 'u'), (3, 'K', 0, NULL, 2, 'u'), (2, 'K', 0, NULL, 3, 'a'),
+         (0, 'R', 1, 'user', 2, NULL), (1, 'R', 1, 'user', 2, NULL), (3, 'R', 1, 'user', 2, NULL), (2, 'R', 1, 'assistant', 3, NULL)
+), paths(conv, pos, q, best) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': ''} FROM (SELECT DISTINCT conv_id FROM faulty)
+  UNION ALL
+  SELECT p.conv, f.pos, e.s, min({'cost': p.best.cost + i.cost + e.cost + CASE WHEN e.edit <> 'D' AND f.fault = 't' THEN 5 ELSE 0 END,
+             'audit': p.best.audit || i.audit || e.edit,
+             'lines': p.best.lines || i.lines || CASE WHEN e.edit = 'D' THEN '' ELSE chr(10) || coalesce(e.spoken, f.role) || ':' || f.text END})
+  FROM paths p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv AND f.pos = p.pos + 1
+  JOIN inserts i ON i.q = p.q JOIN edits e ON e.r = i.r
+  WHERE e.edit = 'D' OR (f.fault NOT IN ('b', 'd') AND (e.initial IS NULL OR e.initial = f.initial))
+  GROUP BY p.conv, f.pos, e.s
+), solved AS (
+  SELECT p.conv, min({'cost': p.best.cost + i.cost, 'audit': p.best.audit || i.audit, 'lines': p.best.lines || i.lines}) AS best
+  FROM paths p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv AND f.pos = p.pos AND f.final JOIN inserts i ON i.q = p.q
+  WHERE i.r IN (0, 3) GROUP BY p.conv
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (NOT final AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+       coalesce(c.illegal, 0) AS illegal, CAST(coalesce(s.best.cost, 0) AS BIGINT) AS cost, coalesce(s.best.audit, '') AS audit,
+       sha256(coalesce(substr(s.best.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN solved s ON s.conv IS NOT DISTINCT FROM o.conv_id
+"""
