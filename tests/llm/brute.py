@@ -64,16 +64,25 @@ def components(ids, linked):
     return {i: find(i) for i in ids}
 
 
+def smallest_ids(ids, linked):
+    """Per row: the smallest id (null first) among the rows that links reach;
+    ``linked`` holds pairs of row numbers, as rows may share ids."""
+    label = components(range(len(ids)), linked)
+    low = {}
+    for k, i in enumerate(ids):
+        low[label[k]] = min(low.get(label[k], i), i, key=lambda v: (v is not None, v or 0))
+    return [low[label[k]] for k in range(len(ids))]
+
+
 def jaccard(rows, percent=80):
     sets = [(d, shingles(t)) for d, t in rows]
     links = []
     for i, (a, s) in enumerate(sets):
-        for b, o in sets[:i]:
+        for j, (b, o) in enumerate(sets[:i]):
             common = len(s & o)
             if common and 100 * common >= percent * len(s | o):
-                links.append((a, b))
-    label = components({d for d, _ in sets}, links)
-    return [(d, len(s), label[d]) for d, s in sets]
+                links.append((i, j))
+    return [(d, len(s), c) for (d, s), c in zip(sets, smallest_ids([d for d, _ in sets], links))]
 
 
 def pieces_ok(pieces, ids_of, capacity=1024):

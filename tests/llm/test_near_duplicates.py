@@ -54,6 +54,41 @@ def test_sketch_distance_is_a_lower_bound(prose):
     assert join.hamming(x, x) == 0
 
 
+@pytest.fixture(scope="module")
+def clashes(prose):
+    """Rows without an id, with different texts, and ids that hold two texts."""
+    near = lambda k, w: " ".join([*prose(120, k).split()[:w], "changed", *prose(120, k).split()[w + 1:]])
+    rows = [(None, prose(120, 1)), (None, prose(120, 2)), (None, prose(120, 3)), (6, near(1, 50)), (9, prose(120, 1)), (5, near(2, 60)), (5, near(3, 70)),
+            (7, prose(120, 4)), (7, prose(120, 5)), (8, near(5, 30)), (None, prose(120, 2)), (7, prose(120, 4)), (None, None), (7, ""), (None, ""), (3, prose(120, 6)), (3, near(4, 10))]
+    return rows
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_join_of_rows_without_own_ids(spark, clashes, turned):
+    rows = clashes[::-1] if turned else clashes
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, tag int").repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in join.near_duplicates(docs).collect()]
+    assert sorted(got, key=repr) == sorted(brute.jaccard(rows), key=repr)
+    assert {(6, None), (9, None), (5, None), (8, 7), (3, 3)} <= {(d, c) for d, _, c in got}
+
+
+def test_one_row_of_every_group_stays(spark, clashes):
+    docs = spark.createDataFrame([(*r, 1) for r in clashes], "doc_id long, text string, tag int").repartition(3)
+    kept = [(r.doc_id, r.text) for r in join.one_per_group(docs).collect()]
+    texts = [t for _, t in kept]
+    assert len(kept) == len(set(kept)) and set(kept) <= set(clashes) and join.one_per_group(docs).dtypes == docs.dtypes
+    sets = [(d, brute.shingles(t)) for d, t in clashes]
+    same = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i][1] and 100 * len(sets[i][1] & sets[j][1]) >= 80 * len(sets[i][1] | sets[j][1])]
+    group = brute.components(range(len(sets)), same)
+    want = {}
+    for k, (d, t) in enumerate(clashes):
+        if sets[k][1]:
+            want.setdefault(group[k], set()).add((d, t))
+    least = lambda g: min((d is not None, d or 0) for d, _ in g)
+    assert all(len(g & set(kept)) == 1 and all((d is not None, d or 0) == least(g) for d, _ in g & set(kept)) for g in want.values())
+    assert texts.count(None) == 1 and texts.count("") == 2                       # (null, null), (7, ""), (null, "")
+
+
 def test_join_of_no_documents(no_docs):
     assert join.near_duplicates(no_docs).collect() == []
 
@@ -95,8 +130,8 @@ def test_forest_links(spark):
     rows, df = vectors(spark)
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in forest.near_duplicate_vectors(df, leaf_rows=64).collect()), key=repr)
     good, links = brute_links(rows)
-    label = brute.components({g[0] for g in good}, [(good[a][0], good[b][0]) for a in links for b in links[a]])
-    want = [(g[0], len(links[k]), label[g[0]], g[0] == label[g[0]]) for k, g in enumerate(good)]
+    label = brute.smallest_ids([g[0] for g in good], [(a, b) for a in links for b in links[a]])
+    want = [(g[0], len(links[k]), label[k], g[0] == label[k]) for k, g in enumerate(good)]
     want += [(i, 0, i, True) for i, v, l in rows if 5001 <= (i or 0) <= 5006]
     assert len(got) == len(want)
     assert sum(a != b for a, b in zip(got, sorted(want, key=repr))) <= 0.02 * len(want)
@@ -121,6 +156,19 @@ def test_forest_keeps_the_links_of_a_dense_group(spark, monkeypatch):
     assert all(got[k].component_id == label[k] for k in links)
 
 
+def test_forest_rows_without_own_ids(spark):
+    r = np.random.default_rng(4)
+    base = r.standard_normal((4, 12))
+    near = base + 0.05 * r.standard_normal((4, 12))
+    rows = [(None, base[0]), (None, base[1]), (None, base[2]), (4, near[0]), (5, near[1]), (5, near[2]), (6, base[3]), (6, base[0]), (6, near[3]), (6, near[3])]
+    rows = [(i, [float(e) for e in v], 0) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted(((g.vec_id, g.n_links, g.component_id, g.kept) for g in forest.near_duplicate_vectors(df).collect()), key=repr)
+    good, links = brute_links(rows)
+    label = brute.smallest_ids([g[0] for g in good], [(a, b) for a in links for b in links[a]])
+    assert got == sorted(((g[0], len(links[k]), label[k], g[0] == label[k]) for k, g in enumerate(good)), key=repr)
+
+
 def test_forest_odd_rows_and_empty_table(spark):
     rows, df = vectors(spark)
     got = [(r.vec_id, r.n_links, r.kept) for r in forest.near_duplicate_vectors(df.filter("vec_id > 5000 OR vec_id IS NULL")).collect()]

@@ -22,8 +22,9 @@ class it is connected with.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows without a label, link with nothing; vectors of different
-lengths never link; a null id is the smallest id; repeated rows link with each
-other; extra columns are ignored. An empty table gives an empty result.
+lengths never link; a null id is the smallest id; rows that share an id (or have
+none) are vectors of their own; repeated rows link with each other; extra columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -202,9 +203,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, trees: i
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     sound = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("v", lambda e: e != 0), F.lit(False))
     rows = rows.withColumn("sound", sound)
-    classes = written(rows.filter("sound").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
+    # Classes of equal vectors bear numbers of their own until the end: ids may be null or shared.
+    classes = written(rows.filter("sound").groupBy("label", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("w"))
+                      .withColumn("rep", F.monotonically_increasing_id()))
     total = classes.count()
-    sample = [(r.label, r.v) for r in classes.select("label", "v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(sample_rows).collect()]
+    sample = [(r.label, r.v) for r in classes.select("label", "v", F.xxhash64("label", "v").alias("h"), "rep").orderBy("h", "rep").limit(sample_rows).collect()]
     models = fit_forest(sample, total, trees, leaf_rows, len(sample), threshold)
 
     def routed(batch: pa.RecordBatch):
@@ -264,7 +267,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, trees: i
     links = met.groupBy("rep").agg(F.sum("n").alias("n"))
     label = components(met.select(F.col("rep").alias("a"), F.col("reach").alias("b")))
     per_class = (classes.join(links, "rep", "left").join(label, F.col("rep") == F.col("id"), "left")
-                 .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+                 .select("label", "v", "first", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group")))
+    smallest = per_class.groupBy("group").agg(F.min("first").alias("component"))
+    per_class = per_class.join(smallest, "group").select("label", "v", "n_links", "component")
     out = (rows.filter("sound").join(per_class, ["label", "v"]).select("id", "n_links", "component")
            .unionByName(rows.filter(~F.col("sound")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))))
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))

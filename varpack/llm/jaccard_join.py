@@ -31,8 +31,9 @@ near copies costs a few tests per member.
 
 Defined cases: null, empty or blank text has no shingles and links with nothing;
 fewer than 5 words make one shingle of the whole sequence; a null id is the
-smallest id and is returned as null; repeated rows have equal sets and link;
-extra columns are ignored. An empty table gives an empty result.
+smallest id and is returned as null; rows that share an id (or have none) are
+documents of their own, linked only by their texts; repeated rows have equal sets
+and link; extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,11 +53,10 @@ SHINGLE = 5
 PERCENT = 80
 SLOTS = 1 << 20        # of the frequency table: one byte each
 ROUNDS = 1
-SMALL = 50_000         # ids that may be broadcast
 _FLUSH = 1 << 18       # records, and sets remembered, that a task holds
 _SLICE = 1 << 20       # bytes of text hashed at a time
 _DOC, _PAIR, _BUCKET = 0, 1, 2
-_FOUND_SCHEMA = "kind int, a long, b long, n long, s2 long, sketch binary"
+_FOUND_SCHEMA = "kind int, a long, b long, n long, s2 long, sketch binary, tag long"
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -193,7 +193,7 @@ def _found_table(kind: int, **columns) -> pa.Table:
 
 
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()),
-                    ("s2", pa.int64()), ("sketch", pa.binary())])
+                    ("s2", pa.int64()), ("sketch", pa.binary()), ("tag", pa.int64())])
 
 
 def _buckets(key: np.ndarray, sid: np.ndarray):
@@ -276,7 +276,7 @@ def _sketch_blocks(docs: DataFrame, percent: int, common: np.ndarray) -> DataFra
         seen: set[int] = set()
         held, count = [], 0
         for batch in batches:
-            did = batch.column("did").to_numpy(zero_copy_only=False)
+            did, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "tag"))
             for a, ptr, h in shingle_sets(batch.column("text")):
                 n = np.diff(ptr)
                 s1, s2 = set_identity(ptr, h)
@@ -287,14 +287,14 @@ def _sketch_blocks(docs: DataFrame, percent: int, common: np.ndarray) -> DataFra
                 held.append((key, s1[row]))
                 count += len(key)
                 yield rows([int(abs(int(s1[0])) % parts)], [None], [_sealed([_found_table(
-                    _DOC, a=did[a: a + len(n)], b=s1, n=n, s2=s2, sketch=bit_sketches(ptr, h))])])
+                    _DOC, a=did[a: a + len(n)], b=s1, n=n, s2=s2, sketch=bit_sketches(ptr, h), tag=tag[a: a + len(n)])])])
                 if count >= _FLUSH:
                     yield from emit(held)
                     held, count = [], 0
         if count:
             yield from emit(held)
 
-    return docs.select("did", "text").mapInArrow(tidy(task), "part int, keys binary, found binary")
+    return docs.select("did", "tag", "text").mapInArrow(tidy(task), "part int, keys binary, found binary")
 
 
 def _join_part(table: pa.Table) -> pa.Table:
@@ -329,23 +329,27 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("ida", "idb", "na", "nb", "xa", "xb").mapInArrow(tidy(task), "ida long, idb long, na long, nb long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among candidate pairs, by the exact count of common shingles."""
-    need = pairs.select(F.explode(F.array("ida", "idb")).alias("did")).distinct()
-    few = need.limit(SMALL + 1).count() <= SMALL
-    need = F.broadcast(need) if few else need.hint("shuffle_hash")
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among candidate pairs of classes, by the exact count of common
+    shingles. The set of a class is read from its document (did, tag); a row that
+    shares both but holds another set is told by the set's own fingerprints."""
+    need = written(pairs.select(F.explode(F.array("ida", "idb")).alias("id")).distinct()
+                   .join(classes.select("id", "did", "tag", "s1", "s2", "n"), "id"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, ptr, h in shingle_sets(batch.column("text")):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").slice(a, len(ptr) - 1), pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(h.view(np.int64)))],
-                    names=["did", "set"])
-
-    sets = written(docs.select("did", "text").join(need, "did", "left_semi")
-                   .mapInArrow(tidy(task), "did long, set array<long>").dropDuplicates(["did"]))
-    a = sets.select(F.col("did").alias("ida"), F.col("set").alias("sa"))
-    b = sets.select(F.col("did").alias("idb"), F.col("set").alias("sb"))
+                size = len(ptr) - 1
+                own = {c: batch.column(c).slice(a, size) for c in ("id", "s1", "s2", "n")}
+                s1, s2 = set_identity(ptr, h)
+                same = np.logical_and.reduce([own[c].to_numpy() == v for c, v in (("s1", s1), ("s2", s2), ("n", np.diff(ptr)))])
+                sets = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([own["id"], sets], names=["id", "set"]).filter(pa.array(same))
+
+    sets = written(docs.select("did", "tag", "text").join(need, ["did", "tag"]).select("id", "s1", "s2", "n", "text")
+                   .mapInArrow(tidy(task), "id long, set array<long>").dropDuplicates(["id"]))
+    a = sets.select(F.col("id").alias("ida"), F.col("set").alias("sa"))
+    b = sets.select(F.col("id").alias("idb"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(a, "ida").join(b, "idb").withColumn("c", common)
             .filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent)
@@ -478,18 +482,20 @@ def _failed(tried: DataFrame, links: DataFrame) -> DataFrame:
     return pair.join(links.select(F.least("a", "b").alias("ida"), F.greatest("a", "b").alias("idb")), ["ida", "idb"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable
-    over links, itself included) and class_id (smallest id with an equal set)."""
-    docs = documents(docs, id_col, text_col).select("did", "text")
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """Per row of ``docs`` (did, tag, text): did, tag, n, and the smallest (did,
+    tag) of its component and of the rows with an equal set. Classes of equal sets
+    bear numbers of their own until the end, so ids may be null or shared."""
     common = shingle_frequency(docs)
     found = written(_sketch_blocks(docs, percent, common).groupBy("part").applyInArrow(_join_part, _FOUND_SCHEMA))
     of = lambda kind: found.filter(F.col("kind") == kind)
-    doc = of(_DOC).select(F.col("a").alias("did"), F.col("b").alias("s1"), "s2", "n")
-    classes = written(of(_DOC).filter("n > 0").groupBy(F.col("b").alias("s1"), "s2", "n")
-                      .agg(F.min("a").alias("id"), F.first("sketch").alias("sketch")))
+    doc = of(_DOC).select(F.col("a").alias("did"), "tag", F.col("b").alias("s1"), "s2", "n")
+    name = F.struct("did", "tag")
+    classes = (of(_DOC).filter("n > 0").groupBy(F.col("b").alias("s1"), "s2", "n")
+               .agg(F.min(F.struct(F.col("a").alias("did"), "tag")).alias("name"), F.first("sketch").alias("sketch")))
+    classes = written(classes.select("s1", "s2", "n", "name.did", "name.tag", "sketch", F.monotonically_increasing_id().alias("id")))
     tried = written(_bounded(of(_PAIR).select("a", "b").distinct(), classes, percent))
-    links = written(_verified(docs, tried, percent))
+    links = written(_verified(docs, tried, classes, percent))
     label = components(links)
     members = written(_explode_members(of(_BUCKET)).join(classes.select("s1", "id"), "s1").select("bucket", "id"))
     failed = _failed(tried, links)
@@ -498,14 +504,39 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         tried = written(_proposed(members, classes, failed, percent, everything=k == ROUNDS))
         if tried.isEmpty():
             break
-        fresh = written(_verified(docs, tried, percent))
+        fresh = written(_verified(docs, tried, classes, percent))
         links, failed = links.unionByName(fresh), written(failed.unionByName(_failed(tried, fresh)))
         label = components(links)
-    named = doc.filter("n > 0").join(classes.select("s1", "s2", "n", "id"), ["s1", "s2", "n"]).join(label, "id", "left")
-    whole = (named.select("did", "n", F.coalesce("component", "id").alias("component"), "id")
-             .unionByName(doc.filter("n = 0").select("did", "n", F.col("did").alias("component"), F.col("did").alias("id"))))
+    placed = classes.select("s1", "s2", "n", "id", name.alias("equal")).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = placed.groupBy("component").agg(F.min("equal").alias("first"))
+    placed = placed.join(first, "component").select("s1", "s2", "n", "equal", "first")
+    return (doc.filter("n > 0").join(placed, ["s1", "s2", "n"]).select("did", "tag", "n", "first", "equal")
+            .unionByName(doc.filter("n = 0").select("did", "tag", "n", name.alias("first"), name.alias("equal"))))
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(did, tag, text): tag tells rows apart that share an id but not a text."""
+    return documents(docs, id_col, text_col).select("did", F.xxhash64("text").alias("tag"), "text")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest id reachable
+    over links, itself included) and class_id (smallest id with an equal set)."""
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return whole.select(back("did").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), back("id").alias("class_id"))
+    return _grouped(_identified(docs, id_col, text_col), percent).select(
+        back("did").alias("doc_id"), F.col("n").alias("n_shingles"), back("first.did").alias("component_id"), back("equal.did").alias("class_id"))
+
+
+def one_per_group(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of every component does:
+    the smallest by id (a null id is the smallest), then by a hash of the text.
+    Rows of equal id and text are one document, whatever their other columns."""
+    keep = (_grouped(_identified(docs, id_col, text_col), percent)
+            .filter((F.col("did") == F.col("first.did")) & (F.col("tag") == F.col("first.tag"))).select("did", "tag").distinct())
+    text = F.col(text_col).cast("string")
+    key = {"_vp_did": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_vp_tag": F.xxhash64(F.coalesce(text, F.lit(""))), "_vp_null": text.isNull()}
+    return (docs.withColumns(key).join(keep.select(F.col("did").alias("_vp_did"), F.col("tag").alias("_vp_tag")), ["_vp_did", "_vp_tag"], "left_semi")
+            .dropDuplicates(list(key)).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
