@@ -95,15 +95,15 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 def paired(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column, right_slices: int = 1) -> DataFrame:
     """Every row of ``left`` with every row of ``right`` (rows are blocks; names
     must differ), as an equi-join of tiles: ``left`` is dealt by ``left_key`` over
-    slices, several per shuffle partition, and copied once per slice of ``right``;
-    ``right`` likewise. No key holds more than one tile, and nothing is broadcast
-    beyond Spark's own size check."""
-    slices = parts_of(left.sparkSession)
+    slices, one per shuffle partition, and copied once per slice of ``right``;
+    ``right`` likewise. No key holds more than one tile. Nothing is broadcast: the
+    copies of a small side would not be small."""
+    slices = max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.withColumn("_tile_a", deal(left_key, slices)).withColumn("_tile_b", every(right_slices))
     b = right.withColumn("_tile_b", deal(right_key, right_slices)).withColumn("_tile_a", every(slices))
-    return a.join(b, ["_tile_a", "_tile_b"]).drop("_tile_a", "_tile_b")
+    return a.join(b.hint("shuffle_hash"), ["_tile_a", "_tile_b"]).drop("_tile_a", "_tile_b")
 
 
 # ---------------------------------------------------------------- packed blocks
