@@ -33,6 +33,28 @@ def test_top_k(spark, k, monkeypatch):
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
 
 
+def test_top_k_joins_in_tiles(spark, monkeypatch):
+    """Many small blocks, several slices of queries, broadcast off: no key holds all blocks."""
+    for name, size in (("CANDIDATE_BLOCK", 7), ("QUERY_BLOCK", 2), ("SLICE_BLOCKS", 3)):
+        monkeypatch.setattr(topk, name, size)
+    plans, plain = [], topk.paired
+    monkeypatch.setattr(topk, "paired", lambda *a: plans.append(plain(*a)) or plans[-1])
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.standard_normal(6 if i % 5 else 4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = topk.top_k(df, df.filter("vec_id % 7 = 0"), 4)
+        assert sorted(tuple(x) for x in got.collect()) == brute_top(rows, set(range(0, 300, 7)), 4)
+        for plan in plans:
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in text and "hashpartitioning(dim" not in text and "hashpartitioning(_tile_a" in text
+            assert plan.groupBy("block").count().count() > 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_top_k_large_components(spark):
     rows = [(i, [float(3 ** (i % 12)) * 8, -float(i), 1e5]) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

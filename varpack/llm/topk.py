@@ -8,7 +8,9 @@ range that holds only a few scores). A last pass keeps the scores from there up,
 at most k per block and query, and ranks them with ties to the smaller id.
 
 What moves is blocks of vectors, histogram counts (combined per task before the
-shuffle) and at most k rows per block and query, whatever the ties.
+shuffle) and at most k rows per block and query, whatever the ties. Blocks meet in
+tiles: candidates are dealt over slices and so are queries, each side is copied to
+the other's slices, and a (slice, slice) pair is the join key.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part; vectors of another length than a query are no candidates of it; fewer
@@ -28,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .embedding_forest import matrix
-from .shuffle import written
+from .shuffle import pack, paired, unpack, written
 
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 512
+SLICE_BLOCKS = 64      # query blocks of a tile, on average
 BINS = 256
 _EXACT = 2**53
 
@@ -47,9 +50,10 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
                     some = pa.array(at[k: k + size])
                     part = batch.take(some)
                     ints = np.floor(1024.0 * matrix(part.column("v"))) if dim else np.zeros((len(some), 0))
+                    small = np.int16 if np.abs(ints).max(initial=0) < 2**15 else np.float64
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(dim)], pa.int32()),
-                         pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([ints.tobytes()], pa.binary())],
+                         pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([pack([ints.astype(small).reshape(-1)])], pa.binary())],
                         names=["dim", "ids", "ints"])
 
     return rows.mapInArrow(task, "dim int, ids binary, ints binary")
@@ -57,7 +61,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
 def _block(ids: bytes, ints: bytes) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(ints, np.float64).reshape(len(i), -1)
+    return i, unpack(ints)[0].astype(np.float64).reshape(len(i), -1)
 
 
 def scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -123,6 +127,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     cand = clean(vectors)
     asked = written(_packed(clean(queries), QUERY_BLOCK)
                     .withColumn("block", F.monotonically_increasing_id()))
+    slices = -(-asked.count() // SLICE_BLOCKS) or 1
     largest = cand.agg(F.max(size)).first()[0] or 0.0
     blocks = written(_packed(cand, CANDIDATE_BLOCK).repartition(max(1, vectors.sparkSession.sparkContext.defaultParallelism)))
 
@@ -142,8 +147,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     def pairs(state: DataFrame) -> DataFrame:
         ranges = state.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "low", "width"))).alias("r"))
-        q = asked.join(ranges, "block").select("dim", F.col("ids").alias("qids"), F.col("ints").alias("qints"), F.col("r.low").alias("low"), F.col("r.width").alias("width"))
-        return blocks.join(q, "dim")     # the stated query set against all rows, in blocks
+        q = asked.join(ranges, "block").select("block", F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("ints").alias("qints"),
+                                               F.col("r.low").alias("low"), F.col("r.width").alias("width"))
+        # The stated query set against all rows, in tiles of blocks.
+        return paired(blocks, F.xxhash64("ids"), q, F.col("block"), slices).filter("dim = qdim")
 
     while state.filter(~F.col("done")).limit(1).count():
         found = _histograms(pairs(state))
