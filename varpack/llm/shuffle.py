@@ -63,10 +63,12 @@ def parts_of(spark: SparkSession, factor: int = 4) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor sees.
-    Where the setting is absent (local tests) a scratch folder is named."""
+    """A fresh folder below spark.checkpoint.dir, which every executor sees. Only
+    a session on one machine may leave the setting out."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="varpack-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"varpack-{uuid.uuid4().hex}")
