@@ -132,8 +132,9 @@ def test_header_below_titles_and_delimiter(spark):
     lines = spark.createDataFrame([("x", i + 1, t) for i, t in enumerate(text)], "extract_id string, line_no long, text string")
     delimiters = E.sniff_delimiters(lines)
     assert delimiters.collect()[0].delimiter == ";"
-    cells = E.read_cells(lines, delimiters)
-    heads = E.header_rows(cells)
+    records = E.records(lines, delimiters)
+    cells = E.read_cells(records)
+    heads = E.header_rows(cells, records)
     assert heads.first().header_line == 3
     data, columns = E.headed(cells, heads)
     assert [r.header for r in columns.orderBy("pos").collect()] == ["Account", "Account name", "Amount"]

@@ -1,14 +1,14 @@
 """Parsing and cleaning as native Column expressions.
 
 No UDFs: the amount parser is a chain of ``regexp_replace`` / ``rlike`` /
-``when`` with the sign carried as an XOR of booleans, and the result goes
-through ``try_cast`` so an unreadable value becomes NULL instead of failing
-the job under ANSI mode.
+``when`` with the sign carried as an XOR of booleans, run once per distinct shape
+of a text; the result goes through ``try_cast`` so an unreadable value becomes
+NULL instead of failing the job under ANSI mode.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -81,43 +81,62 @@ def parse_amount(x) -> Column:
     return cols["out"]
 
 
-def with_amounts(df, targets: dict[str, str]):
+_DIGITS, _RUN = "0123456789", "9" * 8
+
+
+def amount_shape(x) -> Column:
+    """What decides how a text is read: every digit as 9, long runs of digits
+    shortened (a run of four or more stays one), NULL where there is no digit."""
+    t = F.translate(_c(x).cast("string"), _DIGITS, "9" * 10)
+    for _ in range(2):
+        t = F.replace(t, F.lit(_RUN), F.lit(_RUN[:4]))
+    return F.when(t.contains("9"), t)
+
+
+def amount_rules(shapes: DataFrame) -> DataFrame:
+    """The parser's reading of each shape: (shape, negative, others, mark).
+    ``others`` are the characters that are no digits, ``mark`` is the decimal
+    mark or empty, NULL for a shape that holds no readable amount."""
+    d = shapes
+    for name, f in _amount_stages(F.col("shape")):
+        d = d.withColumn(f"__{name}", f(lambda n: F.col(f"__{n}")))
+    s6 = F.col("__s6")
+    has_dot, has_comma = s6.contains("."), s6.contains(",")
+    mark = (F.when(has_dot & has_comma, F.when(s6.rlike(r",[^.]*$"), ",").otherwise("."))
+             .when(has_comma & ~s6.rlike(r"^[0-9]{1,3}(,[0-9]{3})+$") & s6.rlike(r",[0-9]{1,2}$"), ",")
+             .when(has_dot & ~has_comma & ~s6.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+$"), ".").otherwise(""))
+    negative = (F.col("__paren") != F.col("__credit")) != (F.col("__trail") != F.col("__lead"))
+    # No filter: it would be pushed below the stages and repeat them.
+    return d.select("shape", negative.alias("negative"), F.regexp_replace("shape", "[0-9]", "").alias("others"),
+                    F.when(F.col("__out").isNotNull(), mark).alias("mark"))
+
+
+def with_amounts(df: DataFrame, targets: dict[str, str]) -> DataFrame:
     """N1 over a DataFrame: ``targets`` maps output column -> text column.
 
-    EU/US number text with four negative conventions -> decimal. Steps:
-    blanks -> NULL; unicode minus and thin/no-break spaces; ``( )`` negates;
-    a trailing CR toggles the sign (DR is dropped); everything but digits,
-    separators and minus is removed; a trailing then a leading minus toggle;
-    the rightmost separator decides decimal vs thousands. Each stage is its
-    own projection: Catalyst does not collapse projections that would
-    duplicate regex work, so every stage runs once per row. Several texts are
-    parsed as one array, stage by stage over its elements, so the generated
-    code does not grow with their number."""
-    if len(targets) == 1:
-        (out, src), = targets.items()
-        tmp = []
-        for name, f in _amount_stages(F.col(src)):
-            df = df.withColumn(f"__{name}", f(lambda n: F.col(f"__{n}")))
-            tmp.append(f"__{name}")
-        return df.withColumn(out, F.col("__out")).drop(*tmp)
-    df = df.withColumn("__v", F.array(*[F.struct(F.col(src).cast("string").alias("src")) for src in targets.values()]))
-    held = ["src"]
-    for name, _ in _amount_stages(F.col("src")):
-        df = df.withColumn("__v", F.transform("__v", _add_stage(name, tuple(held))))
-        held.append(name)
-    for i, out in enumerate(targets):
-        df = df.withColumn(out, F.col("__v")[i]["out"])
-    return df.drop("__v")
-
-
-def _add_stage(name: str, held: tuple[str, ...]):
-    """Element function that appends one stage's result."""
-    return lambda e: F.struct(*[e[h].alias(h) for h in held], _amount_stage(name, e).alias(name))
-
-
-def _amount_stage(name: str, e: Column) -> Column:
-    """One parser stage over an element that holds the earlier ones."""
-    return dict(_amount_stages(e["src"]))[name](lambda n: e[n])
+    EU/US number text with four negative conventions -> decimal: blanks are NULL;
+    unicode minus and thin/no-break spaces are read; ``( )`` negates; a trailing CR
+    toggles the sign (DR is dropped); everything but digits, separators and minus
+    is removed; a trailing then a leading minus toggle; the rightmost separator
+    decides decimal vs thousands.
+
+    Texts of one shape are read alike, so the chain of regular expressions runs
+    once per distinct shape of the whole frame (a few hundred in a ledger). Rows
+    look their shape up and are read with one translation and one cast; the join
+    keys are NULL for texts without a digit."""
+    keys = {out: f"__shape_{i}" for i, out in enumerate(targets)}
+    shaped = df.withColumns({keys[out]: amount_shape(src) for out, src in targets.items()})
+    shapes = df.select(F.explode(F.array(*[amount_shape(src) for src in targets.values()])).alias("shape")).filter("shape IS NOT NULL").distinct()
+    rules = amount_rules(shapes)
+    for out, src in targets.items():
+        k = keys[out]
+        named = rules.select(F.col("shape").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("negative", "others", "mark")])
+        others, mark = F.col(f"{k}_others"), F.col(f"{k}_mark")
+        number = F.call_function("translate", F.rtrim(F.col(src).cast("string"), others), F.concat(mark, others), F.when(mark != "", ".").otherwise(""))
+        value = number.try_cast(AMOUNT_TYPE)
+        shaped = (shaped.join(named, k, "left").withColumn(out, F.when(F.col(f"{k}_negative"), -value).otherwise(value).cast(AMOUNT_TYPE))
+                  .drop(k, f"{k}_negative", f"{k}_others", f"{k}_mark"))
+    return shaped
 
 
 def period_key(x) -> Column:

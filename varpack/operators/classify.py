@@ -83,6 +83,11 @@ def readings(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     pairs = (df.select(*by, F.trim(F.col("account_code").cast("string")).alias("account_code"),
                        "account_name")
                .groupBy(*by, "account_code", "account_name").agg(F.count(F.lit(1)).alias("n")))
+    return readings_of(pairs, by)
+
+
+def readings_of(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Name and code readings of distinct (group, code, name) rows with counts n."""
     out = pairs.withColumn("by_name", category_from_name("account_name"))
     for s in STYLES:
         out = out.withColumn(STYLE_COL[s], category_by_code("account_code", s))
@@ -131,7 +136,11 @@ def style_scores(r: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def classify_pairs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """K4: final category per (group, code, name): trusted code reading, else
     name reading, else OpEx; with the source and the disagreement flag."""
-    r = readings(df, by)
+    return classify_readings(readings(df, by), by)
+
+
+def classify_readings(r: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """K4 on readings."""
     s = style_scores(r, by).select(*by, "style", "blind", "confidence")
     j = join_on_keys(r, s, by)
     by_code = F.lit(None).cast("string")
@@ -157,7 +166,7 @@ def infer_categories(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     keys = list(by) + ["account_code", "account_name"]
     # one row per distinct account: size grows with the chart, not the postings;
     # AQE broadcasts it when small and falls back to a shuffle join otherwise
-    return d.join(pairs, keys, "left")
+    return join_on_keys(d, pairs, keys)
 
 
 def category_issues(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,8 @@ touches a line.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,21 +46,112 @@ def sniff_delimiters(lines: DataFrame) -> DataFrame:
     return every.join(best, "extract_id", "left").select("extract_id", F.coalesce("b.delimiter", F.lit(",")).alias("delimiter"))
 
 
-def read_cells(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
-    """(extract_id, line_no, cells) of the non-blank lines; cells trimmed,
-    empty ones NULL, a leading byte-order mark dropped."""
-    text = F.regexp_replace("text", "^﻿", "")
-    split = F.call_function("split", text, F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")), F.lit(-1))
-    cells = F.transform(split, lambda c: F.nullif(F.trim(c), F.lit("")))
-    return (lines.filter(F.trim("text") != "").join(delimiters, "extract_id")
-            .select("extract_id", "line_no", cells.alias("cells")))
-
-
-def header_rows(cells: DataFrame) -> DataFrame:
-    """S3: (extract_id, header_line): of the first 15 rows the one with the best
-    score 0.1 x cells + 2 x share of text + 1.5 x known headers; a row of fewer
-    than two cells scores -1, the first best row wins."""
-    head = _first(cells, "extract_id", "line_no", HEADER_ROWS)
+# Quotes: a field that starts with one runs to the next single one, over
+# delimiters and line breaks; a doubled one inside stands for itself.
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
+
+
+def _not(delimiter: str) -> str:
+    return "[^" + ("\\|" if delimiter == "|" else delimiter) + "]"
+
+
+def _for_each_delimiter(make) -> Column:
+    out = F.lit(None)
+    for d in reversed(DELIMITERS):
+        out = F.when(F.col("delimiter") == d, make(d)).otherwise(out)
+    return out
+
+
+def _open_after(text: Column, delimiter: str) -> Column:
+    """Does ``text``, read from the start of a field, end inside quotes."""
+    at_start = f"(?<!{_not(delimiter)})"
+    return F.regexp_replace(text, at_start + _QUOTED, "q").rlike(at_start + '"')
+
+
+def _carried(df: DataFrame, part: list[str], order: str) -> DataFrame:
+    """Running composition of the state changes (from_out, from_in: the state
+    after a row, in quotes or not, by the state before it) within ``part``, as
+    columns out, in: the state after the row by the state before the first one.
+    A change that forgets the state before sets it; one that turns it counts."""
+    w = Window.partitionBy(*part).orderBy(order)
+    turns = F.sum((F.col("from_out") & ~F.col("from_in")).cast("int")).over(w)
+    df = df.withColumn("_turns", turns)
+    fixed = F.last(F.when(F.col("from_out") == F.col("from_in"), F.struct(F.col("from_out").alias("v"), F.col("_turns").alias("t"))), ignorenulls=True).over(w)
+    df = df.withColumn("_fixed", fixed)
+    odd = (F.col("_turns") - F.coalesce("_fixed.t", F.lit(0))) % 2 == 1
+    return (df.withColumn("out", F.coalesce("_fixed.v", F.lit(False)) != odd).withColumn("in", F.coalesce("_fixed.v", F.lit(True)) != odd)
+            .drop("_turns", "_fixed"))
+
+
+def records(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
+    """Lines joined to records (extract_id, line_no of the first line, delimiter,
+    text) where quotes run over line breaks. Only extracts with a line that ends
+    inside quotes are looked at further: a line changes the state inside / outside
+    quotes, changes are composed within ranges of lines and then from range to
+    range, and lines of one record are grouped. A quote that is never closed is
+    plain text, so no record grows to the end of the extract."""
+    quoted = F.col("text").contains('"')
+    read = lines.join(delimiters, "extract_id")
+    from_out = F.coalesce(quoted & _for_each_delimiter(lambda d: _open_after(F.col("text"), d)), F.lit(False))
+    broken = read.filter(from_out).select("extract_id").distinct()
+    plain = read.join(broken, "extract_id", "left_anti")
+
+    from_in = F.coalesce(~quoted | _for_each_delimiter(lambda d: _open_after(F.concat(F.lit('"'), F.col("text")), d)), F.lit(True))
+    d = (read.join(broken, "extract_id", "left_semi").withColumns({"from_out": from_out, "from_in": from_in})
+         .withColumn("range", F.floor(F.col("line_no") / _BUCKET)))
+    key = ["extract_id", "range"]
+    d = _carried(d, key, "line_no")
+    last = d.groupBy(*key).agg(F.max_by(F.struct("out", "in"), "line_no").alias("e")).select(*key, F.col("e.out").alias("from_out"), F.col("e.in").alias("from_in"))
+    by_range = Window.partitionBy("extract_id").orderBy("range")
+    ranges = _carried(last, ["extract_id"], "range")
+    enters = ranges.select(*key, F.coalesce(F.lag("out").over(by_range), F.lit(False)).alias("enter"))
+    w = Window.partitionBy(*key).orderBy("line_no")
+    after = F.when(F.col("enter"), F.col("in")).otherwise(F.col("out"))
+    d = (d.join(enters, key).withColumn("after", after).withColumn("before", F.coalesce(F.lag("after").over(w), F.col("enter")))
+         .withColumn("first", F.last(F.when(~F.col("before"), F.col("line_no")), ignorenulls=True).over(w)))
+    starts = d.groupBy(*key).agg(F.max("first").alias("start"), F.max_by("after", "line_no").alias("open"))
+    earlier = Window.partitionBy("extract_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("extract_id")
+    starts = starts.select(*key, F.last("start", ignorenulls=True).over(earlier).alias("carried"),
+                           F.when(F.max_by("open", "range").over(whole), F.max("start").over(whole)).alias("unclosed"))
+    record = F.coalesce("first", "carried")
+    d = (d.join(starts, key).withColumn("record", F.when(record == F.col("unclosed"), F.col("line_no")).otherwise(record)))
+    joined = (d.groupBy("extract_id", "delimiter", "record").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+              .select("extract_id", F.col("record").alias("line_no"), "delimiter", F.array_join(F.col("l.text"), "\n").alias("text")))
+    return plain.select("extract_id", "line_no", "delimiter", "text").unionByName(joined)
+
+
+def read_cells(records: DataFrame) -> DataFrame:
+    """(extract_id, line_no, cells) of the records that hold anything; cells
+    without their quotes, trimmed, empty ones NULL, a leading byte-order mark
+    dropped."""
+    text = F.when(F.col("text").startswith("\ufeff"), F.expr("substring(text, 2)")).otherwise(F.col("text"))
+
+    def split(d: str) -> Column:
+        one = f"{re.escape(d)}({_QUOTED}{_not(d)}*+|{_not(d)}*+)"
+        fields = F.regexp_extract_all(F.concat(F.lit(d), text), F.lit(one), F.lit(1))
+        bare = F.transform(fields, lambda c: F.when(c.startswith('"') & c.rlike("^" + _QUOTED), F.replace(
+            F.regexp_replace(c, '^"([^"]*+(?:""[^"]*+)*+)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(c))
+        return F.when(F.col("text").contains('"'), bare).otherwise(F.split(text, re.escape(d), -1))
+
+    cells = F.transform(_for_each_delimiter(split), lambda c: F.nullif(F.trim(c), F.lit("")))
+    return records.filter(F.trim("text") != "").select("extract_id", "line_no", cells.alias("cells"))
+
+
+def pad_rows(cells: DataFrame) -> DataFrame:
+    """Rows filled with NULL cells to the widest row of their extract."""
+    widest = cells.groupBy("extract_id").agg(F.max(F.size("cells")).alias("_widest"))
+    fill = F.array_repeat(F.lit(None).cast("string"), F.col("_widest") - F.size("cells"))
+    return cells.join(widest, "extract_id").withColumn("cells", F.concat("cells", fill)).drop("_widest")
+
+
+def header_rows(cells: DataFrame, records: DataFrame) -> DataFrame:
+    """S3: (extract_id, header_line): of the first 15 records, blank ones
+    included, the one with the best score 0.1 x cells + 2 x share of text + 1.5 x
+    known headers; a row of fewer than two cells scores -1, the first best row
+    wins."""
+    top = _first(records.select("extract_id", "line_no"), "extract_id", "line_no", HEADER_ROWS).drop("_r")
+    head = cells.join(top, ["extract_id", "line_no"], "left_semi")
     known = [s for words in SYNONYMS.values() for s in words]
     one = with_amounts(head.select("extract_id", "line_no", F.explode("cells").alias("cell")), {"amount": "cell"})
     filled = F.col("cell").isNotNull()
@@ -71,43 +164,45 @@ def header_rows(cells: DataFrame) -> DataFrame:
 
 def headed(cells: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(data rows below the header that hold anything, header cells with
-    how many values their column has); columns without a value are dropped."""
+    how many values their column has); columns without a value are dropped, and
+    columns with values beyond the header's cells are named by position."""
     j = cells.join(headers, "extract_id")
     data = j.filter((F.col("line_no") > F.col("header_line")) & F.exists("cells", lambda c: c.isNotNull())).drop("header_line")
-    names = (j.filter(F.col("line_no") == F.col("header_line"))
-             .select("extract_id", F.posexplode("cells").alias("pos", "header"))
-             .withColumn("header", F.coalesce("header", F.concat(F.lit("col_"), F.col("pos").cast("string")))))
+    names = j.filter(F.col("line_no") == F.col("header_line")).select("extract_id", F.posexplode("cells").alias("pos", "header"))
     filled = (data.select("extract_id", F.posexplode("cells").alias("pos", "v")).groupBy("extract_id", "pos")
               .agg(F.count("v").alias("n_values")).filter("n_values > 0"))
-    return data, names.join(filled, ["extract_id", "pos"])
-
-
-def synonym_table(spark) -> DataFrame:
-    """(ord, field, synonym): the header synonyms in canonical field order."""
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), F.lit(s).alias("synonym"))
-                     for i, f in enumerate(CANONICAL) for s in SYNONYMS[f]])
-    return spark.range(1).select(F.inline(rows))
+    named = filled.join(names, ["extract_id", "pos"], "left")
+    return data, named.select("extract_id", "pos", F.coalesce("header", F.concat(F.lit("col_"), F.col("pos").cast("string"))).alias("header"), "n_values")
 
 
 def match_columns(columns: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """M2, M4, M5: (extract_id, field, pos, header, method, score). An override
-    wins where its header exists; else the first header that is a synonym and
-    was not given to an earlier field. No synonym belongs to two fields, so only
-    overrides can take a header away from a later field."""
-    named = columns.withColumn("norm", normalise_header("header"))
-    syn = named.join(F.broadcast(synonym_table(columns.sparkSession)), F.col("norm") == F.col("synonym"))
-    if overrides is not None:
-        order = F.create_map(*[x for i, f in enumerate(CANONICAL) for x in (F.lit(f), F.lit(i))])
-        given = (overrides.join(columns, ["extract_id", "header"]).withColumn("ord", order[F.col("field")])
-                 .select("extract_id", "ord", "field", "pos", "header"))
-        taken = given.select("extract_id", F.col("pos"), F.col("ord").alias("by"))
-        syn = syn.join(taken, ["extract_id", "pos"], "left").filter(F.col("by").isNull() | (F.col("by") > F.col("ord")))
-        syn = syn.join(given.select("extract_id", "field"), ["extract_id", "field"], "left_anti")
-    best = (syn.groupBy("extract_id", "ord", "field").agg(F.min(F.struct("pos", "header")).alias("b"))
-            .select("extract_id", "ord", "field", "b.pos", "b.header", F.lit("synonym").alias("method"), F.lit(SCORES["synonym"]).alias("score")))
+    """M2, M4, M5: (extract_id, ord, field, pos, header, method, score). The fields
+    are taken in canonical order, one fold per extract over its headers: an
+    override (extract_id, field, header) wins where its header exists; else the
+    first header that is a synonym of the field and that no earlier field has."""
+    heads = columns.groupBy("extract_id").agg(F.sort_array(F.collect_list(F.struct("pos", "header", normalise_header("header").alias("norm")))).alias("heads"))
     if overrides is None:
-        return best
-    return best.unionByName(given.select("extract_id", "ord", "field", "pos", "header", F.lit("override").alias("method"), F.lit(SCORES["override"]).alias("score")))
+        heads = heads.withColumn("given", F.lit(None).cast("map<string,string>"))
+    else:
+        one = overrides.groupBy("extract_id", "field").agg(F.min("header").alias("header"))
+        given = one.groupBy("extract_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "header"))).alias("given"))
+        heads = heads.join(given, "extract_id", "left")
+    fields = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), F.array(*map(F.lit, SYNONYMS[f])).alias("words")) for i, f in enumerate(CANONICAL)])
+    kind = dict(columns.dtypes)["pos"]
+    start = F.struct(F.array().cast("array<string>").alias("used"),
+                     F.array().cast(f"array<struct<ord:int,field:string,pos:{kind},header:string,method:string>>").alias("found"))
+
+    def step(acc: Column, f: Column) -> Column:
+        named = F.get(F.filter("heads", lambda h: h["header"] == F.try_element_at("given", f["field"])), F.lit(0))
+        alike = F.get(F.filter("heads", lambda h: F.array_contains(f["words"], h["norm"]) & ~F.array_contains(acc["used"], h["header"])), F.lit(0))
+        pick = F.coalesce(named, alike)
+        method = F.when(named.isNotNull(), "override").otherwise("synonym")
+        row = F.struct(f["ord"].alias("ord"), f["field"].alias("field"), pick["pos"].alias("pos"), pick["header"].alias("header"), method.alias("method"))
+        return F.when(pick.isNull(), acc).otherwise(F.struct(F.array_append(acc["used"], pick["header"]).alias("used"), F.array_append(acc["found"], row).alias("found")))
+
+    found = heads.select("extract_id", F.inline(F.aggregate(fields, start, step)["found"]))
+    score = F.when(F.col("method") == "override", SCORES["override"]).otherwise(SCORES["synonym"])
+    return found.select("extract_id", "ord", "field", "pos", "header", "method", score.alias("score"))
 
 
 def free_cells(data: DataFrame, columns: DataFrame, matched: DataFrame) -> DataFrame:
@@ -194,7 +289,7 @@ def mapped_texts(data: DataFrame, mapping: DataFrame) -> DataFrame:
     places = mapping.groupBy("extract_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "pos"))).alias("_places"))  # 14 at most
     return data.join(places, "extract_id").select(
         "extract_id", "line_no", *[place(f).alias(f) for f in CANONICAL],
-        F.map_contains_key("_places", F.lit("actual")).alias("_has_actual"), F.map_contains_key("_places", F.lit("budget")).alias("_has_budget"))
+        *[F.map_contains_key("_places", F.lit(f)).alias(f"_has_{f}") for f in ("actual", "budget", "dc_indicator", "category", "expense_type")])
 
 
 def guards(data: DataFrame, columns: DataFrame, mapping: DataFrame, standard: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ quarter of the ledger in one task.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as PA
+from ..functions.structure import UNCLASSIFIED_EXPENSE
 from ..functions.text import looks_like_total
 from ..session import written
 from .aggregate import join_on_keys
@@ -26,27 +28,41 @@ MONEY = ["actual", "budget", "prior_year"]
 def standardise(texts: DataFrame, by: Sequence[str] = ("extract_id",)) -> DataFrame:
     """Canonical rows from mapped texts (one text column per canonical
     field, NULL where unmapped), for all extracts at once: amounts, debit minus
-    credit or marker signs (N1-N3), labels and dimensions (N4, N5), rows without
-    amounts, totals and empty rows dropped (N6-N8), accounts classified after
-    that (K4, K8, per extract, where no category is given), signs (N9)."""
-    from .classify import classify_pairs, infer_expense_types
+    credit or marker signs (N1-N3; a blank marker reads as debit), labels and
+    dimensions (N4, N5), rows without amounts, totals and empty rows dropped
+    (N6-N8), accounts classified after that (K4, K8, per extract, where no such
+    column is mapped; expense types only if a cost account is recognised), signs
+    (N9). Names are read once per account, not once per row."""
+    from .classify import classify_readings, expense_type_from_name, readings_of
     d = PA.with_amounts(texts, {f"_{f}": f for f in ("actual", "budget", "prior_year", "debit", "credit")})
     zero = F.lit(0).cast(PA.AMOUNT_TYPE)
     single = F.col("_actual")
-    marked = F.when(F.col("dc_indicator").isNotNull(), PA.signed_by_marker(single, F.col("dc_indicator"))).otherwise(single)
+    marked = F.when(F.col("_has_dc_indicator"), PA.signed_by_marker(single, F.coalesce("dc_indicator", F.lit("")))).otherwise(single)
     actual = F.when(F.col("_has_actual"), marked).otherwise(PA.debit_minus_credit(F.col("_debit"), F.col("_credit")))
     d = d.select(
         *by, "line_no", F.trim("account_code").alias("account_code"), F.trim("account_name").alias("account_name"),
         actual.cast(PA.AMOUNT_TYPE).alias("actual"), F.when(F.col("_has_budget"), F.col("_budget")).otherwise(zero).alias("budget"),
-        F.coalesce("_prior_year", zero).alias("prior_year"), PA.canonical_category("category").alias("given_category"),
+        F.coalesce("_prior_year", zero).alias("prior_year"),
+        F.when(F.col("_has_category"), F.coalesce(PA.canonical_category("category"), F.lit(""))).alias("given_category"),
         *[PA.clean_dimension(F.col(c)).alias(c) for c in ("period", "department", "cost_centre", "entity")],
-        PA.clean_dimension(F.col("expense_type")).alias("given_type"), PA.period_key("period").alias("period_no"))
-    d = written(drop_non_account_rows(drop_null_amounts(d)))   # read for the styles, the pairs, the signs and the rows
-    pairs = classify_pairs(d, by).select(*by, "account_code", "account_name", F.col("category").alias("inferred"))
-    d = join_on_keys(d, pairs, [*by, "account_code", "account_name"])
-    d = d.withColumn("category", F.coalesce(F.nullif("given_category", F.lit("")), "inferred"))
-    d = infer_expense_types(d).withColumn("expense_type", F.when(F.col("given_type") != "", F.col("given_type")).otherwise(F.col("expense_type")))
-    return normalise_signs(d.drop("given_category", "inferred", "given_type"), by=by)
+        F.when(F.col("_has_expense_type"), PA.clean_dimension(F.col("expense_type"))).alias("given_type"), PA.period_key("period").alias("period_no"))
+    d = written(drop_null_amounts(d))   # read for the accounts, the signs and the rows
+    account = [*by, "account_code", "account_name"]
+    money = reduce(lambda x, y: x | y, [F.col(m) != 0 for m in MONEY])
+    counts = (d.groupBy(*account, "given_category").agg(F.count_if(money).alias("n"))
+              .filter(~looks_like_total(F.col("account_name"), F.col("account_code")) & (F.col("n") > 0)))
+    kinds = classify_readings(readings_of(counts.groupBy(*account).agg(F.sum("n").alias("n")), by), by).select(*account, F.col("category").alias("inferred"))
+    typed = (join_on_keys(counts, kinds, account).withColumn("category", F.coalesce("given_category", "inferred"))
+             .withColumn("type", expense_type_from_name("account_name", "category"))).select(*account, "given_category", "category", "type")
+    typed = written(typed)
+    recognised = typed.groupBy(*by).agg(F.bool_or(F.col("type").isNotNull()).alias("recognised"))
+    typed = join_on_keys(typed, recognised, by)
+    inferred = (F.when(~F.col("recognised") | (F.col("category") == "Revenue"), F.lit(""))
+                .otherwise(F.coalesce("type", F.lit(UNCLASSIFIED_EXPENSE))).alias("type"))
+    typed = typed.select(*account, F.col("given_category"), "category", inferred, F.lit(True).alias("_kept"))
+    d = join_on_keys(d.filter(money), typed, [*account, "given_category"]).filter("_kept")
+    d = d.withColumn("expense_type", F.coalesce("given_type", "type"))
+    return normalise_signs(d.drop("given_category", "given_type", "type", "_kept"), by=by)
 
 
 def drop_null_amounts(df: DataFrame) -> DataFrame:

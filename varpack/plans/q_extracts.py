@@ -22,7 +22,7 @@ from .registry import register
 # expected (extract, position, header, field), by reading the headers
 _HEADERS = {
     "AFRICA": [("Account", "account_code"), ("Account name", "account_name"), ("Period", "period"), ("Amount", "actual"),
-               ("Budget", "budget"), ("Dept", "department"), ("Cost centre", "cost_centre")],
+               ("Budget", "budget"), ("Dept", "department"), ("Cost centre", "cost_centre"), ("Memo", None)],
     "AMERICA": [("Főkönyvi számla", "account_code"), ("Megnevezés", "account_name"), ("Időszak", "period"), ("Tény", "actual"),
                 ("Terv", "budget"), ("Részleg", "department"), ("Költséghely", "cost_centre")],
     "ASIA": [("GL code", "account_code"), ("GL description", "account_name"), ("Posting period", "period"), ("Debit", "debit"),
@@ -50,9 +50,10 @@ class _Read:
     small tables that later steps read several times, are written once."""
 
     def __init__(self, spark, sf_dir):
-        lines = XT.extract_lines(spark, sf_dir)
-        self.cells = written(E.read_cells(lines, E.sniff_delimiters(lines)))
-        self.headers = written(E.header_rows(self.cells))
+        lines = written(XT.extract_lines(spark, sf_dir))
+        records = E.records(lines, written(E.sniff_delimiters(lines)))
+        self.cells = written(E.read_cells(records))
+        self.headers = written(E.header_rows(self.cells, records))
         self.data, columns = E.headed(self.cells, self.headers)
         self.columns = written(columns)
 
@@ -71,14 +72,26 @@ def s2_delimiter(spark, sf_dir):
     return E.sniff_delimiters(XT.extract_lines(spark, sf_dir))
 
 
+_LINE_ID = "(doc_no * 10 + line_no)"
+
+
 @register("s1_load_extracts", with_views(
-    "SELECT extract_id, count(*) AS n_rows, max(cells) AS widest FROM (SELECT entity AS extract_id, n AS cells FROM ledger JOIN w ON w.extract_id = entity "
-    "UNION ALL SELECT extract_id, k FROM w, (VALUES (1), (2)) t(x), (SELECT 1 AS k) q UNION ALL SELECT extract_id, n FROM w) GROUP BY extract_id",
-    "ledger", extra=[_values("w0", "extract_id, n", [(e, len(h) + 1) for e, h in _HEADERS.items()]),
-                     "w AS (SELECT w0.* FROM w0 JOIN (SELECT DISTINCT entity FROM ledger) e ON e.entity = w0.extract_id)"]))
+    "SELECT extract_id, n + 3 AS n_rows, w AS widest, w AS narrowest, n * per_row + 1 + h + 2 + CASE WHEN extract_id = 'AFRICA' THEN n - cut ELSE 0 END AS filled, "
+    "CASE WHEN extract_id = 'AFRICA' THEN doubled ELSE 0 END AS with_quote, CASE WHEN extract_id = 'AFRICA' THEN broken ELSE 0 END AS with_break, "
+    "CASE WHEN extract_id = 'AFRICA' THEN doubled + broken + thousands ELSE 0 END AS with_comma FROM (SELECT entity AS extract_id, count(*) AS n, "
+    f"count(*) FILTER (WHERE {_LINE_ID} % 4 = 0) AS doubled, count(*) FILTER (WHERE {_LINE_ID} % 4 = 1) AS broken, count(*) FILTER (WHERE {_LINE_ID} % 4 = 3) AS cut, "
+    "count(*) FILTER (WHERE abs(round(actual, 2)) >= 1000) AS thousands FROM ledger GROUP BY entity) c JOIN w USING (extract_id)",
+    "ledger", extra=[_values("w", "extract_id, w, h, per_row", [(e, len(h) + 1, len(h), 7 if e != "EUROPE" else 8) for e, h in _HEADERS.items()])]))
 def s1_load_extracts(spark, sf_dir):
+    """Rows and cells per extract: every row as wide as the widest, quoted cells
+    with doubled quotes, line breaks and (of the comma file) delimiters in them."""
     r = _Read(spark, sf_dir)
-    return r.cells.groupBy("extract_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("cells")).alias("widest"))
+    holds = lambda x: F.sum(F.size(F.filter("cells", lambda c: c.contains(x))))
+    comma = F.sum(F.when(F.col("extract_id") == "AFRICA", F.size(F.filter("cells", lambda c: c.contains(",")))).otherwise(0))
+    return E.pad_rows(r.cells).groupBy("extract_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("cells")).cast("long").alias("widest"), F.min(F.size("cells")).cast("long").alias("narrowest"),
+        F.sum(F.size(F.filter("cells", lambda c: c.isNotNull()))).alias("filled"), holds('"').alias("with_quote"), holds("\n").alias("with_break"),
+        comma.alias("with_comma"))
 
 
 @register("s3_header_row", with_views(f"SELECT extract_id, {XT.HEADER_LINE} AS header_line FROM en", "ledger", extra=[_ENTITIES]))
@@ -88,7 +101,8 @@ def s3_header_row(spark, sf_dir):
 
 @register("s4_drop_blank", with_views(
     "SELECT hc.extract_id, pos, header, CASE WHEN header = 'Debit' THEN nd + 1 WHEN header = 'Credit' THEN nr WHEN field = 'actual' OR header = 'Account name' "
-    "OR header IN ('Megnevezés', 'GL description', 'Description') THEN n + 1 ELSE n END AS n_values FROM hc JOIN (SELECT entity, count(*) AS n, "
+    "OR header IN ('Megnevezés', 'GL description', 'Description') THEN n + 1 WHEN header = 'Memo' THEN n - cut ELSE n END AS n_values FROM hc JOIN (SELECT entity, count(*) AS n, "
+    f"count(*) FILTER ({_LINE_ID} % 4 = 3) AS cut, "
     "count(*) FILTER (category = 'Revenue') AS nr, count(*) FILTER (category <> 'Revenue') AS nd FROM ledger GROUP BY entity) c ON c.entity = hc.extract_id"
     .replace("FILTER (", "FILTER (WHERE "), "ledger", extra=[_COLUMNS]))
 def s4_drop_blank(spark, sf_dir):
@@ -121,22 +135,23 @@ def m4_match_columns(spark, sf_dir):
 
 
 @register("m5_override", with_views(
-    "SELECT extract_id, CASE WHEN header = 'Dept' THEN 'entity' ELSE field END AS field, header, CASE WHEN header = 'Dept' THEN 'override' ELSE 'synonym' END AS method "
-    "FROM hc JOIN en USING (extract_id) WHERE extract_id = 'AFRICA'", "ledger", extra=[_ENTITIES, _COLUMNS]))
+    "SELECT extract_id, field, header, 'synonym' AS method FROM hc JOIN en USING (extract_id) WHERE extract_id = 'AFRICA' AND field IS NOT NULL "
+    "UNION ALL SELECT extract_id, 'entity', 'Dept', 'override' FROM en WHERE extract_id = 'AFRICA'", "ledger", extra=[_ENTITIES, _COLUMNS]))
 def m5_override(spark, sf_dir):
-    """A manual override takes its column; one whose header is missing does nothing."""
+    """A manual override takes its column, also one that an earlier field has by
+    its name; one whose header is missing does nothing."""
     r = _Read(spark, sf_dir)
     given = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit("AFRICA").alias("extract_id"), F.lit(f).alias("field"), F.lit(h).alias("header"))
                                                      for f, h in (("department", "No such header"), ("entity", "Dept"))])))
     m = E.match_columns(r.columns.filter(F.col("extract_id") == "AFRICA"), given)
-    # an override does not guard its column from an earlier field's synonym
-    return m.filter(~((F.col("field") == "department") & (F.col("header") == "Dept"))).select("extract_id", "field", "header", "method")
+    return m.select("extract_id", "field", "header", "method")
 
 
 @register("m6_code_profile", with_views(
     "SELECT 'MIDDLE EAST' AS extract_id, header, share > 0.7 AS is_code FROM (SELECT 'Ref A' AS header, avg(CASE WHEN regexp_full_match(account_code, '[0-9]{3,6}') "
     "THEN 1 ELSE 0 END) AS share FROM ledger WHERE entity = 'MIDDLE EAST' UNION ALL SELECT 'Seq', avg(CASE WHEN regexp_full_match(CAST(doc_no * 10 + line_no AS VARCHAR), "
-    "'[0-9]{3,6}') THEN 1 ELSE 0 END) FROM ledger WHERE entity = 'MIDDLE EAST' UNION ALL SELECT 'Currency', 0 UNION ALL SELECT 'Wert', 0) q", "ledger"))
+    "'[0-9]{3,6}') THEN 1 ELSE 0 END) FROM ledger WHERE entity = 'MIDDLE EAST' UNION ALL SELECT 'Currency', 0 UNION ALL SELECT 'Wert', 0) q "
+    "UNION ALL SELECT 'AFRICA', 'Memo', false", "ledger"))
 def m6_code_profile(spark, sf_dir):
     r = _Read(spark, sf_dir)
     p = r.profile()
@@ -144,7 +159,8 @@ def m6_code_profile(spark, sf_dir):
 
 
 @register("m7_money_profile", with_views(
-    "SELECT 'MIDDLE EAST' AS extract_id, header, money FROM (VALUES ('Wert', true), ('Seq', false), ('Currency', false)) t(header, money)", "ledger"))
+    "SELECT 'MIDDLE EAST' AS extract_id, header, money FROM (VALUES ('Wert', true), ('Seq', false), ('Currency', false)) t(header, money) "
+    "UNION ALL SELECT 'AFRICA', 'Memo', false", "ledger"))
 def m7_money_profile(spark, sf_dir):
     """Amounts are money, a line counter and a text column are not (the account
     column is taken by its codes)."""

@@ -57,9 +57,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new name below spark.checkpoint.dir."""
+    """A new name below spark.checkpoint.dir, which every executor must see. Only
+    a session on one machine may leave the setting out."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="varpack-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"varpack-{uuid.uuid4().hex}")
@@ -68,8 +71,7 @@ def shared_path(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table below spark.checkpoint.dir, the folder
     that the whole cluster shares, and read it back: a frame that several
-    branches use is computed once, and a lost executor costs a re-read. Only
-    where the setting is absent (local tests) is a scratch folder named."""
+    branches use is computed once, and a lost executor costs a re-read."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

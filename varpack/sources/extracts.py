@@ -2,18 +2,21 @@
 
 One extract per entity, each in the shape of another export: its delimiter, its
 header language, its way to sign amounts, title lines above the header, an empty
-last column, a blank line and a printed total row below. Lines are
-(extract_id, line_no, text); nothing is written to files.
+last column, a blank line and a printed total row below. One of them quotes cells:
+amounts with a delimiter inside, notes with doubled quotes or over two lines, and
+some of its rows end early. Lines are (extract_id, line_no, text); nothing is
+written to files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fixture import ledger
 
 HEADER_LINE, FIRST_LINE = 3, 10
+_GAP = 128    # line numbers of one posting number: two for each posting that has it
 
 
 def _us(c: Column) -> Column:
@@ -28,14 +31,20 @@ def _plain(c: Column) -> Column:
     return c.cast("decimal(18,2)").cast("string")
 
 
+def _note() -> Column:
+    """Free text of a row in quotes, by the row's number; NULL: the row ends before it."""
+    kind = F.col("line_id") % 4
+    return (F.when(kind == 0, '"Doc ""A"", posted"').when(kind == 1, '"Doc B\nsecond line, same cell"').when(kind == 2, "plain"))
+
+
 def shapes() -> dict[str, tuple[str, list[tuple[str, Column]]]]:
     """Extract id -> (delimiter, [(header, cell)])."""
     col, rev = F.col, F.col("category") == "Revenue"
     blank = ("", F.lit(""))
     return {
         "AFRICA": (",", [("Account", col("account_code")), ("Account name", col("account_name")), ("Period", col("period")),
-                         ("Amount", _plain(col("actual"))), ("Budget", _plain(col("budget"))), ("Dept", col("department")),
-                         ("Cost centre", col("cost_centre")), blank]),
+                         ("Amount", F.concat(F.lit('"'), _us(col("actual")), F.lit('"'))), ("Budget", _plain(col("budget"))), ("Dept", col("department")),
+                         ("Cost centre", col("cost_centre")), ("Memo", _note()), ("", F.when(_note().isNotNull(), ""))]),
         "AMERICA": (";", [("Főkönyvi számla", col("account_code")), ("Megnevezés", col("account_name")), ("Időszak", col("period")),
                           ("Tény", _eu(col("actual"))), ("Terv", _eu(col("budget"))), ("Részleg", col("department")),
                           ("Költséghely", col("cost_centre")), blank]),
@@ -58,9 +67,13 @@ def extract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(None).cast("string")
     for name, (delimiter, cells) in shapes().items():
         text = F.when(F.col("entity") == name, F.concat_ws(delimiter, *[c for _, c in cells])).otherwise(text)
-    data = led.filter(F.col("entity").isin(names)).select(
-        F.col("entity").alias("extract_id"), (F.col("line_id") + FIRST_LINE).alias("line_no"), text.alias("text"))
-    total = led.groupBy("entity").agg(F.sum("actual").alias("a"), F.max("line_id").alias("last"))
+    # Posting numbers are not unique: postings of one number follow each other.
+    nth = F.row_number().over(Window.partitionBy("entity", "line_id").orderBy("text"))
+    data = (led.filter(F.col("entity").isin(names)).select("entity", "line_id", text.alias("text")).withColumn("nth", nth)
+            .select(F.col("entity").alias("extract_id"), (_GAP * F.col("line_id") + 2 * F.col("nth") + FIRST_LINE).alias("line_no"),
+                    F.posexplode(F.split("text", "\n")).alias("part", "text")))
+    data = data.select("extract_id", (F.col("line_no") + F.col("part")).alias("line_no"), "text")
+    total = led.groupBy("entity").agg(F.sum("actual").alias("a"), (_GAP * (F.max("line_id") + 1)).alias("last"))
     furniture = F.lit(None).cast("array<struct<line_no:bigint,text:string>>")
     for name, (delimiter, cells) in shapes().items():
         total_row = [F.lit("")] * len(cells)
