@@ -1,21 +1,17 @@
-"""Suffix-array dedup by bucket-pointer refinement (byte level).
-
-A suffix array sorts all positions by what follows them; a byte string of
-``size`` bytes repeats exactly where neighbouring suffixes agree that far. The
-refinement here keeps buckets of positions instead of a full order, and names a
-bucket by an identifier computed from its content, so two tasks name the same
-bucket alike without exchanging ranks:
-
-1. *Initial q-gram buckets*: every position has the identifier of its q-gram.
-   A window of ``size`` bytes is filed under its smallest q-gram identifier, so
-   neighbouring positions share one bucket pointer and travel as one run.
-2. *Refinement on identifiers of later offsets*: the members of a bucket are
-   sorted on the identifier that reaches over all later offsets of the run. A
-   bucket with one member, or with equal members only, is final and never
-   touched again.
-3. *Recursive reuse*: members of buckets that split are refined once more, to
-   identifiers at depth ``size`` of every single position; the updated bucket
-   pointer of step 1 is reused as the leading sort key.
+"""Byte-level dedup of repeated strings in buckets of positions.
+
+A byte string of ``size`` bytes repeats exactly where two positions agree that
+far. The dealt method, bucket-pointer refinement of a suffix array, sorts buckets
+on the bucket identifiers of later offsets; here content fingerprints stand in for
+those identifiers, as equality needs no order and fingerprints no exchange of
+ranks between rounds (the README says so too):
+
+1. *Buckets*: a window of ``size`` bytes is filed under its smallest q-gram, so
+   neighbouring positions share one bucket and travel as one run.
+2. *Runs*: members of a bucket are compared by the fingerprint of their whole run.
+   A bucket with one member, or with equal members only, is final.
+3. *Windows*: members of buckets that split are compared once more, by the
+   fingerprint of each window of ``size`` bytes.
 
 Within a bucket of equal strings the first position in (document, offset) order
 stays; every other one marks its bytes as removed.
