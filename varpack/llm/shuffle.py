@@ -107,7 +107,7 @@ def bitmap(places: DataFrame, bits: int) -> bytes:
         return pa.table({"part": pa.array([int(at[0]) // size], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
     out = bytearray(bits // 8)
-    for r in places.distinct().groupBy(F.expr(f"bit div {size}")).applyInArrow(chunk, "part long, bits binary").collect():   # bits / 8 bytes at most
+    for r in places.groupBy(F.expr(f"bit div {size}")).applyInArrow(chunk, "part long, bits binary").collect():   # bits / 8 bytes at most
         out[r.part * size // 8:(r.part + 1) * size // 8] = r.bits
     return bytes(out)
 
