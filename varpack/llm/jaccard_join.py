@@ -46,13 +46,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shuffle import NO_ID, bitmap, by_part, documents, pack, parts_of, tidy, unpack, written
+from .shuffle import NO_ID, by_part, documents, pack, parts_of, tidy, unpack, written
 from .textcore import (CODES_LOWER, U64, buffers, mix, prefix, row_slices, span_hash, word_bounds, word_hashes)
 
 SHINGLE = 5
 PERCENT = 80
 SLOTS = 1 << 20        # of the frequency table: one byte each
-FILTER_BITS = 1 << 24  # of the filter of documents to verify
+SMALL = 50_000         # rows of documents to verify that may be broadcast, 48 bytes each
 ROUNDS = 1
 _FLUSH = 1 << 18       # records, and sets remembered, that a task holds
 _SLICE = 1 << 20       # bytes of text hashed at a time
@@ -332,26 +332,24 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among candidate pairs of classes, by the exact count of common
-    shingles. A class is named by one document (did, tag); a filter of fixed size
-    lets those documents pass (and few others), so only their sets are shuffled,
-    and the sets' own fingerprints tell whose they are."""
-    place = F.pmod(F.xxhash64("did", "tag"), F.lit(FILTER_BITS)).alias("bit")
+    shingles. The set of a class is read from its document (did, tag); a row that
+    shares both but holds another set is told by the set's own fingerprints."""
     need = written(pairs.select(F.explode(F.array("ida", "idb")).alias("id")).distinct()
                    .join(classes.select("id", "did", "tag", "s1", "s2", "n"), "id"))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(need.select(place), FILTER_BITS))
+    few = need.limit(SMALL + 1).count() <= SMALL           # else whole texts move to their ids
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            at = batch.column("bit").to_numpy()
-            batch = batch.filter(pa.array((flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            for _, ptr, h in shingle_sets(batch.column("text")) if batch.num_rows else ():
+            for a, ptr, h in shingle_sets(batch.column("text")):
+                size = len(ptr) - 1
+                own = {c: batch.column(c).slice(a, size) for c in ("id", "s1", "s2", "n")}
                 s1, s2 = set_identity(ptr, h)
+                same = np.logical_and.reduce([own[c].to_numpy() == v for c, v in (("s1", s1), ("s2", s2), ("n", np.diff(ptr)))])
                 sets = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array(np.diff(ptr)), sets], names=["s1", "s2", "n", "set"])
+                yield pa.RecordBatch.from_arrays([own["id"], sets], names=["id", "set"]).filter(pa.array(same))
 
-    found = docs.select(place, "text").mapInArrow(tidy(task), "s1 long, s2 long, n long, set array<long>").dropDuplicates(["s1", "s2", "n"])
-    sets = written(found.join(need.select("id", "s1", "s2", "n"), ["s1", "s2", "n"]).select("id", "set"))
+    sets = written(docs.select("did", "tag", "text").join(F.broadcast(need) if few else need.hint("shuffle_hash"), ["did", "tag"])
+                   .select("id", "s1", "s2", "n", "text").mapInArrow(tidy(task), "id long, set array<long>").dropDuplicates(["id"]))
     a = sets.select(F.col("id").alias("ida"), F.col("set").alias("sa"))
     b = sets.select(F.col("id").alias("idb"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))

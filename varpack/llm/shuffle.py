@@ -19,7 +19,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,23 +94,6 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         F.hash(text).alias("tag"), text.alias("text"), *([row.alias("row")] if whole else []))
 
 
-def bitmap(places: DataFrame, bits: int) -> bytes:
-    """A filter of fixed size: the bits whose numbers are in ``places`` (bit),
-    ``bits`` in all (a multiple of 65536), little end first."""
-    size = 1 << 16
-
-    def chunk(rows: pa.Table) -> pa.Table:
-        flags = np.zeros(size, np.uint8)
-        at = rows.column("bit").to_numpy()
-        flags[at % size] = 1
-        return pa.table({"part": pa.array([int(at[0]) // size], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
-
-    out = bytearray(bits // 8)
-    for r in places.groupBy(F.expr(f"bit div {size}")).applyInArrow(chunk, "part long, bits binary").collect():   # bits / 8 bytes at most
-        out[r.part * size // 8:(r.part + 1) * size // 8] = r.bits
-    return bytes(out)
-
-
 def paired(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column, right_slices: int = 1) -> DataFrame:
     """Every row of ``left`` with every row of ``right`` (rows are blocks; names
     must differ), as an equi-join of tiles: ``left`` is dealt by ``left_key`` over
