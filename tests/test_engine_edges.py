@@ -13,6 +13,7 @@ from varpack.operators import deck as D
 from varpack.operators import extracts as E
 from varpack.operators import findings as G
 from varpack.operators import normalise as NO
+from varpack.operators import pack as PK
 from varpack.operators import plan as PL
 from varpack.operators import reports as R
 from varpack.operators import rollups as RU
@@ -148,3 +149,31 @@ def test_header_below_titles_and_delimiter(spark):
 def test_finding_texts_name_no_cause(spark):
     texts = [v for k, v in vars(G).items() if k.isupper() and isinstance(v, str)]
     assert not any(re.search(r"\b(because of|due to|caused by|driven by)\b", t) for t in texts)
+
+
+def test_pack_of_a_month_is_written_again_in_place(spark):
+    rows = ledger(spark, ROWS)
+    path = PK.write_pack(rows, 200005)
+    PK.write_pack(rows, 200006, path)
+    once = {p: sorted(map(tuple, PK.read_pack(spark, path, p).collect())) for p in (200005, 200006)}
+    PK.write_pack(rows, 200006, path)
+    assert {p: sorted(map(tuple, PK.read_pack(spark, path, p).collect())) for p in once} == once
+    PK.write_pack(rows.filter("account_code = '4100'"), 200006, path)
+    assert sorted(map(tuple, PK.read_pack(spark, path, 200005).collect())) == once[200005]
+    assert sorted(map(tuple, PK.read_pack(spark, path, 200006).collect())) != once[200006]
+
+
+@pytest.mark.parametrize("name", ["j6_ytd_detail", "j7_month_detail", "j8_history", "p4_ytd"])
+def test_ranges_reach_the_scan(spark, capsys, name):
+    found = [n for n in QUERIES if n.startswith(name[:3])]
+    QUERIES[name if name in QUERIES else found[0]](spark, SF_SMALL).explain("formatted")
+    plan = capsys.readouterr().out
+    assert plan.count("GreaterThanOrEqual(l_shipdate") >= len(re.findall(r"Location:.*lineitem\.parquet", plan)) > 0
+
+
+def test_reconciliation_per_group(spark):
+    got = RU.reconcile(ledger(spark, ROWS), by=["entity", "period_no"]).collect()
+    assert {(r.entity, r.period_no) for r in got} == {(None, 200005), (None, 200006), ("A", 200006), ("B", 200006)} and len(got) == 32
+    assert {(r.lhs, r.rhs) for r in got if r.entity == "B" and r.check == "entity revenue = P&L revenue"} == {(100000.0, 100000.0)}
+    blank = [r for r in got if r.entity is None and r.period_no == 200005]
+    assert [r.ok for r in blank if r.check.startswith("entity net")] == [False]          # a blank entity is in no entity view

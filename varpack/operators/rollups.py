@@ -214,14 +214,16 @@ def top_movers(month: DataFrame, k: int = 12, rule: Materiality = Materiality(),
 # A14 reconciliation, A15 collapse note
 # ---------------------------------------------------------------------------
 
-def reconcile(month: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Every view's total against the P&L, as (check, lhs, rhs, ok).
+def reconcile(month: DataFrame, tolerance: float = 0.01, by: Sequence[str] = ()) -> DataFrame:
+    """Every view's total against the P&L, as (check, lhs, rhs, ok), per
+    ``by`` group (entities and periods, say).
 
     Postings are summed once to the finest grain any view has; the totals of
     the views (each with its own rule for blank keys) and of the P&L lines are
     then conditional sums over those rows, in one aggregate. Views are taken at
     full precision, so the tolerance tests the views, not display rounding."""
     keys = ["entity", "department", "cost_centre", "expense_type", "category", "account_code"]
+    keys += [k for k in by if k not in keys]
     g = month.groupBy(*keys).agg(dsum(F.col("actual")).alias("a"))
     rev, spend = F.col("category") == "Revenue", F.col("category") != "Revenue"
 
@@ -244,10 +246,10 @@ def reconcile(month: DataFrame, tolerance: float = 0.01) -> DataFrame:
         ("accounts = revenue + spend", total(), every),
         ("postings = P&L", total(), every),
     ]
-    one = g.agg(F.array(*[F.struct(F.lit(n).alias("check"), x.cast(MONEY).alias("l"), y.cast(MONEY).alias("r"))
+    one = g.groupBy(*by).agg(F.array(*[F.struct(F.lit(n).alias("check"), x.cast(MONEY).alias("l"), y.cast(MONEY).alias("r"))
                           for n, x, y in checks]).alias("rows"))
-    return one.select(F.inline("rows")).select(
-        "check", V.money("l").alias("lhs"), V.money("r").alias("rhs"),
+    return one.select(*by, F.inline("rows")).select(
+        *by, "check", V.money("l").alias("lhs"), V.money("r").alias("rhs"),
         (F.abs(F.col("l") - F.col("r")) <= F.lit(tolerance)).alias("ok"))
 
 

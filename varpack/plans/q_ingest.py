@@ -119,7 +119,8 @@ def _outer_out(df, keys):
     _outer_sql(["entity", "department", "account_code"], "plan", 200001, P), "plan"))
 def j6_ytd_detail(spark, sf_dir):
     keys = ["entity", "department", "account_code"]
-    return _outer_out(PL.detail_outer(X.ledger(spark, sf_dir), X.plan(spark, sf_dir), keys,
+    span = (200001, P)
+    return _outer_out(PL.detail_outer(X.ledger(spark, sf_dir, months=span), X.plan(spark, sf_dir, months=span), keys,
                                       period_to=P, period_from=200001), keys)
 
 
@@ -132,7 +133,7 @@ def j6_ytd_detail(spark, sf_dir):
     "GROUP BY entity, department, account_code) a USING (entity, department, account_code)", "plan"))
 def j7_month_detail(spark, sf_dir):
     keys = ["entity", "department", "account_code"]
-    j = PL.plan_left_actuals(X.plan(spark, sf_dir), X.ledger(spark, sf_dir), keys, P)
+    j = PL.plan_left_actuals(X.plan(spark, sf_dir, months=(P, P)), X.ledger(spark, sf_dir, months=(P, P)), keys, P)
     return j.select(*keys, V.money("budget").alias("budget"), V.money("actual").alias("actual"))
 
 
@@ -140,7 +141,8 @@ def j7_month_detail(spark, sf_dir):
     _outer_sql(["department", "period_no"], "plan_gappy", 200001, P), "plan_gappy"))
 def j8_history(spark, sf_dir):
     keys = ["department", "period_no"]
-    return _outer_out(PL.detail_outer(X.ledger(spark, sf_dir), X.plan_gappy(spark, sf_dir), keys,
+    span = (200001, P)
+    return _outer_out(PL.detail_outer(X.ledger(spark, sf_dir, months=span), X.plan_gappy(spark, sf_dir, months=span), keys,
                                       period_to=P, period_from=200001), keys)
 
 

@@ -65,7 +65,7 @@ _YTD_KEYS = "account_code, account_name, category, expense_type, department, cos
     f"{S.money('sum(prior_year)')} AS prior_year FROM ledger "
     f"WHERE period_no > 200000 AND period_no <= {P} GROUP BY {_YTD_KEYS}", "ledger"))
 def p4_ytd(spark, sf_dir):
-    y = PR.year_to_date(X.ledger(spark, sf_dir), P)
+    y = PR.year_to_date(X.ledger(spark, sf_dir, months=(P // 100 * 100 + 1, P)), P)
     return y.select(*[c.strip() for c in _YTD_KEYS.split(",")],
                     *[V.money(m).alias(m) for m in ("actual", "budget", "prior_year")])
 
@@ -317,6 +317,20 @@ def a14_reconcile(spark, sf_dir):
     return RU.reconcile(month_frame(spark, sf_dir))
 
 
+_ALL = {"entity net income = P&L net income": ("r - s", "r - s"), "entity revenue = P&L revenue": ("r", "r"), "department spend = P&L spend": ("s", "s"),
+        "cost-centre spend = P&L spend": ("s", "s"), "expense-type spend = P&L spend": ("s", "s"), "revenue - spend = net income": ("r - s", "r - s"),
+        "accounts = revenue + spend": ("t", "r + s"), "postings = P&L": ("t", "r + s")}
+
+
+@register("a14_by_entity_period", with_views(
+    " UNION ALL ".join(f"SELECT entity, period_no, '{check}' AS \"check\", {S.money(x)} AS lhs, {S.money(y)} AS rhs, true AS ok FROM g" for check, (x, y) in _ALL.items()),
+    "ledger", extra=["g AS (SELECT entity, period_no, coalesce(sum(actual) FILTER (WHERE category = 'Revenue'), 0) AS r, "
+                     "coalesce(sum(actual) FILTER (WHERE category <> 'Revenue'), 0) AS s, sum(actual) AS t FROM ledger GROUP BY entity, period_no)"]))
+def a14_by_entity_period(spark, sf_dir):
+    """The reconciliation of every entity in every period, from one pass."""
+    return RU.reconcile(X.ledger(spark, sf_dir), by=["entity", "period_no"])
+
+
 @register("a15_collapse_note", with_views(
     "SELECT (SELECT count(*) FROM ledger) AS rows_in, (SELECT count(*) FROM (SELECT DISTINCT "
     "account_code, account_name, category, period, expense_type, department, cost_centre, entity, "

@@ -154,10 +154,10 @@ def plan(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = None
             .agg(F.sum("budget").alias("budget")))
 
 
-def plan_gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plan_gappy(spark: SparkSession, sf_dir: str, months: tuple[int, int] | None = None) -> DataFrame:
     """`plan` without 2000-03 and without one account per month: the account
     whose code sorts first in that month (a deterministic, data-derived gap)."""
-    p = plan(spark, sf_dir).filter(F.col("period_no") != 200003)
+    p = plan(spark, sf_dir, months).filter(F.col("period_no") != 200003)
     first = (p.groupBy("period_no").agg(F.min("account_code").alias("_drop_code")))
     return (p.join(first, "period_no")
              .filter(F.col("account_code") != F.col("_drop_code"))
