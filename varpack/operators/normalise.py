@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as PA
@@ -32,7 +32,8 @@ def standardise(texts: DataFrame, by: Sequence[str] = ("extract_id",)) -> DataFr
     dimensions (N4, N5), rows without amounts, totals and empty rows dropped
     (N6-N8), accounts classified after that (K4, K8, per extract, where no such
     column is mapped; expense types only if a cost account is recognised), signs
-    (N9). Names are read once per account, not once per row."""
+    (N9). Names are read once per account, not once per row; the signs are decided
+    on the sums per account, so the rows meet one small table, once."""
     from .classify import classify_readings, expense_type_from_name, readings_of
     d = PA.with_amounts(texts, {f"_{f}": f for f in ("actual", "budget", "prior_year", "debit", "credit")})
     zero = F.lit(0).cast(PA.AMOUNT_TYPE)
@@ -46,23 +47,26 @@ def standardise(texts: DataFrame, by: Sequence[str] = ("extract_id",)) -> DataFr
         F.when(F.col("_has_category"), F.coalesce(PA.canonical_category("category"), F.lit(""))).alias("given_category"),
         *[PA.clean_dimension(F.col(c)).alias(c) for c in ("period", "department", "cost_centre", "entity")],
         F.when(F.col("_has_expense_type"), PA.clean_dimension(F.col("expense_type"))).alias("given_type"), PA.period_key("period").alias("period_no"))
-    d = written(drop_null_amounts(d))   # read for the accounts, the signs and the rows
+    # Read for the accounts and the rows; written before the filter, which would repeat the readings below it.
+    d = drop_null_amounts(written(d))
     account = [*by, "account_code", "account_name"]
     money = reduce(lambda x, y: x | y, [F.col(m) != 0 for m in MONEY])
-    counts = (d.groupBy(*account, "given_category").agg(F.count_if(money).alias("n"))
-              .filter(~looks_like_total(F.col("account_name"), F.col("account_code")) & (F.col("n") > 0)))
+    counts = d.groupBy(*account, "given_category").agg(F.count_if(money).alias("n"), *_sign_stats(MONEY))
+    counts = written(counts.filter(~looks_like_total(F.col("account_name"), F.col("account_code")) & (F.col("n") > 0)))
     kinds = classify_readings(readings_of(counts.groupBy(*account).agg(F.sum("n").alias("n")), by), by).select(*account, F.col("category").alias("inferred"))
     typed = (join_on_keys(counts, kinds, account).withColumn("category", F.coalesce("given_category", "inferred"))
-             .withColumn("type", expense_type_from_name("account_name", "category"))).select(*account, "given_category", "category", "type")
+             .withColumn("type", expense_type_from_name("account_name", "category"))).drop("inferred", "n")
     typed = written(typed)
     recognised = typed.groupBy(*by).agg(F.bool_or(F.col("type").isNotNull()).alias("recognised"))
     typed = join_on_keys(typed, recognised, by)
     inferred = (F.when(~F.col("recognised") | (F.col("category") == "Revenue"), F.lit(""))
                 .otherwise(F.coalesce("type", F.lit(UNCLASSIFIED_EXPENSE))).alias("type"))
-    typed = typed.select(*account, F.col("given_category"), "category", inferred, F.lit(True).alias("_kept"))
-    d = join_on_keys(d.filter(money), typed, [*account, "given_category"]).filter("_kept")
+    stats = [f"{m}__{s}" for m in MONEY for s in ("sum", "nz", "neg")]
+    flips = _decide_flips(typed.groupBy(*by, "category").agg(*[F.sum(s).alias(s) for s in stats]), MONEY, by)
+    typed = join_on_keys(typed.select(*account, "given_category", "category", inferred), flips, [*by, "category"])
+    d = join_on_keys(d.filter(money), written(typed.withColumn("_kept", F.lit(True))), [*account, "given_category"]).filter("_kept")
     d = d.withColumn("expense_type", F.coalesce("given_type", "type"))
-    return normalise_signs(d.drop("given_category", "given_type", "type", "_kept"), by=by)
+    return _flipped(d.drop("given_category", "given_type", "type", "_kept"), MONEY)
 
 
 def drop_null_amounts(df: DataFrame) -> DataFrame:
@@ -116,13 +120,21 @@ def sign_flips(df: DataFrame, money: Sequence[str] = MONEY, by: Sequence[str] =
     (>= 2 nonzero rows with >= 70% negative, or exactly one nonzero row and
     the category is Revenue)."""
     money = [m for m in money if m in df.columns]
+    return _decide_flips(df.groupBy(*by, "category").agg(*_sign_stats(money)), money, by)
+
+
+def _sign_stats(money: Sequence[str]) -> list[Column]:
+    """Aggregates of the sign rule: sum, nonzero and negative rows per column."""
     aggs = []
     for m in money:
         v = F.coalesce(F.col(m), F.lit(0))
         aggs += [F.sum(v).alias(f"{m}__sum"),
                  F.count(F.when(v != 0, 1)).alias(f"{m}__nz"),
                  F.count(F.when(v < 0, 1)).alias(f"{m}__neg")]
-    stats = df.groupBy(*by, "category").agg(*aggs)
+    return aggs
+
+
+def _decide_flips(stats: DataFrame, money: Sequence[str], by: Sequence[str]) -> DataFrame:
     out = stats
     for m in money:
         s, nz, neg = F.col(f"{m}__sum"), F.col(f"{m}__nz"), F.col(f"{m}__neg")
@@ -136,7 +148,10 @@ def normalise_signs(df: DataFrame, money: Sequence[str] = MONEY, by: Sequence[st
     """Every category (of a group) reported as a positive magnitude."""
     money = [m for m in money if m in df.columns]
     flips = sign_flips(df, money, by)   # one row per category: adaptive execution picks the join
-    j = join_on_keys(df, flips, [*by, "category"])
+    return _flipped(join_on_keys(df, flips, [*by, "category"]), money)
+
+
+def _flipped(j: DataFrame, money: Sequence[str]) -> DataFrame:
     for m in money:
         j = j.withColumn(m, F.when(F.coalesce(F.col(f"{m}__flip"), F.lit(False)), -F.col(m))
                            .otherwise(F.col(m)))
