@@ -57,3 +57,28 @@ def test_rows_meet_their_accounts_once(spark):
 def test_the_source_joins_the_ledger_once(spark):
     plan = _plan(XT.extract_lines(spark, SF_SMALL))
     assert "lineitem.parquet" not in plan and "Join" not in plan
+
+
+def test_columns_are_counted_in_compiled_code_and_headers_read_apart(spark):
+    lines = _lines(spark)
+    records = written(E.cells_of_records(E.records(lines, written(E.sniff_delimiters(lines)))))
+    cells = records.filter("cells IS NOT NULL")
+    head = E.head_rows(cells, records)
+    data, columns = E.headed(cells, written(E.header_rows(cells, records, head)), head)
+    assert "lambda" not in _plan(columns) and head.count() == 30
+    got = {(r.extract_id, r.pos, r.header, r.n_values) for r in columns.collect()}
+    assert got == {("quoted", 0, "Account", 80), ("quoted", 1, "Account name", 80), ("quoted", 2, "Amount", 80),
+                   ("plain", 0, "Account", 60), ("plain", 1, "Account name", 60), ("plain", 2, "Amount", 60)}
+    matched = E.match_columns(columns).filter("field <> 'actual'")
+    free = E.free_cells(data, columns, written(matched))
+    assert "collect_list" not in _plan(free)
+    assert sorted((r.extract_id, r["count"]) for r in free.filter("header = 'Amount'").groupBy("extract_id").count().collect()) == [("plain", 60), ("quoted", 80)]
+
+
+def test_the_end_of_a_line_in_quotes(spark):
+    texts = ['a,"b', '"a,b', '"a""', 'x"y,"z', '"a,""b', '"a"b,c', '"a",b"', 'a,b', '', '"', '""', '"""', 'a,"b""c",d,"', ',"x,y",z', '"x"y"', '"' + 'a""' * 5000,
+             '"a",' * 20000, '"a",' * 20000 + '"']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r[0] for r in df.orderBy("i").select(E._open_after(F.col("text"), ",")).collect()]
+    assert got == [True, True, True, True, True, False, False, False, False, True, False, True, True, False, False, True, False, True]
+    assert "regexp_replace" not in str(E._open_after(F.col("text"), ","))
