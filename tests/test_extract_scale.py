@@ -82,3 +82,55 @@ def test_the_end_of_a_line_in_quotes(spark):
     got = [r[0] for r in df.orderBy("i").select(E._open_after(F.col("text"), ",")).collect()]
     assert got == [True, True, True, True, True, False, False, False, False, True, False, True, True, False, False, True, False, True]
     assert "regexp_replace" not in str(E._open_after(F.col("text"), ","))
+
+
+def test_plain_numbers_are_cast_without_their_shape(spark, monkeypatch):
+    from varpack.functions import parse as PA
+    rules = []
+    monkeypatch.setattr(PA, "written", lambda df: rules.append(written(df)) or rules[-1])
+    texts = ["7", "-12.5", "0012.50", "9" * 40, "1.234", "12.345", "1\n", "-", "--5", "5.", ".5", "1.5 ", "٣", "EUR", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    out = with_amounts(df, {"a": "s"})
+    assert out.columns == ["i", "s", "a"]
+    assert [r.a for r in out.orderBy("i").collect()] == [r[0] for r in df.orderBy("i").select(parse_amount("s")).collect()]
+    assert sorted(r.shape for r in rules[0].collect()) == sorted(["9.999", "99.999", "9\n", "--9", "9.", ".9", "9.9 "])
+
+
+def test_extracts_without_quotes_are_cut_where_they_are_read(spark):
+    rows = [(e, i + 1, t) for e, text in {
+        "plain": ["Title", "", "Account|Account name|Amount|", "4000| Sales |1|", "|| |", "5000||", "  ", "6000|Rent|2|x"] + ["7000|Tax|3|"] * 60,
+        "marked": ["﻿Account;Account name;Amount", "4000;a;1", ";;", "5000; ;2"],
+        "blank": ["", " "], "quoted": ['Account,Account name,Amount', '4000,"a\nb",1']}.items() for i, t in enumerate("\n".join(text).split("\n"))]
+    lines = written(spark.createDataFrame(rows, "extract_id string, line_no long, text string").repartition(4))
+    ranges = E.line_ranges(lines)
+    assert {r.extract_id for r in ranges.filter("quoted").collect()} == {"quoted"}
+    first = E.first_lines(lines, ranges)
+    delimiters = written(E.sniff_delimiters(lines, ranges, first))
+    assert delimiters.collect() and {tuple(r) for r in delimiters.collect()} == {tuple(r) for r in E.sniff_delimiters(lines).collect()}
+
+    some = F.col("extract_id") != "quoted"
+    fields = E.fields_of_lines(lines.filter(some), delimiters)
+    assert "lambda" not in _plan(fields) and "hashpartitioning" not in _plan(fields)
+    records = written(E.cells_of_records(E.records(lines.filter(some), delimiters)))
+    cells = records.filter("cells IS NOT NULL")
+    assert (sorted((r.extract_id, r.line_no, r.cells) for r in fields.select("extract_id", "line_no", F.transform("cells", E.cell).alias("cells")).collect())
+            == sorted((r.extract_id, r.line_no, r.cells) for r in cells.collect()))
+    head = E.head_rows(cells, records)
+    firsts = E.head_of_lines(first.filter(some), delimiters)
+    rows_of = lambda d: sorted(map(str, d.collect()))
+    assert rows_of(firsts) == rows_of(head)
+    headers = written(E.header_rows(cells, records, head))
+    (data, columns), (data2, columns2) = E.headed(cells, headers, head), E.headed(fields, headers, firsts)
+    assert rows_of(columns) == rows_of(columns2)
+    place = lambda d: d.select("extract_id", "line_no", F.transform("cells", E.cell).alias("cells"))
+    assert rows_of(place(data)) == rows_of(place(data2))
+    assert str(columns2._jdf.queryExecution().optimizedPlan().toString()).count("split(") == 1     # a filter on the cells would cut twice
+    free = lambda d: E.free_cells(d, columns, E.match_columns(columns).filter("field <> 'account_name'"))
+    assert rows_of(free(data)) == rows_of(free(data2))
+
+
+def test_order_is_checked_only_where_it_decides(spark):
+    rows = [("x", pos, str(pos), i, v) for pos, vs in enumerate([["4000", "5000", "4100", "6000", "7000", "4200"], ["1", "2", "3", "4", "5", "6"],
+                                                                 ["9", "2", "30", "4", "5", "6"], ["0", "0", "0", "0", "0", "0"], ["1.5", "a", "2.5", "7", "8", "9"]]) for i, v in enumerate(vs)]
+    p = E.profile_columns(spark.createDataFrame(rows, "extract_id string, pos int, header string, line_no long, v string"))
+    assert [r.money for r in p.orderBy("pos").collect()] == [False, False, True, False, True]
