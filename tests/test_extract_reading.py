@@ -2,6 +2,8 @@
 import csv
 import io
 import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +134,56 @@ def test_matching_in_field_order(spark, monkeypatch):
     assert matched(spark, ["Acct", "Account"]) == {"account_code": ("Acct", "synonym"), "account_name": ("Account", "synonym")}
 
 
+def similarity_matched(headers, overrides):
+    """The rule, header by header, with the synonyms in the order of the fields."""
+    norm, used, out = {h: re.sub(r"\s+", " ", re.sub(r"[^0-9a-z\s]", " ", h.lower())).strip() for h in headers}, set(), {}
+    ratio = lambda h, f: max(SequenceMatcher(None, norm[h], s).ratio() for s in E.SYNONYMS[f])
+    for f in E.CANONICAL:
+        free = [h for h in headers if h not in used]
+        same, near = [h for h in free if norm[h] in E.SYNONYMS[f]], sorted(free, key=lambda h: -ratio(h, f))
+        if overrides.get(f) in headers:
+            out[f] = (overrides[f], "override", 1.0)
+        elif same:
+            out[f] = (same[0], "synonym", 1.0)
+        elif near and ratio(near[0], f) >= 0.82:
+            out[f] = (near[0], "fuzzy", round(ratio(near[0], f), 2))
+        if f in out:
+            used.add(out[f][0])
+    return out
+
+
+def test_headers_close_to_a_synonym(spark):
+    assert matched(spark, ["Acount code", "Acct nam", "Ammount", "Zzz", "--"]) == {"account_code": ("Acount code", "fuzzy"), "actual": ("Ammount", "fuzzy")}
+    # the most similar one wins, the first of equal ones; an earlier field takes what a later one names exactly
+    assert matched(spark, ["Departmet", "Departments"])["department"] == ("Departments", "fuzzy")
+    assert matched(spark, ["Budgett", "Buddget"])["budget"] == ("Budgett", "fuzzy")
+    assert matched(spark, ["Ref A", "Account name"]) == {"account_code": ("Account name", "fuzzy")}
+    assert matched(spark, ["Ref A", "Account name"], [("account_code", "Ref A")]) == {"account_code": ("Ref A", "override"), "account_name": ("Account name", "synonym")}
+
+
+def test_similarity_as_the_library_gives_it(spark):
+    r = random.Random(4)
+    words = [w for ws in E.SYNONYMS.values() for w in ws]
+
+    def spoilt():
+        w = list(r.choice(words))
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = r.choice(["", "e", "x", "aa", " ", "-"])
+        return "".join(w).strip() or "q"
+
+    files = {f"f{k}": list(dict.fromkeys(spoilt() for _ in range(r.randint(1, 14)))) for k in range(60)}
+    given = {k: {r.choice(E.CANONICAL): r.choice([*hs, "none such"])} for k, hs in files.items() if r.random() < 0.5}
+    columns = spark.createDataFrame([(k, i, h) for k, hs in files.items() for i, h in enumerate(hs)], "extract_id string, pos int, header string")
+    overrides = spark.createDataFrame([(k, f, h) for k, o in given.items() for f, h in o.items()], "extract_id string, field string, header string")
+    got = {k: {} for k in files}
+    for x in E.match_columns(columns, overrides).collect():
+        got[x.extract_id][x.field] = (x.header, x.method, x.score)
+    assert got == {k: similarity_matched(hs, given.get(k, {})) for k, hs in files.items()}
+    assert sum(m == "fuzzy" for v in got.values() for _, m, _ in v.values()) > 20
+    by_name = E.match_columns(columns, overrides, fuzzy=False)
+    assert by_name.filter("method = 'fuzzy'").count() == 0 and by_name.count() > 0
+
+
 def standard(spark, header, rows):
     lines = lines_of(spark, {"x": "\n".join([header, *rows])})
     records = E.records(lines, E.sniff_delimiters(lines))
