@@ -134,3 +134,21 @@ def test_order_is_checked_only_where_it_decides(spark):
                                                                  ["9", "2", "30", "4", "5", "6"], ["0", "0", "0", "0", "0", "0"], ["1.5", "a", "2.5", "7", "8", "9"]]) for i, v in enumerate(vs)]
     p = E.profile_columns(spark.createDataFrame(rows, "extract_id string, pos int, header string, line_no long, v string"))
     assert [r.money for r in p.orderBy("pos").collect()] == [False, False, True, False, True]
+
+
+def test_names_are_read_once_per_account(spark, monkeypatch):
+    """The rule for total rows reads the account alone: moved below the sums, it would run for every row."""
+    plans = []
+    monkeypatch.setattr(NO, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    lines = _lines(spark)
+    records = E.records(lines, written(E.sniff_delimiters(lines)))
+    cells = written(E.read_cells(records))
+    data, columns = E.headed(cells, written(E.header_rows(cells, records)))
+    NO.standardise(E.mapped_texts(data, written(E.match_columns(columns))))
+    sums = [p for p in plans if "actual__sum" in p and "Aggregate" in p and "grand total" in p]
+    assert any("grand total" in p for p in plans) and not sums
+
+
+def test_generated_code_is_compiled(spark):
+    """No stage may run a method that HotSpot leaves to its interpreter, over 8000 bytes."""
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

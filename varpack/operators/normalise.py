@@ -51,7 +51,8 @@ def standardise(texts: DataFrame, by: Sequence[str] = ("extract_id",)) -> DataFr
     d = drop_null_amounts(written(d))
     account = [*by, "account_code", "account_name"]
     money = reduce(lambda x, y: x | y, [F.col(m) != 0 for m in MONEY])
-    counts = d.groupBy(*account, "given_category").agg(F.count_if(money).alias("n"), *_sign_stats(MONEY))
+    # Written before the filter: it reads the account alone, so it would be moved below the sums, to every row.
+    counts = written(d.groupBy(*account, "given_category").agg(F.count_if(money).alias("n"), *_sign_stats(MONEY)))
     counts = written(counts.filter(~looks_like_total(F.col("account_name"), F.col("account_code")) & (F.col("n") > 0)))
     kinds = classify_readings(readings_of(counts.groupBy(*account).agg(F.sum("n").alias("n")), by), by).select(*account, F.col("category").alias("inferred"))
     typed = (join_on_keys(counts, kinds, account).withColumn("category", F.coalesce("given_category", "inferred"))
